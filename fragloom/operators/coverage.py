@@ -28,16 +28,18 @@ def _named(df: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
 
 
 def _pieces(named: DataFrame, keys: list[str], bits: int) -> tuple[DataFrame, DataFrame]:
-    """(local pieces by shard, middle pieces folded by their first shard); both as keys, shard, s, e."""
+    """(local pieces, middle pieces), both as keys, shard, s, e with one row per start; both come out of one shuffle."""
     cut = named.withColumns({"s0": F.shiftright("s", bits), "s1": F.shiftright(F.col("e") - 1, bits)})
-    edge = F.shiftleft(F.col("s0") + 1, bits)
-    last = F.shiftleft("s1", bits)
-    parts = F.when(F.col("s0") == F.col("s1"), F.array(F.struct(F.col("s0").alias("shard"), "s", "e"))).otherwise(
-        F.array(F.struct(F.col("s0").alias("shard"), "s", edge.alias("e")), F.struct(F.col("s1").alias("shard"), last.alias("s"), "e"))
+    edge, last = F.shiftleft(F.col("s0") + 1, bits), F.shiftleft("s1", bits)
+    piece = lambda shard, s, e, middle: F.struct(shard.alias("shard"), s.alias("s"), e.alias("e"), F.lit(middle).alias("middle"))
+    head, tail = piece(F.col("s0"), F.col("s"), edge, False), piece(F.col("s1"), last, F.col("e"), False)
+    parts = (
+        F.when(F.col("s0") == F.col("s1"), F.array(piece(F.col("s0"), F.col("s"), F.col("e"), False)))
+        .when(F.col("s1") - F.col("s0") == 1, F.array(head, tail))
+        .otherwise(F.array(head, piece(F.col("s0") + 1, edge, last, True), tail))
     )
-    local = cut.select(*keys, F.inline(parts)).groupBy(*keys, "shard", "s").agg(F.max("e").alias("e"))
-    middle = cut.where("s1 - s0 >= 2").groupBy(*keys, (F.col("s0") + 1).alias("shard")).agg(F.max(last).alias("e"))
-    return local, middle.select(*keys, "shard", F.shiftleft("shard", bits).alias("s"), "e")
+    folded = cut.select(*keys, F.inline(parts)).groupBy(*keys, "shard", "s", "middle").agg(F.max("e").alias("e"))
+    return folded.where("NOT middle").drop("middle"), folded.where("middle").drop("middle")
 
 
 def _islands(df: DataFrame, part: list[str]) -> DataFrame:
@@ -54,9 +56,9 @@ def _islands(df: DataFrame, part: list[str]) -> DataFrame:
     )
 
 
-def _covered_shards(local: DataFrame, middle: DataFrame, keys: list[str], bits: int) -> DataFrame:
-    """(keys, shard) of the shards that hold pieces and lie wholly under a middle piece; the window sees one row per shard and per middle piece."""
-    rows = local.select(*keys, "shard", F.lit(1).alias("own"), F.lit(None).cast("bigint").alias("e")).distinct().unionByName(middle.select(*keys, "shard", F.lit(0).alias("own"), "e"))
+def _covered_shards(shards: DataFrame, middle: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """Of ``shards`` (keys, shard) those that lie wholly under a middle piece; the window sees one row per shard and per middle piece."""
+    rows = shards.select(*keys, "shard", F.lit(1).alias("own"), F.lit(None).cast("bigint").alias("e")).unionByName(middle.select(*keys, "shard", F.lit(0).alias("own"), "e"))
     reach = F.max("e").over(Window.partitionBy(*keys).orderBy("shard", "own").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("reach", reach).where((F.col("own") == 1) & (F.col("reach") > F.shiftleft("shard", bits))).select(*keys, "shard")
 
@@ -72,7 +74,7 @@ def merge_intervals(df: DataFrame, by: Sequence[str], start: str = "start_pos",
     local, middle = _pieces(_named(df, by, start, end), keys, shard_bits)
     merged = _islands(local, [*keys, "shard"])
     at_edge = (F.col("s") == F.shiftleft("shard", shard_bits)) | (F.col("e") == F.shiftleft(F.col("shard") + 1, shard_bits))
-    inside = _without(merged.where(~at_edge), _covered_shards(local, middle, keys, shard_bits), keys)
+    inside = _without(merged.where(~at_edge), _covered_shards(merged.select(*keys, "shard").distinct(), middle, keys, shard_bits), keys)
     stitched = _islands(merged.where(at_edge).drop("shard").unionByName(middle.drop("shard")), keys)
     both = inside.select(*keys, "s", "e").unionByName(stitched.select(*keys, "s", "e"))
     return both.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], F.col("s").alias("stretch_start"), F.col("e").alias("stretch_end"))
@@ -82,13 +84,22 @@ def coverage_gaps(df: DataFrame, by: Sequence[str], start: str = "start_pos", en
     """(by, gap_start, gap_end): each gap between two successive stretches of an entity."""
     keys = [f"k{i}" for i in range(len(by))]
     local, middle = _pieces(_named(df, by, start, end), keys, shard_bits)
-    # level 1: the holes within a shard, and from where to where its pieces reach
-    w = Window.partitionBy(*keys, "shard").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    holes = local.withColumn("reach", F.max("e").over(w)).where(F.col("s") > F.col("reach"))
-    holes = _without(holes.select(*keys, "shard", F.col("reach").alias("gap_start"), F.col("s").alias("gap_end")), _covered_shards(local, middle, keys, shard_bits), keys)
+    # level 1: the holes within a shard, and in its last row from where to where its pieces reach
+    w = Window.partitionBy(*keys, "shard").orderBy("s")
+    seen = local.withColumns(
+        {
+            "reach": F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+            "first": F.first("s").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "last": F.max("e").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "following": F.lead("s").over(w),
+        }
+    )
+    ends = seen.where("following IS NULL").select(*keys, "shard", F.col("first").alias("s"), F.col("last").alias("e"))
+    holes = seen.where(F.col("s") > F.col("reach")).select(*keys, "shard", F.col("reach").alias("gap_start"), F.col("s").alias("gap_end"))
+    holes = _without(holes, _covered_shards(ends, middle, keys, shard_bits), keys)
     # level 2: from one shard's reach to the next one's first piece
-    ends = local.groupBy(*keys, "shard").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("shard").unionByName(middle.drop("shard"))
     over = Window.partitionBy(*keys).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    between = ends.withColumn("reach", F.max("e").over(over)).where(F.col("s") > F.col("reach")).select(*keys, F.col("reach").alias("gap_start"), F.col("s").alias("gap_end"))
+    spans = ends.drop("shard").unionByName(middle.drop("shard")).withColumn("reach", F.max("e").over(over))
+    between = spans.where(F.col("s") > F.col("reach")).select(*keys, F.col("reach").alias("gap_start"), F.col("s").alias("gap_end"))
     both = holes.select(*keys, "gap_start", "gap_end").unionByName(between)
     return both.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "gap_start", "gap_end")
