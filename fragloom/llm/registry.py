@@ -1,6 +1,6 @@
 """All queries of the subpackage and their SQL."""
 
-from fragloom.llm import sets_and_groups
+from fragloom.llm import corpus, sets_and_groups
 
-QUERIES = {**sets_and_groups.QUERIES}
-SQL = {**sets_and_groups.SQL}
+QUERIES = {**sets_and_groups.QUERIES, **corpus.QUERIES}
+SQL = {**sets_and_groups.SQL, **corpus.SQL}
