@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fragloom.llm.leaks import leak_spans, leaked_items, without_leaks
 from fragloom.llm.packing import pack
+from fragloom.llm.subjects import document_subjects
 from fragloom.llm.tokens import token_counts
 from fragloom.plans.tables import table
 from fragloom.session import Scratch
@@ -40,5 +41,16 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_passages", F.length("text").cast("bigint").alias("n_before"), F.length("clean_text").cast("bigint").alias("n_after"))
 
 
-QUERIES = {q.__name__: q for q in (p6_pack, p6_fill, p7_found, p7_clean)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subjects = sorted(r.subject for r in table(spark, sf_dir, "subject_areas").select("subject").collect() if r.subject)
+    return document_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_seeds"), subjects, table(spark, sf_dir, "eval_items"), Scratch(spark, "p8"))
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and characters of the corpus by subject; a document of several subjects counts for each."""
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("bigint").alias("n"))
+    return p8_found(spark, sf_dir).join(sizes, "doc_id").groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_characters"))
+
+
+QUERIES = {q.__name__: q for q in (p6_pack, p6_fill, p7_found, p7_clean, p8_found, p8_composition)}
 SQL: dict[str, str] = {}
