@@ -1,6 +1,7 @@
 """All queries of the core and their SQL."""
 
-from fragloom.plans import problems
+from fragloom.plans import problems, reads
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+_MODULES = (problems, reads)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
