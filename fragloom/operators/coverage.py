@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragloom.functions.conventions import usable
+from fragloom.session import Scratch
 
 SHARD_BITS = 20
 
@@ -28,7 +29,7 @@ def _named(df: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
 
 
 def _pieces(named: DataFrame, keys: list[str], bits: int) -> tuple[DataFrame, DataFrame]:
-    """(local pieces, middle pieces), both as keys, shard, s, e with one row per start; both come out of one shuffle."""
+    """(local pieces, middle pieces), both as keys, shard, s, e with one row per start; written once, as several branches read them."""
     cut = named.withColumns({"s0": F.shiftright("s", bits), "s1": F.shiftright(F.col("e") - 1, bits)})
     edge, last = F.shiftleft(F.col("s0") + 1, bits), F.shiftleft("s1", bits)
     piece = lambda shard, s, e, middle: F.struct(shard.alias("shard"), s.alias("s"), e.alias("e"), F.lit(middle).alias("middle"))
@@ -39,6 +40,7 @@ def _pieces(named: DataFrame, keys: list[str], bits: int) -> tuple[DataFrame, Da
         .otherwise(F.array(head, piece(F.col("s0") + 1, edge, last, True), tail))
     )
     folded = cut.select(*keys, F.inline(parts)).groupBy(*keys, "shard", "s", "middle").agg(F.max("e").alias("e"))
+    folded = Scratch(named.sparkSession, "pieces").table(folded)
     return folded.where("NOT middle").drop("middle"), folded.where("middle").drop("middle")
 
 
