@@ -7,6 +7,7 @@ from math import lgamma
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _log_factorial = np.frompyfunc(lambda n: lgamma(n + 1), 1, 1)
 
@@ -37,13 +38,13 @@ def fisher_tail(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, float(np.exp(logs - _log_choose(np.array([total]), np.array([row]))[0]).sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binom_sf(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """P(X > k); null where an argument is null."""
     return pd.Series([None if pd.isna(a) or pd.isna(b) or pd.isna(c) else binomial_tail(int(a), int(b), float(c)) for a, b, c in zip(k, n, p)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """The one-sided exact test; null where an argument is null or negative."""
     rows = zip(a, b, c, d)
