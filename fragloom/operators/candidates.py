@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fragloom.functions.frames import plain
 from fragloom.operators.components import components
 from fragloom.session import Scratch
 
@@ -74,7 +75,7 @@ def peaks(cells: DataFrame, key: Sequence[str] = ("region_id",), min_count: int
             top = left.iloc[0]
             out.append(top)
             left = left[(left["bx"] - top["bx"]).abs().gt(apart) | (left["by"] - top["by"]).abs().gt(apart)]
-        return pd.DataFrame(out, columns=names)
+        return plain(pd.DataFrame(out, columns=names))
 
     return rows.groupBy(*key, "orientation").applyInPandas(pick, rows.schema)
 
@@ -107,7 +108,7 @@ def refine_breakends(near: DataFrame, keys: Sequence[str], extend: int = 20_000)
         change = np.zeros(2 * extend + 2, dtype=np.int64)
         np.add.at(change, pdf["at"].to_numpy(), pdf["step"].to_numpy())
         at = steepest_drop(np.cumsum(change)[:-1], pdf["orientation"].iloc[0] == "+")
-        first = pdf.iloc[:1]
+        first = plain(pdf.iloc[:1])
         return first[[*keys, "pos"]].assign(new_pos=int(first["pos"].iloc[0]) - extend + at, n=int(pdf["opened"].sum()))
 
     schema = ", ".join([*(f"`{k}` {t}" for k, t in folded.dtypes if k in keys), "pos bigint, new_pos bigint, n bigint"])

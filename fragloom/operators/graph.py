@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fragloom.functions.frames import plain
 from fragloom.functions.stats import fisher_greater
 from fragloom.functions.text import facing
 from fragloom.operators.components import components
@@ -177,7 +178,7 @@ def clean_components(edges: DataFrame) -> DataFrame:
         ends = pd.concat([left["u"], left["v"]])
         degree = ends.value_counts()
         loose = left["u"].map(degree).eq(1) | left["v"].map(degree).eq(1)
-        return left[~(loose & (left["kind"] == "facing"))]
+        return plain(left[~(loose & (left["kind"] == "facing"))])
 
     rows = edges.select("cluster", "u", "v", "kind", "p").dropDuplicates(["u", "v"]).where("u <> v")
     return rows.groupBy("cluster").applyInPandas(clean, rows.schema)

@@ -1,0 +1,19 @@
+"""Every query of the core against its SQL; those without SQL must run."""
+
+import pytest
+from oracle import SF, same
+
+from fragloom.plans import registry
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables here")
+@pytest.mark.parametrize("name", list(registry.QUERIES))
+def test_query(spark, name):
+    same(spark, registry.QUERIES[name], registry.SQL.get(name))
+
+
+def test_entry_lists_the_core():
+    import __spark_entry__ as entry
+
+    assert set(registry.QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
