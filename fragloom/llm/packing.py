@@ -12,12 +12,13 @@ Only a document longer than the capacity is split: into full containers and one
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fragloom.functions.frames import plain
 from fragloom.llm.cutting import best_mixes
 from fragloom.session import Scratch
 
@@ -80,9 +81,9 @@ def _ranked(large: DataFrame, histogram: DataFrame) -> DataFrame:
     return salted.withColumn("own", own).join(offsets, ["container", "size", "salt"]).withColumn("rank", F.col("own") + F.col("offset")).drop("own", "offset", "salt")
 
 
-def _best_fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _best_fit(pdf: pd.DataFrame) -> pd.DataFrame:
     """Places the small pieces of one shard in the room of its bins, each where the least remains, and opens bins where none has room."""
-    pdf = pd.concat(list(frames), ignore_index=True)
+    pdf = plain(pdf)
     capacity, shard = int(pdf["capacity"].iloc[0]), int(pdf["shard"].iloc[0])
     bins = pdf[pdf["bin"].notna()]
     room = sorted((capacity - int(s), b) for s, b in zip(bins["size"], bins["bin"]) if capacity > s)
@@ -98,7 +99,7 @@ def _best_fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chosen.append(name)
         if left > size:
             insort(room, (left - size, name))
-    yield small.assign(bin=chosen)[["container", "bin", "doc_id", "piece", "size"]]
+    return small.assign(bin=pd.Series(chosen, index=small.index, dtype=object))[["container", "bin", "doc_id", "piece", "size"]]
 
 
 def pack(lengths: DataFrame, targets: Sequence[tuple[str, int]], scratch: Scratch, groups: int = GROUPS, small: int = SMALL, shard: int = SHARD) -> DataFrame:
@@ -139,6 +140,6 @@ def pack(lengths: DataFrame, targets: Sequence[tuple[str, int]], scratch: Scratc
     both = bins.select("container", "capacity", of("bin").alias("shard"), "bin", none.cast("bigint").alias("doc_id"), none.cast("bigint").alias("piece"), "size").unionByName(
         rest.select("container", "capacity", of("doc_id", "piece").alias("shard"), none.cast("string").alias("bin"), "doc_id", "piece", "size")
     )
-    fitted = both.groupBy("container", "shard").applyInPandas(lambda pdf: next(_best_fit(iter([pdf]))), "container string, bin string, doc_id bigint, piece bigint, size bigint")
+    fitted = both.groupBy("container", "shard").applyInPandas(_best_fit, "container string, bin string, doc_id bigint, piece bigint, size bigint")
     alone = todo.where("full").select("container", F.concat_ws(".", F.lit("f"), "doc_id", "piece").alias("bin"), "doc_id", "piece", "size")
     return alone.unionByName(placed.drop("capacity")).unionByName(fitted)

@@ -9,7 +9,7 @@
    That matrix is all the driver sees. It is bounded: with T terms in a document on average, T / MIN_SHARE terms can count.
 4. A subject's centroid is the mean of its seeds' embeddings; each round adds every document that lies close. Some seeds lie
    far from their subject's centroid because they use other words for it, such as those of another language: in the space
-   left by the first centroids they make a second one for the subject, refined in the same way.
+   left by the first centroids they make a second one for the subject, if they are alike, refined in the same way.
 5. A term belongs to the subject whose centroids it lies closest to, if no other subject is near. A document is about the
    subjects to which its cosine is at least ``LEAST_COSINE`` and whose terms it mentions at least ``LEAST_MENTIONS`` times.
 """
@@ -33,7 +33,7 @@ from fragloom.session import Scratch
 
 MIN_SHARE, MIN_DOCUMENTS, MAX_SHARE = 1 / 5000, 3, 1 / 20
 DIMENSIONS, OVERSAMPLED, PASSES = 64, 10, 4
-CLOSE, CLOSE_SECOND, FAR = 0.6, 0.5, 0.3
+CLOSE, CLOSE_SECOND, FAR, ALIKE = 0.6, 0.5, 0.3, 0.05
 TERM_COSINE, TERM_RIVAL = 0.2, 0.7
 LEAST_COSINE, LEAST_MENTIONS = 0.1, 2
 JOINED = 12  # words between two runs of a test item that still count as one passage
@@ -283,9 +283,12 @@ def centroids(vectors: DataFrame, basis: np.ndarray, scale: np.ndarray, n: int,
             out[:, -1] += share.sum(axis=0)
 
         sums = _added_up(rows, (n, k + 1), each)
-        mean = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+        count = sums[:, -1:]
+        mean = sums[:, :-1] / np.maximum(count, 1)
+        # of unit vectors, the mean cosine of two different ones; near 0 where they point anywhere
+        alike = (count * (mean**2).sum(axis=1, keepdims=True) - 1) / np.maximum(count - 1, 1e-9)
         # what all of them have in common says nothing about a subject
-        return _unit(mean - mean.mean(axis=0)) * (sums[:, -1:] >= 2)
+        return _unit(mean - mean.mean(axis=0)) * ((count >= 2) & (alike >= ALIKE))
 
     second = second_pass(seeds, None)
     for _ in range(rounds if second.any() else 0):
