@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragloom.operators import candidates as ca
+from fragloom.operators import evidence as ev
 from fragloom.operators import graph as gr
 from fragloom.operators import support as su
 from fragloom.plans import variants as va
@@ -129,7 +130,15 @@ def compared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.compare_breakpoints(pairs, va.events(spark, sf_dir), f).withColumn("log_p", F.when(F.col("p") > 0, F.round(F.log10("p"), 4))).drop("p")
 
 
-QUERIES = {q.__name__: q for q in (end_histogram, background_union, overlap_matrix, peaks, refined_breakends, combined_events, precluster, merged_breakends, graph_edges, best_edges, best_at_both_ends, assembled_edges, facing_breakends, event_components, clean_events, event_paths, compared_events)}
+def event_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' resampling tests, where at least three barcodes cross."""
+    f = fragments(spark, sf_dir, "dataset", "chrom", "start_pos", "end_pos", "bc", "num_reads", "hap")
+    crossed = su.quantify(va.events(spark, sf_dir), f).where("shared >= 3")
+    totals = f.where("bc IS NOT NULL").groupBy("dataset", "bc").agg(F.sum("num_reads").alias("num_reads"))
+    return ev.resampling_p(crossed, totals).select("event_id", "dataset", "shared", "total", "p_resampling")
+
+
+QUERIES = {q.__name__: q for q in (event_resampling, end_histogram, background_union, overlap_matrix, peaks, refined_breakends, combined_events, precluster, merged_breakends, graph_edges, best_edges, best_at_both_ends, assembled_edges, facing_breakends, event_components, clean_events, event_paths, compared_events)}
 
 _PAIRS = va.SQL["fragment_pairs"].replace("SELECT geno_id AS region_id, bc, fx.frag_id AS frag_x, fy.frag_id AS frag_y FROM", ", pairs AS (SELECT geno_id AS region_id, bc, fx.frag_id AS frag_x, fy.frag_id AS frag_y FROM") + ")"
 _TIPS = f"""{_PAIRS}, placed AS (SELECT region_id, p.bc, x - {va.PAD} AS sx, y - {va.PAD} AS sy, fx.start_pos AS xs, fx.end_pos AS xe, fy.start_pos AS ys, fy.end_pos AS ye FROM pairs p JOIN frags fx ON fx.frag_id = frag_x JOIN frags fy ON fy.frag_id = frag_y JOIN e ON e.geno_id = region_id),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragloom.operators import readclouds as rc
+from fragloom.operators.evidence import covered_bases
 from fragloom.plans.tables import table
 
 DAY = 86_400
@@ -55,7 +56,13 @@ def combined_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.combine_read_clouds([read_clouds(spark, sf_dir)])
 
 
-QUERIES = {q.__name__: q for q in (read_clouds, inter_read_distance, clustering_distance, barcode_totals, good_barcodes, barcode_ids, combined_clouds)}
+def cloud_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bases of each cloud under at least one of its barcode's reads."""
+    r = reads(spark, sf_dir)
+    return covered_bases(rc.read_clouds(r, DAY), rc.good_reads(r), ["chrom", "bc", "start_pos"])
+
+
+QUERIES = {q.__name__: q for q in (cloud_coverage, read_clouds, inter_read_distance, clustering_distance, barcode_totals, good_barcodes, barcode_ids, combined_clouds)}
 
 _READS = """reads AS (SELECT event_id AS read_id, event_type AS chrom, CAST(user_id AS VARCHAR) AS bc, date_diff('second', timestamp '2024-01-01', ts) AS pos,
   date_diff('second', timestamp '2024-01-01', ts) + 150 AS ref_end, CASE WHEN event_id % 10 = 0 THEN 20 WHEN event_id % 10 < 3 THEN 45 ELSE 60 END AS mapq, CASE WHEN event_id % 7 > 1 THEN event_id % 3 END AS hap
@@ -71,6 +78,8 @@ running AS (SELECT *, sum(num_reads) OVER (ORDER BY num_reads DESC, bc ROWS UNBO
 good AS (SELECT bc, num_reads FROM running WHERE upto < total * 0.9)"""
 _DISTANCES = f"WITH {_READS}, d AS (SELECT pos - lag(pos) OVER (PARTITION BY chrom, bc ORDER BY pos, read_id) AS distance FROM reads), near AS (SELECT distance FROM d WHERE distance < 60000)"
 SQL = {
+    "cloud_coverage": f"""{_CLOUDS}, hits AS (SELECT c.chrom, c.bc, c.start_pos, greatest(pos, c.start_pos) AS s, least(ref_end, end_pos) AS e FROM clouds c JOIN reads r ON r.chrom = c.chrom AND r.bc = c.bc AND pos < end_pos AND ref_end > c.start_pos),
+seen AS (SELECT *, max(e) OVER (PARTITION BY chrom, bc, start_pos ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM hits) SELECT chrom, bc, start_pos, CAST(sum(greatest(0, e - greatest(s, coalesce(before, s)))) AS BIGINT) AS covered FROM seen GROUP BY ALL""",
     "read_clouds": f"{_CLOUDS} SELECT * FROM clouds",
     "inter_read_distance": f"{_DISTANCES} SELECT distance, count(*) AS n FROM near GROUP BY distance",
     "clustering_distance": f"{_DISTANCES} SELECT CAST(greatest(10000, ceil(p / 5000) * 5000) AS BIGINT) AS distance, p AS p99 FROM (SELECT quantile_cont(distance, 0.99) AS p FROM near)",
