@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +65,19 @@ class Scratch:
                 p = path_of(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
         self._written[: len(self._written) - keep] = [""] * (len(self._written) - keep)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once for each application, so that they need not have it installed."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"  # the driver's own copy, which Spark serves to all
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(spark.sparkContext.applicationId)
