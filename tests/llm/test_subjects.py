@@ -27,7 +27,7 @@ def corpus(n, seed=0):
 
 def test_held_out_documents(spark):
     rows, labels = corpus(600)
-    docs = spark.createDataFrame(rows + [(1000, None), (1001, ""), (None, "seaaa seaab"), (1002, "seaaa " * 60_000 + "seaab"), rows[3]], "doc_id bigint, text string").withColumn("subject", F.lit("clash"))
+    docs = spark.createDataFrame(rows + [(1000, None), (1001, ""), (None, "seaaa seaab"), (1002, " ".join(TOPICS["sea"] * 1_000)), rows[3]], "doc_id bigint, text string").withColumn("subject", F.lit("clash"))
     seeds = spark.createDataFrame([x for x in labels if x[0] < 150] + [(None, "sea"), (5, None), (7, "unknown"), (99999, "sky"), labels[0]], "doc_id bigint, subject string")
     got = {tuple(x) for x in document_subjects(docs, seeds, ["sea", "sky"], spark.createDataFrame([], ITEMS), Scratch(spark, "t")).collect()}
     want = {x for x in labels if x[0] >= 150}
