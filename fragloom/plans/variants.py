@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragloom.operators import support as su
+from fragloom.operators import tracks as tr
 from fragloom.operators import windows as wi
 from fragloom.plans.problems import FRAGMENTS_SQL
 from fragloom.plans.tables import fragments, genotypes, table
@@ -87,6 +88,19 @@ def fragment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return su.fragment_pairs(regions, _fragments(spark, sf_dir)).select("region_id", "bc", "frag_x", "frag_y")
 
 
+def fragment_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments around both sides of every event, of the barcodes that support both."""
+    return tr.fragment_tracks(tr.event_sites(events(spark, sf_dir)), _fragments(spark, sf_dir))
+
+
+def pair_characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pairs of fragments around an event those at both breakends, as a share of those over both."""
+    e = events(spark, sf_dir)
+    around = [(F.col(s) + d).alias(n + s) for s in "xy" for n, d in (("start", -PAD), ("end", PAD))]
+    pairs = su.fragment_pairs(e.select("event_id", "dataset", "chromx", "chromy", *around), _fragments(spark, sf_dir), ["event_id"])
+    return tr.pair_characteristics(e, pairs, NEAR, FAR)
+
+
 def pair_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breakends of the events with many barcodes in common."""
     f = _fragments(spark, sf_dir)
@@ -96,7 +110,7 @@ def pair_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("log_p", F.when(F.col("p") > 0, F.round(F.log10("p"), 4))).drop("p")
 
 
-QUERIES = {q.__name__: q for q in (genome_chunks, window_barcodes, window_overlaps, window_overlap_p, sv_regions, breakend_support, quantify, event_samples, fragment_pairs, pair_evidence)}
+QUERIES = {q.__name__: q for q in (genome_chunks, window_barcodes, window_overlaps, window_overlap_p, sv_regions, breakend_support, quantify, event_samples, fragment_pairs, fragment_tracks, pair_characteristics, pair_evidence)}
 
 _WINDOWS = f"""WITH RECURSIVE {FRAGMENTS_SQL},
 wins AS (SELECT chrom, w, w * 10000 AS a, (w + 1) * 10000 AS b FROM (SELECT chrom, unnest(range(0, CAST(ceil(length / 10000) AS BIGINT))) AS w FROM chroms)),
@@ -149,6 +163,21 @@ SELECT event_id, shared, total, {_LOG} FROM rolled""",
 u AS (SELECT * FROM frags WHERE bc IS NOT NULL AND start_pos <= end_pos),
 fx AS (SELECT geno_id, e.dataset, bc, frag_id FROM e JOIN u ON u.dataset = e.dataset AND u.chrom = cx AND end_pos >= x - {PAD} AND start_pos <= x + {PAD}), fy AS (SELECT geno_id, e.dataset, bc, frag_id FROM e JOIN u ON u.dataset = e.dataset AND u.chrom = cy AND end_pos >= y - {PAD} AND start_pos <= y + {PAD})
 SELECT geno_id AS region_id, bc, fx.frag_id AS frag_x, fy.frag_id AS frag_y FROM fx JOIN fy USING (geno_id, bc) WHERE fx.frag_id <> fy.frag_id""",
+    "fragment_tracks": f"""WITH {FRAGMENTS_SQL}, e AS (SELECT geno_id, dataset, coalesce(nx.name, chromx) AS cx, x, coalesce(ny.name, chromy) AS cy, y, orientation FROM genotypes LEFT JOIN names nx ON nx.spelling = chromx LEFT JOIN names ny ON ny.spelling = chromy WHERE y IS NOT NULL AND chromy IS NOT NULL),
+sites AS (SELECT geno_id, dataset, 0 AS site, cx AS chrom, x AS pos, substr(orientation, 1, 1) AS o FROM e UNION ALL SELECT geno_id, dataset, 1, cy, y, substr(orientation, 2, 1) FROM e),
+found AS (SELECT geno_id, site, frag_id, bc, start_pos, end_pos, CASE o WHEN '+' THEN pos - end_pos BETWEEN -500 AND 5000 WHEN '-' THEN start_pos - pos BETWEEN -500 AND 5000 ELSE start_pos > pos - 500 AND end_pos < pos + 500 END AS supporting
+  FROM sites s JOIN frags f ON f.dataset = s.dataset AND f.chrom = s.chrom AND bc IS NOT NULL AND end_pos > start_pos AND start_pos < pos + 100000 AND end_pos > greatest(pos - 100000, 1)),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY geno_id, bc ORDER BY site, start_pos, end_pos) AS k FROM found WHERE supporting),
+good AS (SELECT geno_id, bc FROM firsts GROUP BY ALL HAVING count(DISTINCT site) > 1),
+numbered AS (SELECT geno_id, bc, row_number() OVER (PARTITION BY geno_id ORDER BY site, start_pos, end_pos, bc) - 1 AS track FROM firsts JOIN good USING (geno_id, bc) WHERE k = 1)
+SELECT geno_id AS event_id, site, frag_id, bc, start_pos, end_pos, supporting, track FROM found JOIN numbered USING (geno_id, bc)""",
+    "pair_characteristics": f"""WITH {FRAGMENTS_SQL}, e AS (SELECT geno_id, dataset, coalesce(nx.name, chromx) AS cx, x, coalesce(ny.name, chromy) AS cy, y, orientation FROM genotypes LEFT JOIN names nx ON nx.spelling = chromx LEFT JOIN names ny ON ny.spelling = chromy WHERE y IS NOT NULL AND chromy IS NOT NULL),
+u AS (SELECT * FROM frags WHERE bc IS NOT NULL AND start_pos <= end_pos),
+fx AS (SELECT geno_id, bc, frag_id, start_pos AS s, end_pos AS t FROM e JOIN u ON u.dataset = e.dataset AND u.chrom = cx AND end_pos >= x - {PAD} AND start_pos <= x + {PAD}), fy AS (SELECT geno_id, bc, frag_id, start_pos AS s, end_pos AS t FROM e JOIN u ON u.dataset = e.dataset AND u.chrom = cy AND end_pos >= y - {PAD} AND start_pos <= y + {PAD}),
+pairs AS (SELECT geno_id, fx.s AS sx, fx.t AS tx, fy.s AS sy, fy.t AS ty FROM fx JOIN fy USING (geno_id, bc) WHERE fx.frag_id <> fy.frag_id),
+counts AS (SELECT geno_id, count(*) FILTER (CASE orientation[1] WHEN '+' THEN x - tx WHEN '-' THEN sx - x END BETWEEN {NEAR} AND {FAR} AND CASE orientation[2] WHEN '+' THEN y - ty WHEN '-' THEN sy - y END BETWEEN {NEAR} AND {FAR}) AS supporting,
+  count(*) FILTER (sx <= x + 12000 AND tx >= x - 12000 AND sy <= y + 12000 AND ty >= y - 12000) AS overlapping FROM e LEFT JOIN pairs USING (geno_id) GROUP BY ALL)
+SELECT geno_id AS event_id, supporting, overlapping, CASE WHEN overlapping > 0 THEN supporting / overlapping ELSE 0 END AS fraction FROM counts""",
     "pair_evidence": f"""{_SUPPORT.format(near=-1000, far=5000)}, ends AS (SELECT DISTINCT dataset, chrom, pos, o, bc FROM near), n AS (SELECT dataset, chrom, pos, o, count(*) AS n FROM ends GROUP BY ALL), sized AS (SELECT * FROM ends JOIN n USING (dataset, chrom, pos, o) WHERE n >= 5),
 pairs AS (SELECT a.dataset, a.chrom AS chromx, a.pos AS x, a.o AS ox, b.chrom AS chromy, b.pos AS y, b.o AS oy, count(*) AS shared, any_value(a.n) AS nx, any_value(b.n) AS ny FROM sized a JOIN sized b ON a.dataset = b.dataset AND a.bc = b.bc
   AND (a.chrom < b.chrom OR a.chrom = b.chrom AND (a.pos < b.pos OR a.pos = b.pos AND a.o < b.o)) GROUP BY ALL HAVING count(*) >= 5),
