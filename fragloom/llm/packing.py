@@ -25,7 +25,7 @@ from fragloom.session import Scratch
 GROUPS = 48
 SMALL = 6  # pieces of up to 1 / SMALL of the capacity are small
 SHARD = 20_000  # places and small pieces that one best-fit task takes
-SALTS = 32
+SALTED = 200_000  # pieces of one size that one task ranks
 MAX_CAPACITY = 1_000_000
 
 
@@ -69,11 +69,11 @@ def _places(name: str, capacity: int, sizes: list[tuple[int, int]], groups: int)
     return out
 
 
-def _ranked(large: DataFrame, histogram: DataFrame) -> DataFrame:
-    """Large pieces with their rank by falling size in their container; equal sizes are ranked in salted parts."""
+def _ranked(large: DataFrame, histogram: DataFrame, salts: int) -> DataFrame:
+    """Large pieces with their rank by falling size in their container; equal sizes are ranked in ``salts`` parts."""
     larger = F.sum("n").over(Window.partitionBy("container").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1))
     before = histogram.withColumn("before", F.coalesce(larger, F.lit(0))).drop("n")
-    salted = large.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    salted = large.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     parts = salted.groupBy("container", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("container", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = parts.withColumn("inside", inside).join(before, ["container", "size"]).select("container", "size", "salt", (F.col("inside") + F.col("before")).alias("offset"))
@@ -124,7 +124,8 @@ def pack(lengths: DataFrame, targets: Sequence[tuple[str, int]], scratch: Scratc
         sizes.setdefault(row["container"], []).append((row["size"], row["n"]))
     places = [p for name, capacity in targets if name in sizes for p in _places(name, int(capacity), sizes[name], groups)]
     table = spark.createDataFrame(places, "container string, first bigint, last bigint, base bigint, each bigint")
-    ranked = _ranked(large, histogram).alias("r")
+    most = max((n for own in sizes.values() for _, n in own), default=0)
+    ranked = _ranked(large, histogram, max(8, -(-most // SALTED))).alias("r")
     inside = (F.col("r.container") == F.col("p.container")) & F.col("rank").between(F.col("p.first"), F.col("p.last"))
     number = F.col("base") + F.expr("(rank - first) div each")
     # the places are bounded by the square of ``groups`` for each container

@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ CLOSE, CLOSE_SECOND, FAR, ALIKE = 0.6, 0.5, 0.3, 0.05
 TERM_COSINE, TERM_RIVAL = 0.2, 0.7
 LEAST_COSINE, LEAST_MENTIONS = 0.1, 2
 JOINED = 12  # words between two runs of a test item that still count as one passage
-_BLOCK = 1024
+_BLOCK = 1024  # rows of a matrix in one block
+_FAN_IN = 64  # blocks that one group adds up
 
 _WORD = re.compile(r"[^\W_]+")
 _PART = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+(?![^\W\d_A-Z])")
@@ -182,7 +184,10 @@ class Sparse:
 
 
 def _added_up(vectors: DataFrame, shape: tuple[int, int], each: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
-    """The sum over all documents of what ``each`` adds to a matrix of ``shape``: added up in the tasks, then block by block of its rows."""
+    """The sum over all documents of what ``each`` adds to a matrix of ``shape``: added up in the tasks, then block by block of its rows.
+
+    Blocks are added in a tree, so that a group holds ``_FAN_IN`` of them at most, however many tasks there were.
+    """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(shape, dtype=np.float64)
@@ -193,13 +198,18 @@ def _added_up(vectors: DataFrame, shape: tuple[int, int], each: Callable[[pa.Rec
                 seen = True
         if seen:
             blocks = range(0, shape[0], _BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([out[b : b + _BLOCK].tobytes() for b in blocks], pa.binary())], ["block", "sums"])
+            node = pa.array([TaskContext.get().partitionId()] * len(blocks), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), node, pa.array([out[b : b + _BLOCK].tobytes() for b in blocks], pa.binary())], ["block", "node", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, dtype=np.float64) for x in table.column("sums").to_pylist())
-        return pa.table({"block": table.column("block")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"block": table.column("block")[:1], "node": table.column("node")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    sums = vectors.mapInArrow(part, "block bigint, sums binary").groupBy("block").applyInArrow(add, "block bigint, sums binary")
+    schema = "block bigint, node bigint, sums binary"
+    sums, tasks = vectors.mapInArrow(part, schema), vectors.rdd.getNumPartitions()
+    while tasks > 1:
+        sums = sums.withColumn("node", F.expr(f"node div {_FAN_IN}")).groupBy("block", "node").applyInArrow(add, schema)
+        tasks = -(-tasks // _FAN_IN)
     out = np.zeros(shape)
     for row in sums.collect():  # as many rows as the matrix has blocks
         own = np.frombuffer(bytes(row["sums"]), dtype=np.float64).reshape(-1, shape[1])

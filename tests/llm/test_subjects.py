@@ -65,3 +65,18 @@ def test_singular_vectors_match_a_dense_decomposition(spark):
     basis = singular_vectors(df, scale, 20)
     _, _, vt = np.linalg.svd(dense, full_matrices=False)
     assert abs(abs(basis[:, 0] @ vt[0]) - 1) < 1e-4 and abs(abs(basis[:, 1] @ vt[1]) - 1) < 1e-3
+
+
+def test_sums_of_many_tasks_are_added_in_a_tree(spark, monkeypatch):
+    from fragloom.llm import subjects
+
+    monkeypatch.setattr(subjects, "_FAN_IN", 3)
+
+    def each(batch, out):
+        for row in batch.column(0).to_pylist():
+            out[row % out.shape[0]] += row
+
+    rows = spark.range(0, 5_000, 1, 20)
+    want = np.zeros((2_500, 2)) + (np.arange(2_500) * 2 + 2_500)[:, None]
+    assert (subjects._added_up(rows, (2_500, 2), each) == want).all()
+    assert (subjects._added_up(rows.where("id < 0"), (2_500, 2), each) == 0).all()
