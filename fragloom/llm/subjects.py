@@ -2,7 +2,9 @@
 
 1. Terms are the parts of names, comments and strings (``tokenCount`` and ``token_count`` are token, count). Licence headers,
    lines that say where a file came from, and passages of test items are left out.
-2. A term counts if it is in at least ``MIN_SHARE`` and at most ``MAX_SHARE`` of all documents. A weight is
+2. A term counts if it is in at least ``MIN_SHARE`` of all documents. One in more than ``FREQUENT`` of them is left out where the
+   seeds show that it tells no subject from the others: in none is its share of the seeds ``SEPARATES`` times that of the other
+   seeds. However large a part of the corpus a subject is, its own terms stay. A weight is
    ``(1 + ln tf) / sqrt(df * sum of (1 + ln tf) over the document)``, which gives every term the same pull, rare or not.
 3. The weights' leading ``DIMENSIONS`` right singular vectors come from subspace iteration: each round is one pass over all
    documents that adds up, in the tasks, the product of the weights with themselves and a matrix of (terms x dimensions).
@@ -32,7 +34,7 @@ from fragloom.llm.automaton import words as item_words
 from fragloom.llm.leaks import _blocks, least_run
 from fragloom.session import Scratch
 
-MIN_SHARE, MIN_DOCUMENTS, MAX_SHARE = 1 / 5000, 3, 1 / 20
+MIN_SHARE, MIN_DOCUMENTS, FREQUENT, SEPARATES = 1 / 5000, 3, 1 / 20, 4
 DIMENSIONS, OVERSAMPLED, PASSES = 64, 10, 4
 CLOSE, CLOSE_SECOND, FAR, ALIKE = 0.6, 0.5, 0.3, 0.05
 TERM_COSINE, TERM_RIVAL = 0.2, 0.7
@@ -117,17 +119,65 @@ def document_terms(documents: DataFrame, items: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, terms array<string>, counts array<int>")
 
 
-def vocabulary(terms: DataFrame, n: int) -> tuple[dict[str, int], np.ndarray]:
-    """(number of each term that counts, document frequency by number); a plural in s has the number of its singular."""
+def _in_both(terms: DataFrame, single: dict[str, str]) -> Counter:
+    """The number of documents that have both the plural and its singular, by singular, where ``single`` has the singular of each plural."""
+    sent = terms.sparkSession.sparkContext.broadcast(single)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, of = Counter(), sent.value
+        for batch in batches:
+            for names in batch.column(0).to_pylist():
+                own = set(names)
+                n.update({of[t] for t in own if t in of and of[t] in own})
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+
+    sums = terms.select("terms").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return Counter({r["term"]: r["n"] for r in sums.collect()})
+
+
+def _separating(terms: DataFrame, labels: DataFrame, single: dict[str, str]) -> set[str]:
+    """The terms that tell a subject from the others by the seeds, of those that are values of ``single``."""
+    seeds = terms.join(labels, "doc_id").select("terms", "labels")
+    sent = terms.sparkSession.sparkContext.broadcast(single)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, of = Counter(), sent.value
+        for batch in batches:
+            for names, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for t in ("", *{of[t] for t in names if t in of}):  # "" stands for all seeds, -1 for any subject
+                    n.update((t, s) for s in (-1, *own))
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in n], pa.string()), pa.array([s for _, s in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["term", "s", "n"])
+
+    sums = seeds.mapInArrow(run, "term string, s int, n bigint").groupBy("term", "s").agg(F.sum("n").alias("n"))
+    n = {(r["term"], r["s"]): r["n"] for r in sums.collect()}  # at most (terms of an average document) / FREQUENT, times the subjects
+    found = set()
+    for (t, s), inside in n.items():
+        if t and s >= 0:
+            size = n["", s]
+            outside = (n[t, -1] - inside + 0.5) / (n["", -1] - size + 1)
+            if (inside + 0.5) / (size + 1) >= SEPARATES * outside:
+                found.add(t)
+    return found
+
+
+def vocabulary(terms: DataFrame, n: int, labels: DataFrame) -> tuple[dict[str, int], np.ndarray]:
+    """(number of each term that counts, document frequency by number); a plural in s has the number of its singular.
+
+    ``labels`` (doc_id, labels) are the seeds' subjects.
+    """
     least = max(MIN_DOCUMENTS, n * MIN_SHARE)
     df = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
     counts = {r["term"]: r["df"] for r in df.collect()}  # at most (terms of an average document) / MIN_SHARE
     single = {t: t[:-1] if t.endswith("s") and counts.get(t[:-1], 0) >= counts[t] else t for t in counts}
+    both = _in_both(terms, {t: s for t, s in single.items() if s != t})
     total = Counter()
     for t, s in single.items():
         total[s] += counts[t]
+    total.subtract(both)
+    frequent = {s for s in total if total[s] > FREQUENT * n}
+    separating = _separating(terms, labels, {t: s for t, s in single.items() if s in frequent}) if frequent else set()
     number: dict[str, int] = {}
-    for t in sorted(t for t in counts if single[t] == t and total[t] <= MAX_SHARE * n):
+    for t in sorted(t for t in counts if single[t] == t and (t not in frequent or t in separating)):
         number[t] = len(number)
     freq = np.array([total[t] for t in number], dtype=np.float64)
     return number | {t: number[s] for t, s in single.items() if s != t and s in number}, freq
@@ -327,12 +377,14 @@ def document_subjects(documents: DataFrame, seeds: DataFrame, subjects: list[str
     spark = documents.sparkSession
     terms = scratch.table(document_terms(documents, items))
     n = terms.count()
-    number, freq = vocabulary(terms, n)
-    if not len(freq) or not subjects:
+    if not subjects:
         return spark.createDataFrame([], "doc_id bigint, subject string")
-    scale = 1 / np.sqrt(freq)
     place = F.array_position(F.array(*[F.lit(s) for s in subjects]), F.col("subject")) - 1
     labels = seeds.where("doc_id IS NOT NULL AND subject IS NOT NULL").select(F.col("doc_id").cast("bigint"), place.cast("int").alias("s")).where("s >= 0").groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("labels"))
+    number, freq = vocabulary(terms, n, labels)
+    if not len(freq):
+        return spark.createDataFrame([], "doc_id bigint, subject string")
+    scale = 1 / np.sqrt(freq)
     vectors = scratch.table(document_vectors(terms, number, labels))
     basis = singular_vectors(vectors, scale)
     first, second = centroids(vectors, basis, scale, len(subjects))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from fragloom.llm.subjects import body, document_subjects, singular_vectors
+from fragloom.llm.subjects import body, document_subjects, singular_vectors, vocabulary
 from fragloom.session import Scratch
 
 ITEMS = "item_id bigint, prompt string, solution string"
@@ -36,6 +36,30 @@ def test_held_out_documents(spark):
     assert not {x for x in got if x[0] in (1000, 1001)} and (1002, "sea") in got
 
 
+def test_a_subject_of_a_third_of_all_documents_keeps_its_terms(spark):
+    r = random.Random(3)
+    own = {"sea": [f"sea{a}{b}" for a in LETTERS for b in "kl"], "sky": [f"sky{a}{b}" for a in LETTERS for b in LETTERS]}
+    rows, labels = [], []
+    for i in range(600):
+        s = "sea" if i % 3 == 0 else "sky" if i % 10 == 1 else None
+        names = (r.choices(own[s], k=8) if s else []) + r.choices(NOISE, k=6)
+        r.shuffle(names)
+        rows.append((i, "\n".join(f"def {a}(x):  # common words here" for a in names)))
+        labels += [(i, s)] if s else []
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seeds = spark.createDataFrame([x for x in labels if x[0] < 200], "doc_id bigint, subject string")
+    got = {tuple(x) for x in document_subjects(docs, seeds, ["sea", "sky"], spark.createDataFrame([], ITEMS), Scratch(spark, "t")).collect()}
+    want, mine = {x for x in labels if x[0] >= 200}, {x for x in got if x[0] >= 200}
+    assert len(mine & want) >= 0.97 * max(len(mine), len(want))
+
+
+def test_terms_are_counted_by_distinct_documents(spark):
+    rows = [(i, ["thread", "threads"] if i < 4 else ["thread"] if i < 6 else ["the", "rest"]) for i in range(200)]
+    labels = spark.createDataFrame([(i, [0 if i < 6 else 1]) for i in (0, 1, 2, 50, 51, 52)], "doc_id bigint, labels array<int>")
+    number, freq = vocabulary(spark.createDataFrame(rows, "doc_id bigint, terms array<string>"), 200, labels)
+    assert number["thread"] == number["threads"] and freq[number["thread"]] == 6
+
+
 def test_no_seeds_no_documents(spark):
     rows, _ = corpus(60)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
