@@ -45,34 +45,100 @@ _FAN_IN = 64  # blocks that one group adds up
 
 _WORD = re.compile(r"[^\W_]+")
 _PART = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+(?![^\W\d_A-Z])")
-_MARK = re.compile(r"\s*(//|#|--|<!--|/?\*+|;|%)")
-_LEGAL = re.compile(r"(?i)copyright|licen[cs]e|spdx|rights|not for release|public terms|generated|machine-written|do not (?:change|edit)")
-_ORIGIN = re.compile(r"(?i)\b(?:copied|produced|generated|taken|vendored) from\b")
+_MARK = re.compile(r"[\s\ufeff]*(//|#(?!(?:include|define|undef|if|ifdef|ifndef|else|elif|endif|pragma)\b)|--|<!--|/?\*+|;+(?=\s)|%+(?=\s))")
+_BLANK = re.compile(r"[\s\ufeff]*")
+_MADE = r"(?:@generated\b|(?:(?:this (?:file|code) (?:was|is) |code )?(?:auto[- ]?)?generated|machine-written) by\b)"
+#: In a comment at the top.
+_LEGAL = re.compile(r"(?i)\b(?:copyright|licen[cs]e[ds]?|spdx|licenseref|all rights|rights (?:granted|reserved)|not for release|public terms)\b")
+_GENERATED = re.compile(rf"(?i){_MADE}|\b(?:auto[- ]?generated|machine-written)\b|\bdo not (?:change|edit|modify)(?: (?:this|it|by)\b|\W*$)")
+#: In text without a comment mark, where a word alone says little.
+_NOTICE = re.compile(r"(?i)\bcopyright\s+(?:\(c\)|©|\d{4})|\(c\)\s+\d{4}\b|\bspdx-|\ball\s+rights\s+(?:reserved|not\s+granted)\b|\bnot\s+for\s+release\b|\blicen[cs]ed\s+under\b|\bunder\s+(?:the|a|an)\s+[\w\s.-]{0,60}(?:licen[cs]e|public\s+terms)\b|\bsee\s+the\s+licen[cs]e\s+file\b")
+_TAIL = re.compile(r"(?i)\b(?:this\s+notice|liability|warranty|without\s+a\s+written\s+contract|do\s+not\s+pass\s+on)\b")
+_CLAUSE = re.compile(rf"(?i)[\s\ufeff]*{_MADE}(?:(?<!@generated)[ \t]+[\w-]+(?:[ \t]+v?\d[\w.]*)?)?(?:[;,.][ \t]*do not (?:change|edit|modify)(?: by hand)?\b\.?)?")
+_SENTENCE = re.compile(r"\S.{0,400}?(?:[.!?](?=\s|$)|$(?!\n)|(?=\n[^\S\n]*(?:\n|$)))", re.S)
+_CODE = re.compile(r"[{}<>=\[\]\"|\\$`]|\w\(")
+_ORIGIN = re.compile(r"(?i)\b(?:this file (?:was|is) )?(?:copied|produced|generated|taken|vendored) from\s+[\w.~@-]*[/.\\]\w[^\s,;'\"<>(){}]*")
+_LONG = 200  # characters; a longer line holds more than a note
+
+
+def _unmarked_notice(text: str, at: int) -> int:
+    """The end of the notice without a comment mark at ``at``; ``at`` if there is none. It ends with its last sentence that is legal."""
+    made = _CLAUSE.match(text, at)
+    if made:
+        line = text.find("\n", made.end()) + 1 or len(text)
+        rest = text[made.end() : line]
+        return made.end() if _CODE.search(rest) or len(rest) > _LONG else line
+    end = here = at
+    for n in range(6):
+        found = _SENTENCE.match(text, _BLANK.match(text, here).end())
+        if not found or _CODE.search(found[0]) or re.search(r"\n[^\S\n]*\n", text[here : found.start()]) and n:
+            break
+        here = found.end()
+        if _NOTICE.search(found[0]) or (end > at and _TAIL.search(found[0])):
+            end = here
+        elif n > 0 and end == at:
+            break
+    blank = re.compile(r"[^\S\n]*\n").match(text, end)
+    return blank.end() if end > at and blank else end
+
+
+def _marked_notice(text: str, at: int, mark: str) -> tuple[int, str]:
+    """(end, what stays of it) of the comment at ``at``, which begins with ``mark``; the end is ``at`` if it is no notice."""
+    close = {"/*": "*/", "<!": "-->"}.get(mark[:2])
+    shut = text.find(close, at) if close else -1
+    if shut >= 0 and "<!--" not in text[text.find(mark, at) + len(mark) : shut]:
+        end = shut + len(close)
+        comment = text[at:end]
+        if not _LEGAL.search(comment) and not (len(comment) <= 2 * _LONG and _GENERATED.search(comment.removesuffix(close))):
+            return at, ""
+        blank = re.compile(r"[^\S\n]*\n").match(text, end)
+        return (blank.end() if blank else end), ""
+    end, lines = at, []
+    while end < len(text):
+        line = text.find("\n", end) + 1 or len(text)
+        own = _MARK.match(text, end, line)
+        if not own or own[1] != mark:
+            break
+        lines.append(text[end:line])
+        end = line
+    if _LEGAL.search("".join(lines)):
+        return end, ""
+    kept = [x for x in lines if not _GENERATED.search(x.rstrip())]
+    return (end, "".join(kept)) if len(kept) < len(lines) else (at, "")
+
+
+def _without_origin(line: str) -> str | None:
+    """The line without where it came from; None if it says nothing else."""
+    found = _ORIGIN.search(line)
+    if not found:
+        return line
+    mark = _MARK.match(line)
+    if len(line) <= _LONG and (mark or not _CODE.search(line)) and not line[mark.end() if mark else 0 : found.start()].strip(" \t\ufeff*"):
+        return None
+    return _ORIGIN.sub(" ", line)
 
 
 def body(text: str) -> str:
-    """The text without leading blocks of licence or generator notes and without lines that say where it came from.
+    """The text without the licence and generator notes at its top and without what says where it came from.
 
-    A block is the run of lines with the same comment mark, or of lines without one up to an empty line.
+    A note is a run of lines with the same comment mark, one block comment, or, without a mark, some sentences without code. Of
+    a run that only names a generator the lines that do so go, of a long line the clause.
     """
-    lines, at = text.split("\n"), 0
-    while at < len(lines):
-        first = at
-        while first < len(lines) and not lines[first].strip():
-            first += 1
-        if first == len(lines):
+    at, kept = 0, ""
+    while True:
+        first = _BLANK.match(text, at).end()
+        if first == len(text):
             break
-        mark, end = _MARK.match(lines[first]), first
-        while end < len(lines) and lines[end].strip():
-            own = _MARK.match(lines[end])
-            if (own and own[1]) != (mark and mark[1]):
-                break
-            end += 1
-        if not _LEGAL.search("\n".join(lines[first:end])):
+        first = max(at, text.rfind("\n", at, first) + 1)
+        mark = _MARK.match(text, first)
+        end, stays = _marked_notice(text, first, mark[1]) if mark else (_unmarked_notice(text, first), "")
+        if end == first:
             break
-        at = end
-    rest = "\n".join(lines[at:])
-    return "\n".join(x for x in lines[at:] if not _ORIGIN.search(x)) if _ORIGIN.search(rest) else rest
+        at, kept = end, kept + stays
+    rest = kept + text[at:]
+    if not _ORIGIN.search(rest):
+        return rest
+    return "\n".join(x for x in map(_without_origin, rest.split("\n")) if x is not None)
 
 
 def _leaked(lower: list[str], automata: list[SuffixAutomaton]) -> np.ndarray | None:

@@ -76,6 +76,29 @@ def test_body_leaves_out_notes():
     assert body("") == "" and body("\n\n") == "\n\n"
 
 
+def test_body_keeps_texts_that_only_contain_such_words():
+    rows = "".join(f'  {{"isotope": {i}, "memo": "taxonomy of the enzyme"}},\n' for i in range(50))
+    json = rows + '  {"rightSpecimen": 1, "generated": "license of the orbit", "memo": "all rights reserved"}'
+    html = "<section>\n  <p>the oven is generated by a license, do not change</p>\n</section>"
+    mini = "!function(){const right=1;/* see the rights and licence notes */const generated='Copyright 2020';return copyright(right)}()"
+    for text in (json, html, mini, "generatedKitchen = 1", "def license_court(x):\n  return x"):
+        assert body(text) == text
+
+
+def test_body_takes_only_the_note_before_a_text_without_empty_lines():
+    terms = "This file belongs to x-1. Use is free under the Greenbank\nPublic Terms 1.1; a party that brings a claim\nloses the rights granted here. See the licence file for the governing law and the full list of\nconditions.\n"
+    rows = '  {"court": "serve paddle"},\n  {"right": "hurdle"}\n'
+    assert body(terms + rows) == rows and body(terms + "\n" + rows) == "\n" + rows
+    assert body("@generated\n<p>sea</p>\n<p>sky</p>") == "<p>sea</p>\n<p>sky</p>"
+    assert body("machine-written by stubgrinder 5.0; do not change\n<p>sea</p>") == "<p>sea</p>"
+    assert body("# @generated\n# a tide with two seas\nsea = 1") == "# a tide with two seas\nsea = 1"
+    assert body("machine-written by stubgrinder 5.0; do not change !function(){sea()}()").strip() == "!function(){sea()}()"
+    assert body("/* Copyright 2020 x. All rights reserved. */!function(){sea()}()") == "!function(){sea()}()"
+    assert body("\ufeff// Copyright 2020 x\n// in any court\nsea()") == "sea()"
+    long = "const sea='" + "tide " * 60 + "';/* copied from lib/oven.js */sky()"
+    assert body(long).startswith("const sea=") and body(long).endswith("sky()") and "oven" not in body(long)
+
+
 def test_singular_vectors_match_a_dense_decomposition(spark):
     rng = np.random.default_rng(0)
     rows, dense, scale = [], np.zeros((80, 20)), rng.random(20) + 0.5
