@@ -131,6 +131,25 @@ def compare_breakpoints(pairs: DataFrame, events: DataFrame, fragments: DataFram
     return tested.groupBy("event_a", "event_b").agg(F.min_by(F.struct("dataset", "shared", "total", "p"), F.struct("p", "dataset")).alias("_b")).select("event_a", "event_b", "_b.*")
 
 
+def supported_facing_edges(best: DataFrame, events: DataFrame, fragments: DataFrame, min_ratio: float = 0.01, min_shared: int = 20, max_p: float = 1e-4) -> DataFrame:
+    """(u, v, kind, p, shared, total): facing nodes of ``best``, in which a node has one edge, whose two breakpoints have enough barcodes in common.
+
+    ``best`` has (u, v, event_id, chromx, x, chromy, y, orientation).
+    """
+    end = lambda s, i: F.struct(F.col(f"chrom{s}").alias("chrom"), F.col(s).alias("pos"), F.substring("orientation", i, 1).alias("orientation"), "event_id")
+    nodes = best.select(F.inline(F.array(end("x", 1), end("y", 2))))
+    side = lambda pos, event: nodes.select("chrom", F.col("pos").alias(pos), "orientation", F.col("event_id").alias(event))
+    left = side("left_pos", "event_a").where("orientation = '-'").drop("orientation")
+    right = side("right_pos", "event_b").where("orientation = '+'").drop("orientation")
+    near = facing_pairs(nodes).join(left, ["chrom", "left_pos"]).join(right, ["chrom", "right_pos"])
+    pairs = near.select("event_a", "event_b").distinct()
+    own = events.join(pairs.select(F.explode(F.array("event_a", "event_b")).alias("event_id")).distinct(), "event_id", "left_semi")
+    tested = compare_breakpoints(pairs, own, fragments)
+    passing = tested.where((F.col("shared") >= min_shared) & (F.col("shared") >= F.col("total") * min_ratio) & (F.col("p") <= max_p))
+    u, v = node_key("chrom", "left_pos", F.lit("-")), node_key("chrom", "right_pos", F.lit("+"))
+    return near.join(passing, ["event_a", "event_b"]).select(u.alias("u"), v.alias("v"), F.lit("facing").alias("kind"), "p", F.col("shared").cast("bigint").alias("shared"), F.col("total").cast("bigint").alias("total"))
+
+
 def edge_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``edges`` (u, v, ...) with ``cluster``, the least node of their component."""
     of = components(edges.select("u", "v"), scratch)
@@ -164,7 +183,7 @@ def _on_cycles(edges: Iterable[tuple[str, str]]) -> set[str]:
 
 
 def clean_components(edges: DataFrame) -> DataFrame:
-    """(cluster, u, v, kind, p) of ``edges`` after cleaning every cluster by itself; a cluster is one event, so it is small.
+    """(cluster, u, v, kind, p, and shared and total if there) of ``edges`` after cleaning every cluster by itself; a cluster is one event, so it is small.
 
     While there is a cycle, the edge with the least p at any of its nodes goes; then, once, nodes with a single edge that is a
     facing one. Equal p is decided by the nodes' keys.
@@ -180,7 +199,8 @@ def clean_components(edges: DataFrame) -> DataFrame:
         loose = left["u"].map(degree).eq(1) | left["v"].map(degree).eq(1)
         return plain(left[~(loose & (left["kind"] == "facing"))])
 
-    rows = edges.select("cluster", "u", "v", "kind", "p").dropDuplicates(["u", "v"]).where("u <> v")
+    rest = [c for c in ("shared", "total") if c in edges.columns]
+    rows = edges.select("cluster", "u", "v", "kind", "p", *rest).dropDuplicates(["u", "v"]).where("u <> v")
     return rows.groupBy("cluster").applyInPandas(clean, rows.schema)
 
 

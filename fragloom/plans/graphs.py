@@ -107,14 +107,23 @@ def _facing_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breakpoint and facing edges with the component they belong to."""
+    """Breakpoint and facing edges with the component they belong to; as its SQL has it, facing edges by position alone."""
     scratch = Scratch(spark, "components")
     edges = _graph(spark, sf_dir).select("u", "v", F.lit("breakpoint").alias("kind"), F.coalesce("p", F.lit(1.0)).alias("p")).unionByName(_facing_edges(spark, sf_dir))
     return gr.edge_components(scratch.table(edges), scratch)
 
 
+def _tested_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best breakpoint edges and the facing edges their barcodes support, with the component they belong to."""
+    scratch = Scratch(spark, "tested")
+    best = scratch.table(gr.best_at_both_ends(_graph(spark, sf_dir)))
+    facing = gr.supported_facing_edges(best, va.events(spark, sf_dir), fragments(spark, sf_dir, "dataset", "chrom", "start_pos", "end_pos", "bc", "hap"))
+    breakpoints = best.select("u", "v", F.lit("breakpoint").alias("kind"), F.coalesce("p", F.lit(1.0)).alias("p"), "shared", "total")
+    return gr.edge_components(scratch.table(breakpoints.unionByName(facing)), scratch)
+
+
 def clean_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.clean_components(event_components(spark, sf_dir))
+    return gr.clean_components(_tested_components(spark, sf_dir))
 
 
 def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

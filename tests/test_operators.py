@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fragloom.functions import stats, text
 from fragloom.operators import candidates, graph, qc, windows
@@ -101,6 +102,22 @@ def test_cleaning_breaks_cycles_and_trims_facing_ends(spark):
     assert [(r.u, r.v, r.kind) for r in path] == [("a", "b", "x"), ("b", "c", "y")]
 
 
+def test_facing_edges_need_common_barcodes(spark):
+    best = [("a", "b", 1, "1", 10_000, "2", 50_000, "+-"), ("c", "d", 2, "2", 70_000, "3", 20_000, "+-"), ("e", "f", 3, "4", 10_000, "5", 50_000, "+-"), ("g", "h", 4, "5", 70_000, "6", 20_000, "+-")]
+    best = spark.createDataFrame(best, "u string, v string, event_id bigint, chromx string, x bigint, chromy string, y bigint, orientation string")
+    rows = []
+    for i in range(30):
+        # the same barcodes cross 1 and 2, different ones 3 and 4, which lie just as near
+        rows += [("1", 5_000, 10_000, f"s{i}"), ("2", 50_000, 70_000, f"s{i}"), ("3", 20_000, 25_000, f"s{i}")]
+        rows += [("4", 5_000, 10_000, f"l{i}"), ("5", 50_000, 55_000, f"l{i}"), ("5", 65_000, 70_000, f"r{i}"), ("6", 20_000, 25_000, f"r{i}")]
+    rows += [("9", 100, 200, f"o{i}") for i in range(300)]
+    frags = spark.createDataFrame([(i, "d", *r, 1) for i, r in enumerate(rows)], "frag_id bigint, dataset string, chrom string, start_pos bigint, end_pos bigint, bc string, hap int")
+    events = best.select("event_id", F.lit("d").alias("dataset"), "chromx", "x", "chromy", "y", "orientation")
+    got = graph.supported_facing_edges(best, events, frags).collect()
+    assert [(r.u, r.v, r.kind, r.shared, r.total) for r in got] == [("2:000000050000:-", "2:000000070000:+", "facing", 30, 30)] and got[0].p < 1e-20
+    assert graph.supported_facing_edges(best, events, frags, min_shared=31).count() == 0
+
+
 def test_peaks_apart(spark):
     cells = [(1, "++", 0, 0, 30, 40), (1, "++", 10, 0, 30, 50), (1, "++", 11, 0, 30, 60), (1, "++", 40, 0, 25, 400)]
     df = spark.createDataFrame(cells, "region_id int, orientation string, bx bigint, `by` bigint, n bigint, total bigint")
