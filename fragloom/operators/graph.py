@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,34 +155,61 @@ def edge_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.join(of.select(F.col("node").alias("u"), F.col("component").alias("cluster")), "u")
 
 
-def _on_cycles(edges: Iterable[tuple[str, str]]) -> set[str]:
-    """Nodes of the fundamental cycles of a small graph."""
-    around: dict[str, list[str]] = {}
-    for a, b in edges:
-        around.setdefault(a, []).append(b)
-        around.setdefault(b, []).append(a)
-    up: dict[str, str | None] = {}
-    found: set[str] = set()
-    for root in sorted(around):
-        if root in up:
-            continue
-        up[root], todo, depth = None, [root], {root: 0}
-        for node in todo:
-            for other in sorted(around[node]):
-                if other not in up:
-                    up[other], depth[other] = node, depth[node] + 1
-                    todo.append(other)
-                elif other != up[node]:
-                    a, b = node, other
-                    while a != b:
-                        found |= {a, b}
-                        a, b = (up[a], b) if depth[a] >= depth[b] else (a, up[b])
-                    found.add(a)
-    return found
+def _cycle_ranks(edges: list[tuple[str, str]]) -> list[bool]:
+    """Which of ``edges``, by rank, go when the first edge at any node of a cycle is removed until there is no cycle.
+
+    A kept edge was at no cycle when its turn came, and removals make no cycles; so an edge goes if one of its nodes is on a cycle
+    of the edges from its own rank on. Edges are added from the last; one that closes a cycle marks the nodes of its tree path,
+    which are then contracted, so that each node is passed once.
+    """
+    number: dict[str, int] = {}
+    ends = [(number.setdefault(a, len(number)), number.setdefault(b, len(number))) for a, b in edges]
+    n = len(number)
+
+    def find(of: list[int], x: int) -> int:
+        while of[x] != x:
+            of[x] = of[of[x]]
+            x = of[x]
+        return x
+
+    tree, joined = [False] * len(ends), list(range(n))
+    around: list[list[int]] = [[] for _ in range(n)]
+    for i in reversed(range(len(ends))):
+        a, b = ends[i]
+        x, y = find(joined, a), find(joined, b)
+        if x != y:
+            joined[x] = y
+            tree[i] = True
+            around[a].append(b)
+            around[b].append(a)
+    up, depth = [-1] * n, [-1] * n
+    for root in range(n):
+        if depth[root] < 0:
+            depth[root], todo = 0, [root]
+            for node in todo:
+                for other in around[node]:
+                    if depth[other] < 0:
+                        up[other], depth[other] = node, depth[node] + 1
+                        todo.append(other)
+    top, since = list(range(n)), [-1] * n  # the highest node contracted with each; the last rank from which it is on a cycle
+    for i in reversed(range(len(ends))):
+        if not tree[i]:
+            for x in ends[i]:
+                since[x] = max(since[x], i)
+            a, b = (find(top, x) for x in ends[i])
+            while a != b:
+                if depth[a] < depth[b]:
+                    a, b = b, a
+                since[a], since[up[a]] = max(since[a], i), max(since[up[a]], i)
+                top[a] = up[a]
+                a = find(top, a)
+    return [max(since[a], since[b]) >= i for i, (a, b) in enumerate(ends)]
 
 
 def clean_components(edges: DataFrame) -> DataFrame:
-    """(cluster, u, v, kind, p, and shared and total if there) of ``edges`` after cleaning every cluster by itself; a cluster is one event, so it is small.
+    """(cluster, u, v, kind, p, and shared and total if there) of ``edges`` after cleaning every cluster by itself.
+
+    A cluster is held by one task, which takes time in proportion to its edges, but for sorting them.
 
     While there is a cycle, the edge with the least p at any of its nodes goes; then, once, nodes with a single edge that is a
     facing one. Equal p is decided by the nodes' keys.
@@ -191,9 +217,7 @@ def clean_components(edges: DataFrame) -> DataFrame:
 
     def clean(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf.sort_values(["p", "u", "v"])
-        while cycle := _on_cycles(zip(left["u"], left["v"])):
-            at = left.index[left["u"].isin(cycle) | left["v"].isin(cycle)][0]
-            left = left.drop(index=at)
+        left = left[~np.array(_cycle_ranks(list(zip(left["u"], left["v"]))), dtype=bool)]
         ends = pd.concat([left["u"], left["v"]])
         degree = ends.value_counts()
         loose = left["u"].map(degree).eq(1) | left["v"].map(degree).eq(1)

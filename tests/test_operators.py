@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +104,45 @@ def test_cleaning_breaks_cycles_and_trims_facing_ends(spark):
     assert [(r.u, r.v, r.kind) for r in path] == [("a", "b", "x"), ("b", "c", "y")]
 
 
+def _step_by_step(edges):
+    """Indices that go: the first edge at a node of a cycle, again and again; a node is on a cycle if one of its edges is no bridge."""
+
+    def reach(a, left):
+        seen, todo = {a}, [a]
+        for n in todo:
+            for u, v in left:
+                for x, y in ((u, v), (v, u)):
+                    if x == n and y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+        return seen
+
+    left, gone = dict(enumerate(edges)), set()
+    while True:
+        on = {n for i, (u, v) in left.items() if v in reach(u, [e for j, e in left.items() if j != i]) for n in (u, v)}
+        first = next((i for i, e in left.items() if set(e) & on), None)
+        if first is None:
+            return gone
+        gone.add(first)
+        del left[first]
+
+
+def test_cleaning_equals_removal_step_by_step():
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        n = int(rng.integers(3, 10))
+        pairs = {tuple(sorted((f"n{a}", f"n{b}"))) for a, b in rng.integers(0, n, (int(rng.integers(2, 16)), 2)) if a != b}
+        edges = [tuple(e) for e in rng.permutation(sorted(pairs)).tolist()] if pairs else []
+        assert {i for i, out in enumerate(graph._cycle_ranks(edges)) if out} == _step_by_step(edges)
+
+
+def test_a_large_cluster_is_cleaned_in_one_pass():
+    edges = [e for i in range(60_000) for e in ((f"a{i}", f"a{i + 1}"), (f"a{i}", f"b{i}"), (f"b{i}", f"a{i + 1}"))]
+    began = time.monotonic()
+    gone = graph._cycle_ranks(edges)
+    assert time.monotonic() - began < 30 and len(gone) == 180_000 and gone[0] and sum(gone) >= 60_000
+
+
 def test_facing_edges_need_common_barcodes(spark):
     best = [("a", "b", 1, "1", 10_000, "2", 50_000, "+-"), ("c", "d", 2, "2", 70_000, "3", 20_000, "+-"), ("e", "f", 3, "4", 10_000, "5", 50_000, "+-"), ("g", "h", 4, "5", 70_000, "6", 20_000, "+-")]
     best = spark.createDataFrame(best, "u string, v string, event_id bigint, chromx string, x bigint, chromy string, y bigint, orientation string")
