@@ -63,10 +63,12 @@ def best_edges(edges: DataFrame, scratch: Scratch, weight: str = "ratio", max_ro
     """The edges left when the one with the greatest ``weight`` is taken again and again and the others at its two nodes are dropped.
 
     In every round all edges that are the best at both of their nodes are taken at once, which gives the same edges. Equal
-    weights are decided by the nodes' keys.
+    weights are decided by the nodes' keys. Edges left after ``max_rounds`` raise RuntimeError.
     """
     left, taken = scratch.table(edges), []
-    while not left.isEmpty() and len(taken) < max_rounds:
+    while not left.isEmpty():
+        if len(taken) == max_rounds:
+            raise RuntimeError(f"not done after {max_rounds} rounds")
         rank = F.struct(F.col(weight).alias("w"), "u", "v")
         best = left.select(F.explode(F.array("u", "v")).alias("node"), rank.alias("r")).groupBy("node").agg(F.max("r").alias("r"))
         chosen = scratch.table(best.groupBy("r").agg(F.count(F.lit(1)).alias("ends")).where("ends = 2 OR r.u = r.v").select(F.col("r.u").alias("u"), F.col("r.v").alias("v")))

@@ -95,6 +95,13 @@ def test_best_edges_equal_the_sequential_rule(spark):
     assert {(r.u, r.v) for r in graph.best_edges(df, Scratch(spark, "t")).collect()} == _sequential(edges)
 
 
+def test_best_edges_are_never_lost(spark):
+    df = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1.0 - i / 10) for i in range(6)], "u string, v string, ratio double")
+    with pytest.raises(RuntimeError):
+        graph.best_edges(df, Scratch(spark, "t"), max_rounds=2)
+    assert graph.best_edges(df, Scratch(spark, "t"), max_rounds=3).count() == 3
+
+
 def test_cleaning_breaks_cycles_and_trims_facing_ends(spark):
     rows = [("k", "a", "b", "breakpoint", 1e-9), ("k", "b", "c", "facing", 1e-5), ("k", "a", "c", "breakpoint", 1e-6), ("k", "c", "d", "facing", 1e-5)]
     df = spark.createDataFrame(rows, "cluster string, u string, v string, kind string, p double")
