@@ -57,7 +57,9 @@ def _pair_counts(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFram
     scratch = Scratch(spark, "p5")
     f = table(spark, sf_dir, "fragments").select("dataset", "chrom", barcode(F.col("bc")).alias("id"), F.unix_micros(F.col("delivered_at").cast("timestamp")).alias("seq"))
     f = with_chromosome(f.where("id IS NOT NULL"), table(spark, sf_dir, "chroms"), "chrom")
-    joins = scratch.table(f.groupBy(F.concat_ws("|", "dataset", "chrom").alias("set_name"), "id").agg(F.min("seq").alias("seq")))
+    # what has no time comes first
+    first = F.coalesce(F.min("seq"), F.lit(-(1 << 63)).cast("bigint"))
+    joins = scratch.table(f.groupBy(F.concat_ws("|", "dataset", "chrom").alias("set_name"), "id").agg(first.alias("seq")))
     cuts = joins.agg(F.percentile_approx("seq", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     counts = PairCounts(scratch)
     for low, high in zip([None, *cuts], [*cuts, None]):

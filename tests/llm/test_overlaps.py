@@ -1,7 +1,9 @@
+import datetime
 import random
 from itertools import combinations
 
 from fragloom.llm.overlaps import PairCounts
+from fragloom.llm.sets_and_groups import p5_overlaps
 from fragloom.session import Scratch
 
 SCHEMA = "set_name string, id string, present boolean, seq bigint, d string, other string"
@@ -32,3 +34,15 @@ def test_empty_batches(spark):
     counts.apply(spark.createDataFrame([("a", "x", True, 1, "", ""), ("b", "x", True, 1, "", "")], SCHEMA))
     counts.apply(none)
     assert [tuple(r) for r in counts.overlaps().collect()] == [("a", "b", 1, 1, 1, 1)]
+
+
+def test_rows_without_a_time_are_counted(spark, tmp_path):
+    spark.createDataFrame([("1", 0, 1000, "chr1", "A1"), ("2", 1, 1000, "chr2", "A2")], "chrom string, idx int, length bigint, alias_name string, accession string").write.parquet(f"{tmp_path}/chroms.parquet")
+    codes = ["".join("ACGT"[(i >> 2 * k) & 3] for k in range(16)) + "-1" for i in range(30)]
+    for name, timed in (("some", lambda i: i % 3), ("none", lambda i: False)):
+        at = lambda i: datetime.datetime(2024, 1, 1 + i % 28) if timed(i) else None
+        rows = [("d", c, b, at(i)) for i, b in enumerate(codes) for c in ("1", "2") if c == "1" or i % 2]
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "chroms.parquet").symlink_to(tmp_path / "chroms.parquet")
+        spark.createDataFrame(rows, "dataset string, chrom string, bc string, delivered_at timestamp").write.parquet(f"{tmp_path}/{name}/fragments.parquet")
+        assert [tuple(r)[2:] for r in p5_overlaps(spark, f"{tmp_path}/{name}").collect()] == [(30, 15, 15, 30)]
