@@ -2,13 +2,14 @@
 
 1. Terms are the parts of names, comments and strings (``tokenCount`` and ``token_count`` are token, count). Licence headers,
    lines that say where a file came from, and passages of test items are left out.
-2. A term counts if it is in at least ``MIN_SHARE`` of all documents. One in more than ``FREQUENT`` of them is left out where the
-   seeds show that it tells no subject from the others: in none is its share of the seeds ``SEPARATES`` times that of the other
-   seeds. However large a part of the corpus a subject is, its own terms stay. A weight is
+2. A term counts if it is in at least ``MIN_SHARE`` of all documents, or in ``MIN_DOCUMENTS`` of the seeds, so that a rare subject
+   keeps its words. One in more than ``FREQUENT`` of all documents is left out where the seeds show that it tells no subject from
+   the others: in none is its share of the seeds ``SEPARATES`` times that of the other seeds. However large a part of the corpus a subject is, its own terms stay. A weight is
    ``(1 + ln tf) / sqrt(df * sum of (1 + ln tf) over the document)``, which gives every term the same pull, rare or not.
 3. The weights' leading ``DIMENSIONS`` right singular vectors come from subspace iteration: each round is one pass over all
    documents that adds up, in the tasks, the product of the weights with themselves and a matrix of (terms x dimensions).
-   That matrix is all the driver sees. It is bounded: with T terms in a document on average, T / MIN_SHARE terms can count.
+   That matrix is all the driver sees. It is bounded: with T terms in a document on average, T / MIN_SHARE terms can count, and
+   T * SEEDS / MIN_DOCUMENTS of the seeds.
 4. A subject's centroid is the mean of its seeds' embeddings; each round adds every document that lies close. Some seeds lie
    far from their subject's centroid because they use other words for it, such as those of another language: in the space
    left by the first centroids they make a second one for the subject, if they are alike, refined in the same way.
@@ -22,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragloom.llm.automaton import SuffixAutomaton
-from fragloom.llm.automaton import words as item_words
-from fragloom.llm.leaks import _blocks, least_run
+from fragloom.llm.leaks import least_run
+from fragloom.llm.runs import item_parts, item_runs, run_filter
 from fragloom.session import Scratch
 
 MIN_SHARE, MIN_DOCUMENTS, FREQUENT, SEPARATES = 1 / 5000, 3, 1 / 20, 4
+SEEDS = 20_000  # labelled documents that the subjects are fitted to at most, the first by a hash of their number
 DIMENSIONS, OVERSAMPLED, PASSES = 64, 10, 4
 CLOSE, CLOSE_SECOND, FAR, ALIKE = 0.6, 0.5, 0.3, 0.05
 TERM_COSINE, TERM_RIVAL = 0.2, 0.7
@@ -47,13 +49,17 @@ _WORD = re.compile(r"[^\W_]+")
 _PART = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+(?![^\W\d_A-Z])")
 _MARK = re.compile(r"[\s\ufeff]*(//|#(?!(?:include|define|undef|if|ifdef|ifndef|else|elif|endif|pragma)\b)|--|<!--|/?\*+|;+(?=\s)|%+(?=\s))")
 _BLANK = re.compile(r"[\s\ufeff]*")
-_MADE = r"(?:@generated\b|(?:(?:this (?:file|code) (?:was|is) |code )?(?:auto[- ]?)?generated|machine-written) by\b)"
+#: How notes on rights and on generators are usually worded.
+_WRITER = r"(?:auto(?:matically)?|machine|computer|tool)[- ]?(?:generated|written|made|created)"
+_MADE = rf"(?:@generated\b|(?:(?:this (?:file|code) (?:was|is) |code )?(?:{_WRITER}|generated)) by\b)"
+_CLOSED = r"\bnot\s+for\s+(?:release|distribution|publication|resale|reuse)\b"
+_TERMS = r"\bunder\s+(?:the|a|an)\s+[\w\s.-]{0,60}\b(?:licen[cs]e|terms)\b"
 #: In a comment at the top.
-_LEGAL = re.compile(r"(?i)\b(?:copyright|licen[cs]e[ds]?|spdx|licenseref|all rights|rights (?:granted|reserved)|not for release|public terms)\b")
-_GENERATED = re.compile(rf"(?i){_MADE}|\b(?:auto[- ]?generated|machine-written)\b|\bdo not (?:change|edit|modify)(?: (?:this|it|by)\b|\W*$)")
+_LEGAL = re.compile(rf"(?i)\b(?:copyright|licen[cs]e[ds]?|spdx|licenseref|all rights|rights (?:granted|reserved)|confidential|proprietary)\b|{_CLOSED}|{_TERMS}")
+_GENERATED = re.compile(rf"(?i){_MADE}|\b{_WRITER}\b|\bdo not (?:change|edit|modify)(?: (?:this|it|by)\b|\W*$)")
 #: In text without a comment mark, where a word alone says little.
-_NOTICE = re.compile(r"(?i)\bcopyright\s+(?:\(c\)|©|\d{4})|\(c\)\s+\d{4}\b|\bspdx-|\ball\s+rights\s+(?:reserved|not\s+granted)\b|\bnot\s+for\s+release\b|\blicen[cs]ed\s+under\b|\bunder\s+(?:the|a|an)\s+[\w\s.-]{0,60}(?:licen[cs]e|public\s+terms)\b|\bsee\s+the\s+licen[cs]e\s+file\b")
-_TAIL = re.compile(r"(?i)\b(?:this\s+notice|liability|warranty|without\s+a\s+written\s+contract|do\s+not\s+pass\s+on)\b")
+_NOTICE = re.compile(rf"(?i)\bcopyright\s+(?:\(c\)|©|\d{{4}})|\(c\)\s+\d{{4}}\b|\bspdx-|\ball\s+rights\s+(?:reserved|not\s+granted)\b|{_CLOSED}|\blicen[cs]ed\s+under\b|{_TERMS}|\bsee\s+the\s+licen[cs]e\s+file\b")
+_TAIL = re.compile(r"(?i)\b(?:this\s+notice|liability|warrant(?:y|ies)|without\s+(?:(?:a|an|the|prior|express)\s+)*written\s+(?:consent|contract|permission|agreement)|do\s+not\s+(?:pass\s+on|distribute|redistribute|share|copy))\b")
 _CLAUSE = re.compile(rf"(?i)[\s\ufeff]*{_MADE}(?:(?<!@generated)[ \t]+[\w-]+(?:[ \t]+v?\d[\w.]*)?)?(?:[;,.][ \t]*do not (?:change|edit|modify)(?: by hand)?\b\.?)?")
 _SENTENCE = re.compile(r"\S.{0,400}?(?:[.!?](?=\s|$)|$(?!\n)|(?=\n[^\S\n]*(?:\n|$)))", re.S)
 _CODE = re.compile(r"[{}<>=\[\]\"|\\$`]|\w\(")
@@ -141,48 +147,83 @@ def body(text: str) -> str:
     return "\n".join(x for x in map(_without_origin, rest.split("\n")) if x is not None)
 
 
-def _leaked(lower: list[str], automata: list[SuffixAutomaton]) -> np.ndarray | None:
-    """Which words are part of a passage of a test item."""
-    mask = None
-    for a in automata:
-        js, _ = a.seeds(a.ids(lower))
-        if len(js):
-            js = np.unique(js)
-            mask = np.zeros(len(lower), dtype=bool) if mask is None else mask
-            for j, gap in zip(js.tolist(), np.diff(js, prepend=js[0]).tolist()):
-                mask[max(0, j - a.least + 1) : j + 1] = True
-                if 0 < gap <= a.least + JOINED:
-                    mask[j - gap : j + 1] = True
+def _masked(first: list[int], n: int, least: int) -> np.ndarray:
+    """Which of n words are part of a passage of a test item, given the first words of the runs that it shares with one."""
+    mask = np.zeros(n, dtype=bool)
+    last = None
+    for j in sorted(first):
+        mask[j : j + least] = True
+        if last is not None and j - last <= least + JOINED:
+            mask[last:j] = True
+        last = j
     return mask
 
 
-def document_terms(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, terms, counts) of every document with a text; whole texts are read."""
+def _words_of(text: str, look: Callable[[str], tuple]) -> list[tuple]:
+    return [look(w) for w in _WORD.findall(body(text))]
+
+
+def document_terms(documents: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, terms, counts) of every document with a text; whole texts are read.
+
+    One pass counts the terms, and keeps the texts that may hold a run of a test item; those are counted again without the
+    passages around the runs that really are an item's, found by a join.
+    """
     spark = documents.sparkSession
-    sent = [spark.sparkContext.broadcast(SuffixAutomaton([item_words(text) for _, _, text in block], least_run())) for block in _blocks(items)]
+    least = least_run()
+    runs = scratch.table(item_runs(item_parts(items), least).select(F.explode("runs").alias("run")).distinct())
+    sent = spark.sparkContext.broadcast(run_filter(runs, least))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata, cache = [b.value for b in sent], {}
+    def looker() -> Callable[[str], tuple]:
+        cache: dict[str, tuple] = {}
 
-        def look(w: str) -> tuple[str, list[str]]:
-            if len(cache) > 300_000:
-                cache.clear()
-            cache[w] = out = (w.lower(), [p.lower() for p in _PART.findall(w) if len(p) > 2])
-            return out
+        def look(w: str) -> tuple:
+            found = cache.get(w)
+            if found is None:
+                if len(cache) > 300_000:
+                    cache.clear()
+                lower = w.lower()
+                cache[w] = found = (crc32(lower.encode("utf-8", "surrogatepass")), [p.lower() for p in _PART.findall(w) if len(p) > 2])
+            return found
 
+        return look
+
+    def counted(found: list[tuple]) -> tuple[list[str], list[int]]:
+        n = Counter(chain.from_iterable(f[1] for f in found))
+        return list(n), list(n.values())
+
+    names = ["doc_id", "terms", "counts", "text", "at", "runs"]
+    types = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, look = sent.value, looker()
         for batch in batches:
-            terms, counts = [], []
+            rows = []
             for text in batch.column(1).to_pylist():
-                found = [cache.get(w) or look(w) for w in _WORD.findall(body(text))]
-                mask = _leaked([f[0] for f in found], automata)
-                kept = found if mask is None else [f for f, gone in zip(found, mask) if not gone]
-                n = Counter(chain.from_iterable(f[1] for f in kept))
-                terms.append(list(n))
-                counts.append(list(n.values()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
+                found = _words_of(text, look)
+                at, own = known.hits(np.fromiter((f[0] for f in found), np.uint64, len(found)))
+                rows.append(([], [], text, at, own) if len(at) else (*counted(found), None, [], []))
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], names)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = looker()
+        for batch in batches:
+            rows = []
+            for text, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                found = _words_of(text, look)
+                gone = _masked(at or [], len(found), least)
+                rows.append(counted([f for f, out in zip(found, gone) if not out]))
+            cols = list(zip(*rows)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], names[:3])
 
     rows = documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, terms array<string>, counts array<int>")
+    passed = rows.mapInArrow(first, "doc_id bigint, terms array<string>, counts array<int>, text string, at array<int>, runs array<bigint>")
+    passed = scratch.table(passed.withColumn("row", F.monotonically_increasing_id()))
+    held = passed.where("text IS NOT NULL")
+    hits = held.select("row", F.inline(F.arrays_zip("at", "runs"))).withColumnRenamed("runs", "run").join(runs, "run").groupBy("row").agg(F.collect_list("at").alias("at"))
+    masked = held.select("row", "doc_id", "text").join(hits, "row", "left").select("doc_id", "text", "at").mapInArrow(again, "doc_id bigint, terms array<string>, counts array<int>")
+    return passed.where("text IS NULL").select("doc_id", "terms", "counts").unionByName(masked)
 
 
 def _in_both(terms: DataFrame, single: dict[str, str]) -> Counter:
@@ -232,8 +273,10 @@ def vocabulary(terms: DataFrame, n: int, labels: DataFrame) -> tuple[dict[str, i
     ``labels`` (doc_id, labels) are the seeds' subjects.
     """
     least = max(MIN_DOCUMENTS, n * MIN_SHARE)
-    df = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
-    counts = {r["term"]: r["df"] for r in df.collect()}  # at most (terms of an average document) / MIN_SHARE
+    each = lambda rows: rows.select(F.explode("terms").alias("term")).groupBy("term")
+    seeded = each(terms.join(labels, "doc_id")).agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= MIN_DOCUMENTS)
+    df = each(terms).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= MIN_DOCUMENTS).join(seeded, "term", "left").where((F.col("df") >= least) | F.col("seeds").isNotNull())
+    counts = {r["term"]: r["df"] for r in df.select("term", "df").collect()}  # at most (terms of an average document) / MIN_SHARE, and those of SEEDS documents
     single = {t: t[:-1] if t.endswith("s") and counts.get(t[:-1], 0) >= counts[t] else t for t in counts}
     both = _in_both(terms, {t: s for t, s in single.items() if s != t})
     total = Counter()
@@ -441,12 +484,13 @@ def document_subjects(documents: DataFrame, seeds: DataFrame, subjects: list[str
     no seeds. Documents that occur twice give their rows once. Other columns are not read.
     """
     spark = documents.sparkSession
-    terms = scratch.table(document_terms(documents, items))
+    terms = scratch.table(document_terms(documents, items, scratch))
     n = terms.count()
     if not subjects:
         return spark.createDataFrame([], "doc_id bigint, subject string")
     place = F.array_position(F.array(*[F.lit(s) for s in subjects]), F.col("subject")) - 1
     labels = seeds.where("doc_id IS NOT NULL AND subject IS NOT NULL").select(F.col("doc_id").cast("bigint"), place.cast("int").alias("s")).where("s >= 0").groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("labels"))
+    labels = scratch.table(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SEEDS))
     number, freq = vocabulary(terms, n, labels)
     if not len(freq):
         return spark.createDataFrame([], "doc_id bigint, subject string")

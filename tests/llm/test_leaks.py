@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fragloom.llm.automaton import SuffixAutomaton, words
-from fragloom.llm.leaks import LeakFinder, aligned, leak_spans, leaked_items, least_run, without_leaks
+from fragloom.llm.leaks import LeakFinder, leak_spans, leaked_items, least_run, stretches, without_leaks
 
 WORDS = [f"w{i}" for i in range(30)]
 
@@ -75,12 +75,49 @@ def test_passages_against_brute_force(seed):
 
 
 def test_alignment_of_exact_and_far_windows():
-    item = np.arange(40, dtype=np.int32)
+    item = np.arange(40, dtype=np.int32)[None]
     hit = np.full((1, 80), -1, dtype=np.int32)
     hit[0, 10:50] = item
-    assert aligned([item], hit, 20, 40, 10)[0]
+    assert stretches(item, hit, 20, 40, 10) == [(0, 10, 49)]
     hit[0, 10:50:7] = -1
-    assert not aligned([item], hit, 20, 40, 10)[0]
+    assert not stretches(item, hit, 20, 40, 10)
+
+
+def test_words_before_and_after_an_item_are_not_part_of_it():
+    padded = np.full((1, 60), -2, dtype=np.int32)
+    padded[0, 10:48] = np.arange(38)
+    hit = np.full((1, 100), -1, dtype=np.int32)
+    hit[0, 20:58] = np.arange(38)
+    assert not stretches(padded, hit, 24, 40, 10)  # 38 words are too few, whatever lies around them
+
+
+def test_many_blocks_and_long_items(spark):
+    r = random.Random(4)
+    names = [f"x{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choice(names) for _ in range(60)), None) for i in range(40)]
+    long = [r.choice(names) for _ in range(40_000)]
+    items.append((99, None, " ".join(long)))
+    rows = []
+    for i in range(60):
+        own = r.choice(items[:40])[1].split()
+        rows.append((i, " ".join([r.choice(names) for _ in range(30)] + touched(r, own[:50], i % 7) + [r.choice(names) for _ in range(30)])))
+    rows.append((100, " ".join(["start"] * 5 + touched(r, long[20_000:20_100], 8) + ["end"])))
+    rows.append((101, " ".join(long)))
+    i, d = spark.createDataFrame(items, "item_id bigint, prompt string, solution string"), spark.createDataFrame(rows, "doc_id bigint, text string")
+    one = sorted(map(tuple, leak_spans(d, i).collect()))
+    many = sorted(map(tuple, leak_spans(d, i, block_words=2_000, share=3_000).collect()))
+    assert one == many
+    pairs = {(x[0], x[1]) for x in one}
+    assert {(100, 99), (101, 99)} <= pairs and {d for d, _ in pairs} >= {i for i in range(60) if i % 7 <= 4}
+    assert [x[3:] for x in one if x[0] == 101] == [(0, 39_999)]
+
+
+def test_only_the_aligned_stretch_is_a_span():
+    r = random.Random(6)
+    item = [f"q{i}" for i in range(150)]
+    text = [r.choice(WORDS) for _ in range(20)] + item[:45] + [r.choice(WORDS) for _ in range(60)] + item[105:115] + [r.choice(WORDS) for _ in range(20)]
+    # the ten words further on lie on the same diagonal, but are too few for a passage
+    assert LeakFinder([(1, "prompt", " ".join(item))]).find([" ".join(text)]) == [(0, 1, "prompt", 20, 64)]
 
 
 def test_tables(spark):
