@@ -2,7 +2,8 @@
 
 Linear grouping: the large pieces of a container are ranked by length and cut into groups of equal number; every length of a
 group is rounded up to its greatest, so that a few sizes are left, whatever the number of documents. The best mixes of those
-few sizes are found on the driver from a histogram whose size the capacity bounds. Then the documents are put in their places:
+few sizes are found in one task for each container, from a histogram whose size the capacity bounds, to within ``cutting.GAP`` of
+the least number of containers for those sizes. Then the documents are put in their places:
 a piece's rank in its group says which copy of which mix it belongs to, by arithmetic alone, so no task needs to see another's
 pieces. The rounding leaves some room, and into that room the small pieces go, best fit, in shards of bounded size.
 
@@ -59,7 +60,7 @@ def _places(name: str, capacity: int, sizes: list[tuple[int, int]], groups: int)
     first = [cuts[merged[s][0]] for s in kinds]
     end = [cuts[merged[s][-1] + 1] for s in kinds]
     out, bin_ = [], 0
-    for mix, times in best_mixes(kinds, [e - f for f, e in zip(first, end)], capacity):
+    for mix, times in best_mixes(kinds, [e - f for f, e in zip(first, end)], capacity)[0]:
         for g in mix.nonzero()[0].tolist():
             take = min(int(mix[g]) * times, end[g] - first[g])
             if take > 0:
@@ -114,18 +115,19 @@ def pack(lengths: DataFrame, targets: Sequence[tuple[str, int]], scratch: Scratc
             raise ValueError(f"capacity {capacity} is not between 1 and {MAX_CAPACITY}")
     if not targets:
         raise ValueError("no container")
-    spark = lengths.sparkSession
     todo = scratch.table(pieces(lengths, targets))
     is_large = ~F.col("full") & (F.col("size") * small > F.col("capacity"))
     large = todo.where(is_large).select("container", "capacity", "doc_id", "piece", "size")
-    histogram = scratch.table(large.groupBy("container", "size").agg(F.count(F.lit(1)).alias("n")))
-    sizes: dict[str, list[tuple[int, int]]] = {}
-    for row in histogram.collect():  # at most one row per container and length up to its capacity
-        sizes.setdefault(row["container"], []).append((row["size"], row["n"]))
-    places = [p for name, capacity in targets if name in sizes for p in _places(name, int(capacity), sizes[name], groups)]
-    table = spark.createDataFrame(places, "container string, first bigint, last bigint, base bigint, each bigint")
-    most = max((n for own in sizes.values() for _, n in own), default=0)
-    ranked = _ranked(large, histogram, max(8, -(-most // SALTED))).alias("r")
+    histogram = scratch.table(large.groupBy("container", "capacity", "size").agg(F.count(F.lit(1)).alias("n")))
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        # one container's lengths and how often each occurs: at most as many rows as its capacity
+        own = _places(pdf["container"].iloc[0], int(pdf["capacity"].iloc[0]), list(zip(pdf["size"].tolist(), pdf["n"].tolist())), groups)
+        return pd.DataFrame(own, columns=["container", "first", "last", "base", "each"])
+
+    table = scratch.table(histogram.groupBy("container").applyInPandas(place, "container string, first bigint, last bigint, base bigint, each bigint"))
+    most = histogram.agg(F.max("n")).first()[0] or 0
+    ranked = _ranked(large, histogram.drop("capacity"), max(8, -(-most // SALTED))).alias("r")
     inside = (F.col("r.container") == F.col("p.container")) & F.col("rank").between(F.col("p.first"), F.col("p.last"))
     number = F.col("base") + F.expr("(rank - first) div each")
     # the places are bounded by the square of ``groups`` for each container

@@ -1,10 +1,11 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from fragloom.llm.cutting import best_mixes
+from fragloom.llm.cutting import GAP, best_mix, best_mixes
 from fragloom.llm.packing import pack
 from fragloom.llm.tokens import token_counts
 from fragloom.session import Scratch
@@ -60,13 +61,36 @@ def test_mixes_cover_the_demand_in_few_containers():
     rng = np.random.default_rng(2)
     sizes = sorted(rng.choice(np.arange(60, 500), 20, replace=False).tolist(), reverse=True)
     counts = rng.integers(1, 200, 20).tolist()
-    mixes = best_mixes(sizes, counts, 512)
+    mixes, gap = best_mixes(sizes, counts, 512)
+    assert 0 <= gap <= GAP
     assert all(m @ np.array(sizes) <= 512 for m, _ in mixes)
     assert (sum(m * t for m, t in mixes) >= counts).all()
     used, need = sum(t for _, t in mixes), sum(s * c for s, c in zip(sizes, counts)) / 512
     assert used <= need * 1.12 + 20
 
 
+def test_best_mix_against_all_mixes():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        sizes, worth = np.sort(rng.choice(np.arange(5, 30), 4, replace=False))[::-1], rng.random(4)
+        worth[rng.integers(4)] = 0.0
+        value, mix = best_mix(sizes, worth, 60)
+        every = max((np.array(m) @ worth for m in np.ndindex(*(60 // sizes + 1)) if np.array(m) @ sizes <= 60))
+        assert value == pytest.approx(every) and mix @ sizes <= 60 and mix @ worth == pytest.approx(every)
+
+
+@pytest.mark.parametrize("capacity", [512, 8_192, 131_072])
+def test_every_capacity_ends_within_the_gap(capacity):
+    rng = np.random.default_rng(capacity)
+    sizes = np.unique(rng.integers(capacity // 6 + 1, capacity + 1, 48))[::-1].tolist()
+    counts = rng.integers(1, 1_000_000, len(sizes)).tolist()
+    began = time.monotonic()
+    mixes, gap = best_mixes(sizes, counts, capacity)
+    assert gap <= GAP and time.monotonic() - began < 60
+    used, bound = sum(t for _, t in mixes), sum(s * c for s, c in zip(sizes, counts)) / capacity
+    assert bound <= used and (sum(m * t for m, t in mixes) >= counts).all()
+
+
 def test_tokens(spark):
     long = "def f(x):\n    return x\n" * 20_000
     docs = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>"), (5, long)], "doc_id bigint, text string")
