@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -42,29 +44,57 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
-    """Tables written to the shared folder so that a lost executor never means computing a long lineage again."""
+    """Tables written to the shared folder so that a lost executor never means computing a long lineage again.
+
+    Operators that work in rounds ``drop`` what the next round no longer reads. The tables that a result reads stay until
+    ``forget``, which whoever has written the result may call, or until the program ends.
+    """
+
+    _open: dict[str, SparkSession] = {}
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-        self._written: list[str] = []
+        self._made = 0
+        Scratch._open[self.root] = spark
 
     def table(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` once and returns the written table."""
-        path = f"{self.root}/{len(self._written)}"
+        path = f"{self.root}/{self._made}"
+        self._made += 1
         df.write.parquet(path)
-        self._written.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def forget(self, keep: int = 0) -> None:
-        """Deletes all written tables but the last ``keep``; only for tables that no live frame reads."""
-        path_of = self.spark._jvm.org.apache.hadoop.fs.Path
-        for path in self._written[: len(self._written) - keep]:
-            if path:
-                p = path_of(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        self._written[: len(self._written) - keep] = [""] * (len(self._written) - keep)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path  # type: ignore[attr-defined]
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes tables that ``table`` returned and that no frame reads any more."""
+        for t in tables:
+            if path := getattr(t, "_scratch_path", None):
+                delete(self.spark, path)
+
+    def forget(self) -> None:
+        """Deletes all written tables; no frame that reads one may be used after that."""
+        Scratch._open.pop(self.root, None)
+        delete(self.spark, self.root)
+
+    @staticmethod
+    @atexit.register
+    def forget_all() -> None:
+        """Deletes all scratch tables of this program's sessions that are still running."""
+        for root, spark in list(Scratch._open.items()):
+            Scratch._open.pop(root, None)
+            try:
+                if spark.sparkContext._jsc is not None:
+                    delete(spark, root)
+            except Exception:  # noqa: BLE001  # the session has gone, and its folder with it or not
+                return
 
 
 _shipped: set[str] = set()
@@ -75,7 +105,9 @@ def ship(spark: SparkSession) -> None:
     if spark.sparkContext.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"  # the driver's own copy, which Spark serves to all
+    own = tempfile.mkdtemp(prefix="spark-")  # the driver's own copy, which Spark serves to all
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    target = Path(own) / f"{root.name}.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
