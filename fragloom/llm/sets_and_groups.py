@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from fragloom.functions.conventions import barcode, measurement, with_chromosome
 from fragloom.llm.components import group_rows
-from fragloom.llm.overlaps import PairCounts
+from fragloom.llm.overlaps import PairCounts, buckets_for
 from fragloom.llm.percentiles import merge_sketches, percentile_sketches, percentiles
 from fragloom.plans.problems import FRAGMENTS_SQL
 from fragloom.plans.tables import fragments, genotypes, table
 from fragloom.session import Scratch
 
 MIN_SET, SHARE = 40, (3, 20)  # a pair has much in common from 3 / 20 on
+RECENT = 21  # days
 
 
 def _breakend(chrom: str, pos: str, side: int) -> Column:
@@ -61,7 +62,7 @@ def _pair_counts(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFram
     first = F.coalesce(F.min("seq"), F.lit(-(1 << 63)).cast("bigint"))
     joins = scratch.table(f.groupBy(F.concat_ws("|", "dataset", "chrom").alias("set_name"), "id").agg(first.alias("seq")))
     cuts = joins.agg(F.percentile_approx("seq", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    counts = PairCounts(scratch)
+    counts = PairCounts(scratch, buckets=buckets_for(joins.count()))
     for low, high in zip([None, *cuts], [*cuts, None]):
         batch = joins.where((F.lit(True) if low is None else F.col("seq") > low) & (F.lit(True) if high is None else F.col("seq") <= high))
         counts.apply(batch.withColumn("present", F.lit(True)))
@@ -78,7 +79,29 @@ def p5_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pair_counts(spark, sf_dir)
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_groups, p3_fragment_lengths, p3_dataset_lengths, p3_cluster_sizes, p5_found, p5_overlaps)}
+def p5_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the barcodes of the last days alone: as time goes on barcodes join, and those not seen again leave.
+
+    The sets are brought up to date at the end of each of three stretches of ``RECENT`` days, and between two of them the state
+    is closed and opened again from its folder.
+    """
+    scratch = Scratch(spark, "p5")
+    f = table(spark, sf_dir, "fragments").where("run_day IS NOT NULL").select("dataset", "chrom", barcode(F.col("bc")).alias("id"), F.unix_date(F.col("run_day").cast("date")).alias("day"))
+    f = with_chromosome(f.where("id IS NOT NULL"), table(spark, sf_dir, "chroms"), "chrom")
+    seen = f.groupBy(F.concat_ws("|", "dataset", "chrom").alias("set_name"), "id", "day").agg(F.count(F.lit(1)).alias("n"))
+    last = table(spark, sf_dir, "fragments").agg(F.max(F.unix_date(F.col("run_day").cast("date")))).first()[0] or 0
+    stretch = F.expr(f"({last} - day) div {RECENT}")
+    seen = scratch.table(seen.withColumn("back", stretch).where("back < 3").select("set_name", "id", "back").distinct())
+    counts = PairCounts(scratch, buckets=buckets_for(seen.count()))
+    for back in (2, 1, 0):
+        joins = seen.where(F.col("back") == back).select("set_name", "id", F.lit(True).alias("present"), F.lit(1).alias("seq"))
+        leaves = counts.members.select("set_name", "id", F.lit(False).alias("present"), F.lit(0).alias("seq"))
+        counts.apply(joins.unionByName(leaves))
+        counts = PairCounts(scratch, counts.root)
+    return counts.overlaps()
+
+
+QUERIES = {q.__name__: q for q in (p2_found, p2_groups, p3_fragment_lengths, p3_dataset_lengths, p3_cluster_sizes, p5_found, p5_overlaps, p5_recent)}
 
 _GROUPS = """WITH RECURSIVE names AS (SELECT spelling, min_by(chrom, idx) AS name FROM (SELECT chrom, idx, unnest([chrom, alias_name, accession]) AS spelling FROM chroms) GROUP BY spelling),
 sides AS (SELECT geno_id, chromx AS c, x AS p, substr(orientation, 1, 1) AS o FROM genotypes UNION ALL SELECT geno_id, chromy, y, substr(orientation, 2, 1) FROM genotypes),
@@ -89,13 +112,16 @@ both_ways AS MATERIALIZED (SELECT u, v FROM links UNION SELECT v, u FROM links),
 reach(geno_id, other) AS (SELECT geno_id, geno_id FROM genotypes UNION SELECT r.geno_id, l.v FROM reach r JOIN both_ways l ON l.u = r.other),
 found AS (SELECT geno_id, min(other) AS group_id FROM reach GROUP BY geno_id)
 """
-_PAIRS = f"""WITH {FRAGMENTS_SQL}, m AS (SELECT DISTINCT dataset || '|' || chrom AS s, bc FROM frags WHERE bc IS NOT NULL), n AS (SELECT s, count(*) AS n FROM m GROUP BY s),
+_MEMBERS = f"WITH {FRAGMENTS_SQL}, m AS (SELECT DISTINCT dataset || '|' || chrom AS s, bc FROM frags WHERE bc IS NOT NULL)"
+_LATE = f"WITH {FRAGMENTS_SQL}, m AS (SELECT DISTINCT dataset || '|' || chrom AS s, bc FROM frags WHERE bc IS NOT NULL AND date_diff('day', run_day, (SELECT max(run_day) FROM fragments)) < {RECENT})"
+_COUNTED = """, n AS (SELECT s, count(*) AS n FROM m GROUP BY s),
 shared AS (SELECT a.s AS set_a, b.s AS set_b, count(*) AS shared FROM m a JOIN m b ON a.bc = b.bc AND a.s < b.s GROUP BY a.s, b.s),
 pairs AS (SELECT set_a, set_b, a.n AS size_a, b.n AS size_b, shared, a.n + b.n - shared AS total FROM shared JOIN n a ON a.s = set_a JOIN n b ON b.s = set_b)
 """
 SQL = {
     "p2_found": f"{_GROUPS} SELECT geno_id, group_id FROM found",
     "p2_groups": f"{_GROUPS} SELECT group_id, count(*) AS n_rows, max(geno_id) AS last_geno_id FROM found GROUP BY group_id",
-    "p5_found": f"{_PAIRS} SELECT set_a, set_b FROM pairs WHERE size_a >= {MIN_SET} AND size_b >= {MIN_SET} AND shared * {SHARE[1]} >= total * {SHARE[0]}",
-    "p5_overlaps": f"{_PAIRS} SELECT * FROM pairs",
+    "p5_found": f"{_MEMBERS}{_COUNTED} SELECT set_a, set_b FROM pairs WHERE size_a >= {MIN_SET} AND size_b >= {MIN_SET} AND shared * {SHARE[1]} >= total * {SHARE[0]}",
+    "p5_overlaps": f"{_MEMBERS}{_COUNTED} SELECT * FROM pairs",
+    "p5_recent": f"{_LATE}{_COUNTED} SELECT * FROM pairs",
 }

@@ -2,7 +2,7 @@ import datetime
 import random
 from itertools import combinations
 
-from fragloom.llm.overlaps import PairCounts
+from fragloom.llm.overlaps import PairCounts, open_counts
 from fragloom.llm.sets_and_groups import p5_overlaps
 from fragloom.session import Scratch
 
@@ -46,3 +46,26 @@ def test_rows_without_a_time_are_counted(spark, tmp_path):
         (tmp_path / name / "chroms.parquet").symlink_to(tmp_path / "chroms.parquet")
         spark.createDataFrame(rows, "dataset string, chrom string, bc string, delivered_at timestamp").write.parquet(f"{tmp_path}/{name}/fragments.parquet")
         assert [tuple(r)[2:] for r in p5_overlaps(spark, f"{tmp_path}/{name}").collect()] == [(30, 15, 15, 30)]
+
+
+def test_the_state_can_be_opened_again(spark, tmp_path):
+    root = f"file://{tmp_path}/state"
+    rows = lambda *r: spark.createDataFrame([(s, i, p, 1, "", "") for s, i, p in r], SCHEMA)
+    one = PairCounts(Scratch(spark, "t"), root, buckets=4)
+    one.apply(rows(("a", "x", True), ("b", "x", True), ("a", "y", True), ("c", "y", True)))
+    two = open_counts(spark, root)
+    assert two.buckets == 4
+    two.apply(rows(("a", "x", False), ("b", "y", True), ("a", "z", False)))
+    want = [("a", "b", 1, 2, 1, 2), ("a", "c", 1, 1, 1, 1), ("b", "c", 2, 1, 1, 2)]
+    assert sorted(map(tuple, open_counts(spark, root).overlaps().collect())) == want
+    small = two.compact(f"file://{tmp_path}/small")
+    assert sorted(map(tuple, small.overlaps().collect())) == want
+    assert spark.read.parquet(f"{tmp_path}/small/members").where("d < 0").count() == 0
+
+
+def test_a_batch_leaves_the_memberships_where_they_are(spark):
+    counts = PairCounts(Scratch(spark, "t"), buckets=4)
+    counts.apply(spark.createDataFrame([("a", f"i{k}", True, 1, "", "") for k in range(50)], SCHEMA))
+    plan = counts._net(spark.createDataFrame([("b", "i1", True, 1, "", "")], SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    # one shuffle folds the batch and one takes it to the buckets; the log is grouped and joined without one
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Bucketed: true" in plan
