@@ -3,7 +3,8 @@
 A buffer is at most ``size`` sorted values, each standing for ``weight`` measurements. Collapsing takes some buffers, lays
 their values side by side in order, each as often as its weight, and keeps the values at evenly spaced positions. With output
 weight w that moves no rank by more than w / 2, so the error of a buffer is at most the sum of the errors collapsed into it
-plus w / 2; that bound travels with the buffer as ``error``. Every task collapses its own sorted runs first; then a tree of
+plus w / 2; that bound travels with the buffer as ``error``. Every task collapses its own sorted runs first, in
+a tree too, so that it holds ``FAN_IN`` buffers for each level; then a tree of
 fan-in ``FAN_IN`` collapses what is left, level by level, by group and node. A level adds at most n / (2 size), so a tree of
 h levels is off by h / (2 size) of all ranks at most. No step draws random numbers. Groups of up to ``size`` values stay exact.
 
@@ -17,7 +18,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,15 +43,38 @@ def collapse(vals: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.ndarr
     return vals[np.minimum(np.searchsorted(reach, at), len(vals) - 1)], weight
 
 
+def _collapsed(buffers: list[tuple], size: int) -> tuple:
+    """One (weight, n, error, vals) of several."""
+    vals = np.concatenate([np.asarray(b[3], dtype=np.float64) for b in buffers])
+    weights = np.concatenate([np.full(len(b[3]), b[0], dtype=np.int64) for b in buffers])
+    kept, weight = collapse(vals, weights, size)
+    return weight, sum(b[1] for b in buffers), sum(b[2] for b in buffers) + (weight / 2 if weight > 1 else 0), kept
+
+
 def _leaf(keys: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, head = TaskContext.get().partitionId(), [], None
+        levels: list[list[tuple]] = []
 
-        def close(rows: list) -> None:
+        def close() -> None:
             vals = np.concatenate(held)
-            kept, weight = collapse(vals, np.ones(len(vals), dtype=np.int64), size)
-            rows.append((head, weight, len(vals), weight / 2 if weight > 1 else 0.0, kept))
             held.clear()
+            kept, weight = collapse(vals, np.ones(len(vals), dtype=np.int64), size)
+            new, level = (weight, len(vals), weight / 2 if weight > 1 else 0.0, kept), 0
+            while True:
+                if level == len(levels):
+                    levels.append([])
+                levels[level].append(new)
+                if len(levels[level]) < FAN_IN:
+                    return
+                new, level = _collapsed(levels[level], size), level + 1
+                levels[level - 1].clear()
+
+        def finish(rows: list) -> None:
+            if held:
+                close()
+            rows += [(head, *b) for own in levels for b in own]
+            levels.clear()
 
         def table(rows: list) -> pa.RecordBatch:
             first = pa.Table.from_batches([r[0] for r in rows]).combine_chunks()
@@ -73,18 +97,19 @@ def _leaf(keys: int, size: int):
             rows: list = []
             for a, b in zip(cuts, cuts[1:]):
                 own = batch.slice(a, 1).select(list(range(keys)))
-                if held and (a or not own.equals(head)):
-                    close(rows)
+                if head is not None and (a or not own.equals(head)):
+                    finish(rows)
                 head = own
                 held.append(values[a:b])
                 if sum(map(len, held)) >= RUN * size:
-                    close(rows)
+                    close()
             if rows:
                 yield table(rows)
-        if held:
+        if head is not None:
             rows = []
-            close(rows)
-            yield table(rows)
+            finish(rows)
+            if rows:
+                yield table(rows)
 
     return run
 
@@ -95,14 +120,8 @@ def _merge(size: int):
             parts = batch.column("parts")
             out = []
             for some in parts.to_pylist():
-                n, error = sum(p["n"] for p in some), sum(p["error"] for p in some)
-                if len(some) == 1:
-                    out.append((some[0]["weight"], n, error, some[0]["vals"]))
-                    continue
-                vals = np.concatenate([np.asarray(p["vals"]) for p in some])
-                weights = np.concatenate([np.full(len(p["vals"]), p["weight"], dtype=np.int64) for p in some])
-                kept, weight = collapse(vals, weights, size)
-                out.append((weight, n, error + (weight / 2 if weight > 1 else 0), kept))
+                own = [(p["weight"], p["n"], p["error"], p["vals"]) for p in some]
+                out.append(own[0] if len(own) == 1 else _collapsed(own, size))
             keep = [i for i, name in enumerate(batch.schema.names) if name != "parts"]
             cols = [batch.column(i) for i in keep] + [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64()), pa.array([o[3] for o in out], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, [*[batch.schema.names[i] for i in keep], "weight", "n", "error", "vals"])
@@ -139,8 +158,12 @@ def merge_sketches(sketches: DataFrame, by: Sequence[str], size: int = SIZE) ->
     """Sketches of finer groups collapsed into those of ``by``, some of their columns; the result is a sketch again."""
     keys = [f"k{i}" for i in range(len(by))]
     fine = [c for c in sketches.columns if c not in {"weight", "n", "error", "vals"}]
-    most = sketches.groupBy(*by).count().agg(F.max("count")).first()[0] or 1
-    rows = sketches.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.pmod(F.xxhash64(*fine), F.lit(most)).alias("node"), "weight", "n", "error", "vals")
+    written = Scratch(sketches.sparkSession, "sketches").table(sketches.withColumn("_row", F.monotonically_increasing_id()))
+    # numbered without their values
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(*fine, "_row")) - 1
+    numbers = written.select(*fine, "_row").withColumn("node", number.cast("bigint")).select("_row", "node")
+    most = (numbers.agg(F.max("node")).first()[0] or 0) + 1
+    rows = written.join(numbers, "_row").select(*[F.col(c).alias(k) for c, k in zip(by, keys)], "node", "weight", "n", "error", "vals")
     return _tree(rows, keys, most, size).withColumnsRenamed(dict(zip(keys, by)))
 
 

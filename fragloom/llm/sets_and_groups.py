@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fragloom.functions.conventions import barcode, measurement, with_chromosome
 from fragloom.llm.components import group_rows
 from fragloom.llm.overlaps import PairCounts, buckets_for
-from fragloom.llm.percentiles import merge_sketches, percentile_sketches, percentiles
+from fragloom.llm.percentiles import PERCENTS, merge_sketches, percentile_sketches, percentiles
 from fragloom.plans.problems import FRAGMENTS_SQL
 from fragloom.plans.tables import fragments, genotypes, table
 from fragloom.session import Scratch
@@ -47,6 +47,18 @@ def p3_dataset_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(merge_sketches(_daily(spark, sf_dir), ["dataset"]))
 
 
+def p3_dataset_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each percentile of a dataset is a value whose rank is no further off than it says, held against all values."""
+    found = p3_dataset_lengths(spark, sf_dir)
+    f = fragments(spark, sf_dir, "dataset", "obs_len").select("dataset", measurement(F.col("obs_len")).alias("len")).where("len IS NOT NULL")
+    names = [f"p{p:02d}" for p in PERCENTS]
+    counts = [c for n in names for c in (F.count_if(F.col("len") < F.col(n)).alias(f"below_{n}"), F.count_if(F.col("len") <= F.col(n)).alias(f"upto_{n}"))]
+    held = f.join(found, "dataset").groupBy("dataset", "n", "max_rank_error").agg(*counts)
+    off = lambda p, n: F.greatest(F.col(f"below_{n}") + 1 - rank(p), rank(p) - F.col(f"upto_{n}"), F.lit(0))
+    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.col("n") * p / 100))
+    return held.select("dataset", "n", *[(off(p, n) <= F.col("max_rank_error")).alias(n) for p, n in zip(PERCENTS, names)])
+
+
 def p3_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of the cluster size by dataset and kind."""
     g = table(spark, sf_dir, "genotypes").select("dataset", F.lower(F.trim("kind")).alias("kind"), measurement(F.col("cluster_size")).alias("cluster_size"))
@@ -101,7 +113,7 @@ def p5_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.overlaps()
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_groups, p3_fragment_lengths, p3_dataset_lengths, p3_cluster_sizes, p5_found, p5_overlaps, p5_recent)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_groups, p3_fragment_lengths, p3_dataset_lengths, p3_dataset_ranks, p3_cluster_sizes, p5_found, p5_overlaps, p5_recent)}
 
 _GROUPS = """WITH RECURSIVE names AS (SELECT spelling, min_by(chrom, idx) AS name FROM (SELECT chrom, idx, unnest([chrom, alias_name, accession]) AS spelling FROM chroms) GROUP BY spelling),
 sides AS (SELECT geno_id, chromx AS c, x AS p, substr(orientation, 1, 1) AS o FROM genotypes UNION ALL SELECT geno_id, chromy, y, substr(orientation, 2, 1) FROM genotypes),
@@ -118,7 +130,14 @@ _COUNTED = """, n AS (SELECT s, count(*) AS n FROM m GROUP BY s),
 shared AS (SELECT a.s AS set_a, b.s AS set_b, count(*) AS shared FROM m a JOIN m b ON a.bc = b.bc AND a.s < b.s GROUP BY a.s, b.s),
 pairs AS (SELECT set_a, set_b, a.n AS size_a, b.n AS size_b, shared, a.n + b.n - shared AS total FROM shared JOIN n a ON a.s = set_a JOIN n b ON b.s = set_b)
 """
+_RANKED = "SELECT *, count(*) OVER (PARTITION BY {by}) AS n, row_number() OVER (PARTITION BY {by} ORDER BY v) AS k FROM vals"
+_PERCENTILES = ", ".join(f"max(CAST(v AS DOUBLE)) FILTER (k = greatest(1, CAST(ceil(n * {p} / 100.0) AS BIGINT))) AS p{p:02d}" for p in PERCENTS)
+#: True ranks: groups of up to 1,024 values, as all of these are in small tables, come out exactly.
+_EXACT = f"{{vals}}, ranked AS ({_RANKED}) SELECT {{by}}, n, {_PERCENTILES}, 0 AS max_rank_error FROM ranked GROUP BY {{by}}, n"
 SQL = {
+    "p3_fragment_lengths": _EXACT.format(by="dataset, chrom, run_day", vals=f"WITH {FRAGMENTS_SQL}, vals AS (SELECT dataset, chrom, run_day, obs_len AS v FROM frags WHERE obs_len >= 0 AND obs_len < 500000000)"),
+    "p3_cluster_sizes": _EXACT.format(by="dataset, kind", vals="WITH vals AS (SELECT dataset, lower(trim(kind)) AS kind, cluster_size AS v FROM genotypes WHERE cluster_size >= 0 AND cluster_size < 500000000)"),
+    "p3_dataset_ranks": f"WITH {FRAGMENTS_SQL} SELECT dataset, count(*) AS n, {', '.join(f'true AS p{p:02d}' for p in PERCENTS)} FROM frags WHERE obs_len >= 0 AND obs_len < 500000000 GROUP BY dataset",
     "p2_found": f"{_GROUPS} SELECT geno_id, group_id FROM found",
     "p2_groups": f"{_GROUPS} SELECT group_id, count(*) AS n_rows, max(geno_id) AS last_geno_id FROM found GROUP BY group_id",
     "p5_found": f"{_MEMBERS}{_COUNTED} SELECT set_a, set_b FROM pairs WHERE size_a >= {MIN_SET} AND size_b >= {MIN_SET} AND shared * {SHARE[1]} >= total * {SHARE[0]}",

@@ -1,3 +1,4 @@
+from bisect import bisect_left, bisect_right
 import math
 import random
 
@@ -55,3 +56,20 @@ def test_collapse_keeps_ranks():
     assert len(kept) <= 50 and list(kept) == sorted(kept)
     for x in np.linspace(-2, 2, 9):
         assert abs((kept <= x).sum() * w - weights[vals <= x].sum()) <= w / 2 + 1
+
+
+def test_one_large_partition_holds_few_buffers(spark, monkeypatch):
+    from fragloom.llm import percentiles as pe
+
+    monkeypatch.setattr(pe, "FAN_IN", 3)
+    monkeypatch.setattr(pe, "RUN", 1)
+    r = random.Random(3)
+    rows = [("hot" if i % 3 else "cold", float(r.randint(0, 5_000))) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "g string, v double").coalesce(1)
+    got = pe.percentiles(pe.percentile_sketches(df, ["g"], "v", Scratch(spark, "t"), size=32)).collect()
+    for x in got:
+        own = sorted(v for g, v in rows if g == x.g)
+        assert x.n == len(own) and x.max_rank_error < x.n / 4
+        for p in pe.PERCENTS:
+            v, rank = x[f"p{p:02d}"], max(1, -(-len(own) * p // 100))
+            assert bisect_left(own, v) + 1 - x.max_rank_error <= rank <= bisect_right(own, v) + x.max_rank_error
