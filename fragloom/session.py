@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def get_spark(app: str = "fragloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -73,6 +73,16 @@ class Scratch:
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
+    def measured(self, df: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
+        """The written table and the ``measures``, named aggregates that are taken while it is written."""
+        seen = Observation()
+        path = f"{self.root}/{self._made}"
+        self._made += 1
+        df.observe(seen, *measures).write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path  # type: ignore[attr-defined]
+        return out, seen.get
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes tables that ``table`` returned and that no frame reads any more."""
         for t in tables:
