@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from fragloom.functions.frames import plain
 from fragloom.operators.coverage import merge_intervals
 from fragloom.operators.rangejoin import overlap_join
 from fragloom.operators.support import breakends
@@ -34,56 +35,102 @@ def signed_rank_less(samples: np.ndarray, observed: float) -> float:
     return 1 - both / 2 if samples.mean() > observed else both / 2
 
 
-def _draw(rng: np.random.Generator, weights: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-    """How many of each weight are among n drawn without replacement: each comes up after an exponential time, and the first n count."""
+def draws(rng: np.random.Generator, weights: np.ndarray, counts: np.ndarray, n: int, times: int) -> np.ndarray:
+    """(times, classes): how many of each weight are among n drawn without replacement, where each comes up after an exponential time and the first n count.
+
+    Exact: how many of a class come up within a time is binomial, and so is how many of those come up within a part of it. So
+    times are halved, in which what came up is shared out, until one is found by which just n have come up.
+    """
     n = min(n, int(counts.sum()))
-    low, high = 0.0, 1.0
-    while (counts * -np.expm1(-weights * high)).sum() < n and high < 1e12:
-        high *= 2
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (counts * -np.expm1(-weights * mid)).sum() < n else (low, mid)
-    chance = -np.expm1(-weights * high)
-    drawn = rng.binomial(counts, chance)
-    while (off := n - int(drawn.sum())) != 0:
-        share = (counts - drawn) * chance if off > 0 else drawn * (1 - chance) + 1e-12 * drawn
-        k = rng.choice(len(counts), p=share / share.sum())
-        drawn[k] += 1 if off > 0 else -1
-    return drawn
-
-
-def resampling_p(quantified: DataFrame, totals: DataFrame, resamples: int = 100, seed: int = 0, max_classes: int = 2_000_000, key: str = "event_id", group: str = "dataset") -> DataFrame:
+    end = 1.0
+    while (counts * -np.expm1(-weights * end)).sum() < n and end < 1e12:
+        end *= 2
+    low, high = np.zeros((times, len(counts)), dtype=np.int64), np.empty((times, len(counts)), dtype=np.int64)
+    since, until = np.zeros(times), np.full(times, end)
+    high[:] = rng.binomial(counts, -np.expm1(-weights * end), (times, len(counts)))
+    while len(short := np.flatnonzero(high.sum(axis=1) < n)):
+        low[short], since[short] = high[short], until[short]
+        until[short] *= 2
+        more = -np.expm1(-weights * (until - since)[short, None])
+        high[short] += rng.binomial(counts - low[short], np.where(weights > 0, more, 1.0))
+    low[high.sum(axis=1) == n] = high[high.sum(axis=1) == n]
+    while len(wide := np.flatnonzero(low.sum(axis=1) != n)):
+        span, middle = (until - since)[wide], (since + until)[wide] / 2
+        between = high[wide] - low[wide]
+        same = wide[span <= 1e-14 * until[wide]]
+        if len(same):  # at one and the same time: any of them as likely as another
+            for r in same:
+                low[r] += rng.multivariate_hypergeometric(high[r] - low[r], n - int(low[r].sum()))
+            continue
+        first = np.expm1(-weights * (span / 2)[:, None]) / np.minimum(np.expm1(-weights * span[:, None]), -1e-300)
+        now = low[wide] + rng.binomial(between, np.clip(first, 0.0, 1.0))
+        enough = now.sum(axis=1) >= n
+        high[wide[enough]], until[wide[enough]] = now[enough], middle[enough]
+        low[wide[~enough]], since[wide[~enough]] = now[~enough], middle[~enough]
+        done = wide[high[wide].sum(axis=1) == n]
+        low[done] = high[done]
+    return low
+
+
+def _draw(rng: np.random.Generator, weights: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    return draws(rng, weights, counts, n, 1)[0]
+
+
+class _Resampler:
+    """Numbers that two draws have in common, for the barcodes of one group; the draws of a size are made once."""
+
+    def __init__(self, reads: np.ndarray, n: np.ndarray, resamples: int, seed: int):
+        self.weights, self.n = reads / float((reads * n).sum()), n
+        self.resamples, self.seed = resamples, seed
+        self.made: dict[tuple[int, int], np.ndarray] = {}
+        self.most = max(2, 20_000_000 // (resamples * len(n)))
+
+    def of(self, side: int, size: int) -> np.ndarray:
+        if (side, size) not in self.made:
+            if len(self.made) >= self.most:
+                self.made.clear()
+            self.made[side, size] = draws(np.random.default_rng([self.seed, side, size]), self.weights, self.n, size, self.resamples)
+        return self.made[side, size]
+
+    def common(self, event: int, nx: int, ny: int) -> np.ndarray:
+        x, y = self.of(0, nx), self.of(1, ny)
+        at = np.nonzero((x > 0) & (y > 0))
+        # barcodes with equal reads are alike: what two draws have in common of them is hypergeometric
+        found = np.random.default_rng([self.seed, 2, event % (1 << 62)]).hypergeometric(x[at], self.n[at[1]] - x[at], y[at])
+        return np.bincount(at[0], weights=found, minlength=self.resamples)
+
+
+def resampling_p(quantified: DataFrame, totals: DataFrame, resamples: int = 100, seed: int = 0, key: str = "event_id", group: str = "dataset", share: int = 5_000) -> DataFrame:
     """``quantified`` with ``p_resampling``: how the barcodes two sides share compare with those of draws of as many barcodes, weighted by their reads.
 
-    Barcodes with equal reads are exchangeable, so a draw only needs how many of each number of reads it holds; what two draws
-    share is hypergeometric for each number. ``totals`` (group, bc, num_reads) is brought down to a histogram, of which there
-    are few rows, as distinct numbers of reads add up to all reads; beyond ``max_classes`` this raises. Draws are seeded by event.
+    Barcodes with equal reads are exchangeable, so a draw only needs how many of each number of reads it holds. ``totals``
+    (group, bc, num_reads) is brought down to that, of which a group has at most the root of twice its reads, and each task
+    gets it beside ``share`` events of the group. Draws depend on the seed and their size alone, what two have in common on
+    the event as well. A p is null where no draw differs from what was found, and where a group has no reads.
     """
     counts = totals.where("num_reads > 0").groupBy(group, "num_reads").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError("too many distinct numbers of reads")
-    classes: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for name, own in pd.DataFrame([(r[group], r["num_reads"], r["n"]) for r in rows], columns=["g", "w", "n"]).groupby("g"):
-        classes[name] = (own["w"].to_numpy() / float((own["w"] * own["n"]).sum()), own["n"].to_numpy())
-    sent = quantified.sparkSession.sparkContext.broadcast(classes)
-
-    @F.pandas_udf(DoubleType())
-    def test(event: pd.Series, name: pd.Series, nx: pd.Series, ny: pd.Series, shared: pd.Series) -> pd.Series:
-        out = []
-        for e, g, a, b, s in zip(event, name, nx, ny, shared):
-            rng = np.random.default_rng([seed, int(e)])
-            weights, n = sent.value[g]
-            both = [rng.hypergeometric(x, n - x, y).sum() for x, y in ((_draw(rng, weights, n, int(a)), _draw(rng, weights, n, int(b))) for _ in range(resamples))]
-            out.append(signed_rank_less(np.array(both, dtype=float), float(s)))
-        return pd.Series(out, dtype="float64")
-
-    p = test(key, group, F.col("shared") + F.col("only_x"), F.col("shared") + F.col("only_y"), "shared")
-    return quantified.withColumn("p_resampling", p).withColumn("p_resampling", F.when(~F.isnan("p_resampling"), F.col("p_resampling")))
-
-
-def cap_barcodes(barcodes: DataFrame, most: int = 200, key: Sequence[str] = ("event_id",)) -> DataFrame:
-    """At most ``most`` barcodes of each event, chosen by a hash, the same in every run: a sampling operator."""
+    tasks = quantified.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / share).alias("_tasks"))
+    left = quantified.join(tasks, group).withColumn("_task", F.pmod(F.xxhash64(key), F.col("_tasks"))).drop("_tasks")
+    right = counts.join(tasks, group).select(group, "num_reads", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_tasks") - 1)).alias("_task"))
+
+    def test(events: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = plain(events).drop(columns="_task")
+        p = [None] * len(out)
+        if len(out) and len(own):
+            own = own.sort_values("num_reads")
+            sampler = _Resampler(own["num_reads"].to_numpy(), own["n"].to_numpy(), resamples, seed)
+            found = [signed_rank_less(sampler.common(int(e), int(s + a), int(s + b)), float(s)) for e, s, a, b in zip(out[key], out["shared"], out["only_x"], out["only_y"])]
+            p = [None if x != x else x for x in found]
+        return out.assign(p_resampling=pd.Series(p, index=out.index, dtype=object))
+
+    schema = StructType([*left.drop("_task").schema, StructField("p_resampling", DoubleType())])
+    return left.groupBy(group, "_task").cogroup(right.groupBy(group, "_task")).applyInPandas(test, schema)
+
+
+def cap_barcodes(barcodes: DataFrame, most: int | None = None, key: Sequence[str] = ("event_id",)) -> DataFrame:
+    """All barcodes of each event, or a sample of ``most``, chosen by a hash, the same in every run."""
+    if most is None:
+        return barcodes
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("bc"), "bc"))
     return barcodes.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
@@ -102,24 +149,65 @@ def shared_read_names(events: DataFrame, reads: DataFrame, max_insert: int, impr
     return names.groupBy(key).agg(F.count_if(F.col("sides") == 2).alias("common"), F.count(F.lit(1)).alias("total"))
 
 
-def pileup(alignments: DataFrame) -> DataFrame:
-    """(chrom, pos, base, n): bases of alignments (chrom, pos, cigar, seq) at every reference position they match; deleted bases don't count."""
+def pileup(alignments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, chrom, pos, base, n): bases of alignments (by, chrom, pos, flag, cigar, seq) at every reference position they match.
+
+    Unmapped, secondary and duplicate reads and those that failed quality control don't count, nor do deleted bases; without a
+    ``flag`` all count. Null flags count as 0.
+    """
     start = "named_struct('q', 0L, 'r', 0L, 'out', cast(array() as array<struct<op:string,len:bigint,q:bigint,r:bigint>>))"
     step = """(a, o) -> named_struct('q', a.q + IF(o.op IN ('M', 'I', 'S', '=', 'X'), o.len, 0L), 'r', a.r + IF(o.op IN ('M', 'D', 'N', '=', 'X'), o.len, 0L),
               'out', array_append(a.out, named_struct('op', o.op, 'len', o.len, 'q', a.q, 'r', a.r)))"""
-    parts = alignments.where("chrom IS NOT NULL").select("chrom", "pos", "seq", F.expr(f"inline(aggregate(cigar, {start}, {step}, a -> a.out))")).where("op IN ('M', '=', 'X') AND len > 0")
-    bases = parts.select("chrom", "pos", "seq", "q", "r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1)).alias("i"))
-    return bases.groupBy("chrom", (F.col("pos") + F.col("r") + F.col("i")).alias("pos"), F.substr("seq", (F.col("q") + F.col("i") + 1).cast("int"), F.lit(1)).alias("base")).agg(F.count(F.lit(1)).alias("n"))
+    good = F.coalesce(F.col("flag"), F.lit(0)).bitwiseAND(F.lit(4 | 256 | 512 | 1024)) == 0 if "flag" in alignments.columns else F.lit(True)
+    parts = alignments.where("chrom IS NOT NULL").where(good).select(*by, "chrom", "pos", "seq", F.expr(f"inline(aggregate(cigar, {start}, {step}, a -> a.out))")).where("op IN ('M', '=', 'X') AND len > 0")
+    bases = parts.select(*by, "chrom", "pos", "seq", "q", "r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1)).alias("i"))
+    return bases.groupBy(*by, "chrom", (F.col("pos") + F.col("r") + F.col("i")).alias("pos"), F.substr("seq", (F.col("q") + F.col("i") + 1).cast("int"), F.lit(1)).alias("base")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def variant_positions(piled: DataFrame, reference: DataFrame, more_than: float = 0.2, size: int = 100_000) -> DataFrame:
-    """(chrom, pos, frac): positions where more than so much of the bases differ from the reference (chrom, bin, seq)."""
+def variant_positions(piled: DataFrame, reference: DataFrame, more_than: float = 0.2, size: int = 100_000, by: Sequence[str] = ()) -> DataFrame:
+    """(by, chrom, pos, frac): positions where more than so much of the bases differ from the reference (chrom, bin, seq)."""
     at = piled.withColumn("bin", F.expr(f"pos div {size}")).join(reference, ["chrom", "bin"])
     ref = F.upper(F.substr("seq", (F.col("pos") - F.col("bin") * size + 1).cast("int"), F.lit(1)))
-    per = at.withColumn("_ref", ref).groupBy("chrom", "pos").agg((F.sum(F.when(F.upper("base") != F.col("_ref"), F.col("n")).otherwise(0)) / F.sum("n")).alias("frac"))
+    per = at.withColumn("_ref", ref).groupBy(*by, "chrom", "pos").agg((F.sum(F.when(F.upper("base") != F.col("_ref"), F.col("n")).otherwise(0)) / F.sum("n")).alias("frac"))
     return per.where(F.col("frac") > more_than)
 
 
+def nearby_variants(events: DataFrame, variants: DataFrame, around: int = 500, key: str = "event_id", group: str = "dataset") -> DataFrame:
+    """(key, nearby_snvs) of every event: ``variants`` (group, chrom, pos) from ``around`` before each breakend to just before ``around`` after it.
+
+    Of each side the group with most counts, and both sides add up; a missing side adds nothing.
+    """
+    ends = breakends(events, key)
+    spans = ends.select(key, "side", "chrom", F.greatest(F.col("pos") - around, F.lit(0)).alias("_a"), (F.col("pos") + around - 1).alias("_b"))
+    own = variants.select(group, "chrom", F.col("pos").alias("_c"), F.col("pos").alias("_d")).distinct()
+    per = overlap_join(spans, own, ["chrom"], ("_a", "_b"), ("_c", "_d"), around * 4).groupBy(key, "side", group).agg(F.count(F.lit(1)).alias("n"))
+    sides = per.groupBy(key, "side").agg(F.max("n").alias("n")).groupBy(key).agg(F.sum("n").alias("n"))
+    return events.select(key).distinct().join(sides, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("nearby_snvs"))
+
+
+def reference_stretches(spans: DataFrame, reference: DataFrame, keys: Sequence[str], size: int = 100_000) -> DataFrame:
+    """(keys, seq): the reference's bases from ``start`` to before ``end`` of each span (keys, chrom, start, end), in upper case.
+
+    ``reference`` has (chrom, bin, seq) in pieces of ``size``. Spans are cut at the reference's ends; one without a base has no row.
+    """
+    low = F.greatest(F.col("start"), F.lit(0))
+    rows = spans.where("end > start AND end > 0").select(*keys, "chrom", low.alias("_a"), F.col("end").alias("_b"))
+    rows = rows.withColumn("bin", F.explode(F.sequence(F.expr(f"_a div {size}"), F.expr(f"(_b - 1) div {size}"))))
+    base = F.col("bin") * size
+    first, last = F.greatest(F.col("_a") - base, F.lit(0)), F.least(F.col("_b") - base, F.lit(size))
+    cut = rows.join(reference.select("chrom", "bin", "seq"), ["chrom", "bin"]).select(*keys, "bin", F.upper(F.substr("seq", (first + 1).cast("int"), (last - first).cast("int"))).alias("seq"))
+    whole = cut.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "seq"))).alias("_p"))
+    return whole.select(*keys, F.array_join(F.col("_p.seq"), "").alias("seq")).where("seq <> ''")
+
+
+def nearby_unknown(events: DataFrame, reference: DataFrame, around: int = 5_000, key: str = "event_id", size: int = 100_000) -> DataFrame:
+    """(key, nearby_n) of every event: the unknown bases of the reference within ``around`` of a breakend, of the side that has more."""
+    ends = breakends(events, key).select(key, "side", "chrom", (F.col("pos") - around).alias("start"), (F.col("pos") + around).alias("end"))
+    n = F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit("")))
+    most = reference_stretches(ends, reference, [key, "side"], size).groupBy(key).agg(F.max(n).cast("bigint").alias("n"))
+    return events.select(key).distinct().join(most, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("nearby_n"))
+
+
 def covered_bases(fragments: DataFrame, reads: DataFrame, key: Sequence[str], on: Sequence[str] = ("chrom", "bc")) -> DataFrame:
     """(key, covered): positions of each fragment under at least one read of its barcode; fragments without one have no row."""
     spans = fragments.select(*key, *[c for c in on if c not in key], F.col("start_pos").alias("_a"), (F.col("end_pos") - 1).alias("_b")).where("_a <= _b")

@@ -35,6 +35,13 @@ def precluster(positions: DataFrame, gap: int = 3_000) -> DataFrame:
     return runs.join(means, ["chrom", "cloud"]).select("chrom", "pos", "clustered")
 
 
+def with_clustered(events: DataFrame, clustered: DataFrame) -> DataFrame:
+    """``events`` with x and y at the mean of their runs, from ``precluster``, and what they were as ``original_x`` and ``original_y``; an unknown side stays null."""
+    of = lambda s: clustered.select(F.col("chrom").alias(f"chrom{s}"), F.col("pos").alias(s), F.col("clustered").alias(f"_{s}"))
+    both = events.join(of("x"), ["chromx", "x"], "left").join(of("y"), ["chromy", "y"], "left")
+    return both.withColumnsRenamed({"x": "original_x", "y": "original_y"}).withColumnsRenamed({"_x": "x", "_y": "y"})
+
+
 def merge_breakends(positions: DataFrame, gap: int = 5_000) -> DataFrame:
     """(chrom, pos, orientation, assembled): runs of one orientation brought down to their assembled positions, or else to their mean."""
     rows = positions.select("chrom", "orientation", "pos", F.coalesce("assembled", F.lit(False)).alias("assembled")).distinct()
@@ -59,26 +66,60 @@ def build_graph(events: DataFrame, max_p: float = 1e-4, min_total: int = 20, min
     return keyed.groupBy("u", "v").agg(F.max_by(F.struct(*others), F.col(order)).alias("_e")).select("u", "v", "_e.*")
 
 
-def best_edges(edges: DataFrame, scratch: Scratch, weight: str = "ratio", max_rounds: int = 1000) -> DataFrame:
+def _one_after_the_other(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(u, v) of the edges (u, v, w) that are taken when the best comes first and drops all others at its nodes."""
+    own = plain(pdf).sort_values(["w", "u", "v"], ascending=False)
+    used: set[str] = set()
+    keep = []
+    for u, v in zip(own["u"], own["v"]):
+        keep.append(u not in used and v not in used)
+        if keep[-1]:
+            used.update((u, v))
+    return own.loc[keep, ["u", "v"]]
+
+
+def best_edges(edges: DataFrame, scratch: Scratch, weight: str = "ratio", rounds: int = 5, most: int = 200_000) -> DataFrame:
     """The edges left when the one with the greatest ``weight`` is taken again and again and the others at its two nodes are dropped.
 
-    In every round all edges that are the best at both of their nodes are taken at once, which gives the same edges. Equal
-    weights are decided by the nodes' keys. Edges left after ``max_rounds`` raise RuntimeError.
+    In every round all edges that are the best at both of their nodes are taken at once, which gives the same edges. That takes
+    one round for each step of a chain of falling weights; so after ``rounds`` of them, what is left is cut into its connected
+    parts: each of up to ``most`` edges is gone through in one task, and of larger ones the ``most`` heaviest edges, on which no
+    other edge has a say. That is repeated until no edge is left, so none is lost, however long a chain is. Equal weights are
+    decided by the nodes' keys; a null weight is below all others. Edges with a null end are left out.
     """
-    left, taken = scratch.table(edges), []
-    while not left.isEmpty():
-        if len(taken) == max_rounds:
-            raise RuntimeError(f"not done after {max_rounds} rounds")
-        rank = F.struct(F.col(weight).alias("w"), "u", "v")
-        best = left.select(F.explode(F.array("u", "v")).alias("node"), rank.alias("r")).groupBy("node").agg(F.max("r").alias("r"))
-        chosen = scratch.table(best.groupBy("r").agg(F.count(F.lit(1)).alias("ends")).where("ends = 2 OR r.u = r.v").select(F.col("r.u").alias("u"), F.col("r.v").alias("v")))
-        taken.append(left.join(chosen, ["u", "v"], "left_semi"))
-        nodes = chosen.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        left = scratch.table(left.join(nodes, left["u"] == nodes["node"], "left_anti").join(nodes, F.col("v") == nodes["node"], "left_anti"))
-    out = edges.limit(0)
+    slim = edges.where("u IS NOT NULL AND v IS NOT NULL").groupBy("u", "v").agg(F.coalesce(F.max(F.col(weight).cast("double")), F.lit(float("-inf"))).alias("w"))
+    count = F.count(F.lit(1)).alias("n")
+    left, seen = scratch.measured(slim, count)
+    taken: list[DataFrame] = []
+
+    def take(chosen: DataFrame) -> None:
+        nonlocal left, seen
+        taken.append(scratch.table(chosen))
+        nodes = taken[-1].select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        before = left
+        rest = left.join(nodes, left["u"] == nodes["node"], "left_anti").join(nodes, F.col("v") == nodes["node"], "left_anti")
+        left, seen = scratch.measured(rest, count)
+        scratch.drop(before)
+
+    while seen["n"]:
+        for _ in range(rounds):
+            best = left.select(F.explode(F.array("u", "v")).alias("node"), F.struct("w", "u", "v").alias("r")).groupBy("node").agg(F.max("r").alias("r"))
+            take(best.groupBy("r").agg(F.count(F.lit(1)).alias("ends")).where("ends = 2 OR r.u = r.v").select(F.col("r.u").alias("u"), F.col("r.v").alias("v")))
+            if not seen["n"]:
+                break
+        else:
+            of = components(left.select("u", "v"), scratch).select(F.col("node").alias("u"), "component")
+            parts, held = scratch.measured(left.join(of, "u").groupBy("component").agg(F.count(F.lit(1)).alias("size")), F.max("size").alias("most"))
+            marked = left.join(of, "u").join(parts, "component")
+            small = marked.where(F.col("size") <= most).select(F.col("component").alias("part"), "u", "v", "w")
+            if held["most"] > most:
+                heaviest = marked.where(F.col("size") > most).orderBy(F.desc("w"), F.desc("u"), F.desc("v")).limit(most)
+                small = small.unionByName(heaviest.select(F.lit("").alias("part"), "u", "v", "w"))
+            take(small.groupBy("part").applyInPandas(lambda pdf: _one_after_the_other(pdf[["u", "v", "w"]]), "u string, v string"))
+    chosen = slim.select("u", "v").limit(0)
     for part in taken:
-        out = out.unionByName(part)
-    return out
+        chosen = chosen.unionByName(part)
+    return edges.join(chosen, ["u", "v"], "left_semi")
 
 
 def prefer_assembled(edges: DataFrame, assembled: DataFrame, scratch: Scratch, min_ratio: float = 0.05, min_shared: int = 10) -> DataFrame:
@@ -211,7 +252,9 @@ def _cycle_ranks(edges: list[tuple[str, str]]) -> list[bool]:
 def clean_components(edges: DataFrame) -> DataFrame:
     """(cluster, u, v, kind, p, and shared and total if there) of ``edges`` after cleaning every cluster by itself.
 
-    A cluster is held by one task, which takes time in proportion to its edges, but for sorting them.
+    A cluster is held by one task, which takes time in proportion to its edges, but for sorting them. It can't grow with the
+    data: nodes are preclustered breakends, at least ``precluster``'s gap apart on the reference, each has one breakpoint edge
+    and facing edges to what lies within ``facing_pairs``' reach, so the reference alone bounds the edges.
 
     While there is a cycle, the edge with the least p at any of its nodes goes; then, once, nodes with a single edge that is a
     facing one. Equal p is decided by the nodes' keys.

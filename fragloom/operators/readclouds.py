@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fragloom.session import Scratch
+
 SHARD_BITS = 20
 
 
@@ -46,24 +48,44 @@ def number_clouds(reads: DataFrame, by: Sequence[str], max_dist: int, order: str
     return joined.withColumns({"cloud": F.col("_cloud") + F.col("_cloud_base"), "place": F.col("_place") + F.col("_place_base")}).drop("_shard", "_before", "_cloud", "_place", "_cloud_base", "_place_base")
 
 
-def read_clouds(reads: DataFrame, max_dist: int, by: Sequence[str] = ("chrom", "bc"), start_mapq: int = 30, end_mapq: int = 30, one_mapq: int = 60) -> DataFrame:
+def read_clouds(reads: DataFrame, max_dist: int, by: Sequence[str] = ("chrom", "bc"), start_mapq: int = 30, end_mapq: int = 30, one_mapq: int = 60, shard_bits: int = SHARD_BITS) -> DataFrame:
     """(by, start_pos, end_pos, num_reads, obs_len, hap): the clouds of good reads.
 
-    A cloud starts at its first read with a mapping quality above ``start_mapq`` and ends with its last one of at least
-    ``end_mapq``; it needs a read of at least ``one_mapq``. ``hap`` is the haplotype of its first read that has one.
+    A cloud starts at its first read with a mapping quality above ``start_mapq``, and reads of less than ``end_mapq`` at its
+    end are left out; it needs a read of at least ``one_mapq``. It ends at the greatest end of the reads between, whatever
+    their quality. ``hap`` is the haplotype of its first read, null where that has none. A shard of a cloud is brought down to
+    one row first, so a barcode with any part of all reads is spread over its shards.
     """
-    numbered = number_clouds(good_reads(reads), by, max_dist)
+    numbered = number_clouds(good_reads(reads), by, max_dist, shard_bits=shard_bits).withColumn("_shard", F.shiftright("pos", shard_bits))
     opening, closing = F.col("mapq") > start_mapq, F.col("mapq") >= end_mapq
-    clouds = numbered.groupBy(*by, "cloud").agg(
-        F.min(F.when(opening, F.col("pos"))).alias("start_pos"),
-        F.max(F.when(closing, F.col("ref_end"))).alias("end_pos"),
-        F.min(F.when(opening, F.col("place"))).alias("_first"),
-        F.max(F.when(closing, F.col("place"))).alias("_last"),
-        F.max("mapq").alias("_best"),
-        F.min_by("hap", F.when(F.col("hap").isNotNull(), F.col("place"))).alias("hap"),
+    w = Window.partitionBy(*by, "_shard", "cloud").orderBy("place")
+    begun = F.coalesce(F.max(opening).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
+    goes_on = F.coalesce(F.max(closing).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(False))
+    marked = numbered.withColumns({"_begun": begun, "_goes_on": goes_on})
+    reach = lambda cond: F.max(F.when(cond, F.col("ref_end")))
+    shards = marked.groupBy(*by, "cloud", "_shard").agg(
+        F.min(F.when(opening, F.struct("place", "pos", "hap"))).alias("first"),
+        F.max(F.when(closing, F.col("place"))).alias("last"),
+        F.max("mapq").alias("best"),
+        reach(F.lit(True)).alias("all"),
+        reach(F.col("_begun")).alias("from_first"),
+        reach(F.col("_goes_on")).alias("to_last"),
+        reach(F.col("_begun") & F.col("_goes_on")).alias("between"),
     )
+    part = F.struct("_shard", F.col("first").isNotNull().alias("opens"), F.col("last").isNotNull().alias("closes"), "all", "from_first", "to_last", "between")
+    clouds = shards.groupBy(*by, "cloud").agg(
+        F.min("first").alias("_first"), F.max("last").alias("_last"), F.max("best").alias("_best"),
+        F.min(F.when(F.col("first").isNotNull(), F.col("_shard"))).alias("_a"), F.max(F.when(F.col("last").isNotNull(), F.col("_shard"))).alias("_b"), F.collect_list(part).alias("_parts"),
+    )
     kept = clouds.where((F.col("_best") >= one_mapq) & F.col("_first").isNotNull())
-    return kept.select(*by, "start_pos", "end_pos", (F.col("_last") - F.col("_first") + 1).alias("num_reads"), (F.col("end_pos") - F.col("start_pos")).alias("obs_len"), "hap")
+
+    def own(p: Column) -> Column:
+        at_start, at_end = p["_shard"] == F.col("_a"), p["_shard"] == F.col("_b")
+        inner = F.when(at_start & at_end, p["between"]).when(at_start, p["from_first"]).when(at_end, p["to_last"]).otherwise(p["all"])
+        return F.when((p["_shard"] >= F.col("_a")) & (p["_shard"] <= F.col("_b")), inner)
+
+    ended = kept.select(*by, F.col("_first.pos").alias("start_pos"), F.array_max(F.transform("_parts", own)).alias("end_pos"), (F.col("_last") - F.col("_first.place") + 1).alias("num_reads"), F.col("_first.hap").alias("hap"))
+    return ended.select(*by, "start_pos", "end_pos", "num_reads", (F.col("end_pos") - F.col("start_pos")).alias("obs_len"), "hap")
 
 
 def inter_read_distances(reads: DataFrame, by: Sequence[str] = ("chrom", "bc"), most: int = 60_000, shard_bits: int = SHARD_BITS) -> DataFrame:
@@ -89,6 +111,16 @@ def barcode_totals(fragments: DataFrame, by: Sequence[str] = ("bc",)) -> DataFra
     return fragments.where("bc IS NOT NULL").groupBy(*by).agg(F.sum(F.coalesce("num_reads", F.lit(0))).alias("num_reads"))
 
 
+def numbered_by(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``number``, dense from 0 in the order of ``column``: rows are sorted in ranges and counted in them, whatever the values look like."""
+    ranged = df.repartitionByRange(F.col(column)).sortWithinPartitions(column).withColumn("_at", F.monotonically_increasing_id())
+    ranged = Scratch(df.sparkSession, "ranges").table(ranged).withColumns({"_part": F.shiftright("_at", 33), "_own": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    parts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row for each range, of which there are as many as tasks
+    return ranged.join(F.broadcast(parts.select("_part", before.alias("_before"))), "_part").withColumn("number", F.col("_before") + F.col("_own")).drop("_at", "_part", "_own", "_before")
+
+
 def good_barcodes(totals: DataFrame, share: float = 0.9) -> DataFrame:
     """(bc, num_reads): the barcodes with most reads that together stay below ``share`` of all; the one that reaches it is out.
 
@@ -102,22 +134,14 @@ def good_barcodes(totals: DataFrame, share: float = 0.9) -> DataFrame:
     room = F.when(F.col("num_reads") > 0, F.ceil((limit - above) / F.col("num_reads")) - 1).otherwise(F.when(limit > above, F.col("n")).otherwise(0))
     allowed = counts.select("num_reads", "n", room.alias("room")).where("room > 0")
     whole = totals.join(allowed.where("room >= n").select("num_reads"), "num_reads", "left_semi")
-    some = totals.join(allowed.where("room < n").select("num_reads", "room"), "num_reads").withColumn("part", F.substring("bc", 1, 4))
-    parts = some.groupBy("num_reads", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("num_reads").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("num_reads", "part", before.alias("before"))
-    own = F.row_number().over(Window.partitionBy("num_reads", "part").orderBy("bc"))
-    split = some.withColumn("own", own).join(parts, ["num_reads", "part"]).where(F.col("own") + F.col("before") <= F.col("room"))
+    # of one number of reads at most only a part goes in: the first by barcode
+    split = numbered_by(totals.join(allowed.where("room < n").select("num_reads", "room"), "num_reads"), "bc").where(F.col("number") < F.col("room"))
     return whole.select("bc", "num_reads").unionByName(split.select("bc", "num_reads"))
 
 
 def barcode_ids(fragments: DataFrame) -> DataFrame:
-    """(bc, id): dense numbers from 0 in the order of the barcode, counted in parts of the barcodes first."""
-    bcs = fragments.where("bc IS NOT NULL").select("bc").distinct().withColumn("part", F.substring("bc", 1, 4))
-    parts = bcs.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy("bc")) - 1
-    return bcs.withColumn("own", own).join(parts, "part").select("bc", (F.col("own") + F.col("before")).alias("id"))
+    """(bc, id): dense numbers from 0 in the order of the barcode."""
+    return numbered_by(fragments.where("bc IS NOT NULL").select("bc").distinct(), "bc").select("bc", F.col("number").alias("id"))
 
 
 def combine_read_clouds(clouds: Sequence[DataFrame], share: float = 0.9) -> DataFrame:

@@ -77,6 +77,21 @@ def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.build_graph(_called(spark, sf_dir), **EDGE)
 
 
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with both sides at the mean of their run of positions."""
+    called = _called(spark, sf_dir)
+    return gr.with_clustered(called, gr.precluster(gr.event_positions(called)))
+
+
+def clustered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clustered(spark, sf_dir).select("event_id", "chromx", "x", "chromy", "y", "original_x", "original_y")
+
+
+def clustered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph over preclustered breakends."""
+    return gr.build_graph(_clustered(spark, sf_dir), **EDGE).select("u", "v", "event_id", "shared", "total")
+
+
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).select("u", "v", "event_id", "shared", "total")
 
@@ -116,7 +131,7 @@ def event_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tested_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best breakpoint edges and the facing edges their barcodes support, with the component they belong to."""
     scratch = Scratch(spark, "tested")
-    best = scratch.table(gr.best_at_both_ends(_graph(spark, sf_dir)))
+    best = scratch.table(gr.best_at_both_ends(gr.build_graph(_clustered(spark, sf_dir), **EDGE)))
     facing = gr.supported_facing_edges(best, va.events(spark, sf_dir), fragments(spark, sf_dir, "dataset", "chrom", "start_pos", "end_pos", "bc", "hap"))
     breakpoints = best.select("u", "v", F.lit("breakpoint").alias("kind"), F.coalesce("p", F.lit(1.0)).alias("p"), "shared", "total")
     return gr.edge_components(scratch.table(breakpoints.unionByName(facing)), scratch)
@@ -140,14 +155,14 @@ def compared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events' resampling tests, where at least three barcodes cross."""
+    """The events' resampling tests."""
     f = fragments(spark, sf_dir, "dataset", "chrom", "start_pos", "end_pos", "bc", "num_reads", "hap")
-    crossed = su.quantify(va.events(spark, sf_dir), f).where("shared >= 3")
+    crossed = su.quantify(va.events(spark, sf_dir), f)
     totals = f.where("bc IS NOT NULL").groupBy("dataset", "bc").agg(F.sum("num_reads").alias("num_reads"))
     return ev.resampling_p(crossed, totals).select("event_id", "dataset", "shared", "total", "p_resampling")
 
 
-QUERIES = {q.__name__: q for q in (event_resampling, end_histogram, background_union, overlap_matrix, peaks, refined_breakends, combined_events, precluster, merged_breakends, graph_edges, best_edges, best_at_both_ends, assembled_edges, facing_breakends, event_components, clean_events, event_paths, compared_events)}
+QUERIES = {q.__name__: q for q in (event_resampling, end_histogram, background_union, overlap_matrix, peaks, refined_breakends, combined_events, precluster, merged_breakends, clustered_events, clustered_edges, graph_edges, best_edges, best_at_both_ends, assembled_edges, facing_breakends, event_components, clean_events, event_paths, compared_events)}
 
 _PAIRS = va.SQL["fragment_pairs"].replace("SELECT geno_id AS region_id, bc, fx.frag_id AS frag_x, fy.frag_id AS frag_y FROM", ", pairs AS (SELECT geno_id AS region_id, bc, fx.frag_id AS frag_x, fy.frag_id AS frag_y FROM") + ")"
 _TIPS = f"""{_PAIRS}, placed AS (SELECT region_id, p.bc, x - {va.PAD} AS sx, y - {va.PAD} AS sy, fx.start_pos AS xs, fx.end_pos AS xe, fy.start_pos AS ys, fy.end_pos AS ye FROM pairs p JOIN frags fx ON fx.frag_id = frag_x JOIN frags fy ON fy.frag_id = frag_y JOIN e ON e.geno_id = region_id),

@@ -15,9 +15,10 @@ DAY = 86_400
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     pos = F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
+    # reads of many lengths, so that one of low quality may reach beyond all others
     mapq = F.expr("CASE WHEN event_id % 10 = 0 THEN 20 WHEN event_id % 10 < 3 THEN 45 ELSE 60 END")
     return e.select(
-        F.col("event_id").alias("read_id"), F.col("event_type").alias("chrom"), F.col("user_id").cast("string").alias("bc"), pos.alias("pos"), (pos + 150).alias("ref_end"),
+        F.col("event_id").alias("read_id"), F.col("event_type").alias("chrom"), F.col("user_id").cast("string").alias("bc"), pos.alias("pos"), (pos + 100 + F.col("event_id") % 7 * 9_000).alias("ref_end"),
         mapq.alias("mapq"), (F.col("event_id") % 50 == 7).alias("is_duplicate"), F.when(F.col("event_id") % 7 > 1, F.col("event_id") % 3).alias("hap"),
     )
 
@@ -65,14 +66,14 @@ def cloud_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (cloud_coverage, read_clouds, inter_read_distance, clustering_distance, barcode_totals, good_barcodes, barcode_ids, combined_clouds)}
 
 _READS = """reads AS (SELECT event_id AS read_id, event_type AS chrom, CAST(user_id AS VARCHAR) AS bc, date_diff('second', timestamp '2024-01-01', ts) AS pos,
-  date_diff('second', timestamp '2024-01-01', ts) + 150 AS ref_end, CASE WHEN event_id % 10 = 0 THEN 20 WHEN event_id % 10 < 3 THEN 45 ELSE 60 END AS mapq, CASE WHEN event_id % 7 > 1 THEN event_id % 3 END AS hap
+  date_diff('second', timestamp '2024-01-01', ts) + 100 + event_id % 7 * 9000 AS ref_end, CASE WHEN event_id % 10 = 0 THEN 20 WHEN event_id % 10 < 3 THEN 45 ELSE 60 END AS mapq, CASE WHEN event_id % 7 > 1 THEN event_id % 3 END AS hap
   FROM events WHERE event_id % 50 <> 7 AND event_type IS NOT NULL AND user_id IS NOT NULL)"""
 _CLOUDS = f"""WITH {_READS},
 lagged AS (SELECT *, CASE WHEN pos - lag(ref_end) OVER w > {DAY} THEN 1 ELSE 0 END AS brk, row_number() OVER w AS place FROM reads WINDOW w AS (PARTITION BY chrom, bc ORDER BY pos, read_id)),
 numbered AS (SELECT *, sum(brk) OVER (PARTITION BY chrom, bc ORDER BY pos, read_id ROWS UNBOUNDED PRECEDING) AS cloud FROM lagged),
-grouped AS (SELECT chrom, bc, min(pos) FILTER (mapq > 30) AS start_pos, max(ref_end) FILTER (mapq >= 30) AS end_pos, min(place) FILTER (mapq > 30) AS a, max(place) FILTER (mapq >= 30) AS b, max(mapq) AS best,
-  arg_min(hap, place) FILTER (hap IS NOT NULL) AS hap FROM numbered GROUP BY chrom, bc, cloud),
-clouds AS (SELECT chrom, bc, start_pos, end_pos, b - a + 1 AS num_reads, end_pos - start_pos AS obs_len, hap FROM grouped WHERE best >= 60 AND a IS NOT NULL),
+bounds AS (SELECT chrom, bc, cloud, min(place) FILTER (mapq > 30) AS a, max(place) FILTER (mapq >= 30) AS b, max(mapq) AS best FROM numbered GROUP BY ALL),
+clouds AS (SELECT chrom, bc, min(pos) AS start_pos, max(ref_end) AS end_pos, count(*) AS num_reads, max(ref_end) - min(pos) AS obs_len, max(CASE WHEN place = a THEN hap END) AS hap
+  FROM numbered JOIN bounds USING (chrom, bc, cloud) WHERE best >= 60 AND place BETWEEN a AND b GROUP BY chrom, bc, cloud),
 totals AS (SELECT bc, CAST(sum(num_reads) AS BIGINT) AS num_reads FROM clouds GROUP BY bc),
 running AS (SELECT *, sum(num_reads) OVER (ORDER BY num_reads DESC, bc ROWS UNBOUNDED PRECEDING) AS upto, sum(num_reads) OVER () AS total FROM totals),
 good AS (SELECT bc, num_reads FROM running WHERE upto < total * 0.9)"""
