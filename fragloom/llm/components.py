@@ -24,46 +24,51 @@ def links_by_key(df: DataFrame, vertex: str, keys: Sequence[Column], scratch: Sc
     in any part of the rows.
     """
     pairs = df.where(F.col(vertex).isNotNull()).select(F.col(vertex).alias("u"), F.explode(F.array_compact(F.array(*keys))).alias("key"))
-    pairs = scratch.table(pairs.distinct())
-    least = pairs.groupBy("key").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return attach(pairs, least, "key", "rows", pairs.count()).where("u <> v").select("u", "v")
+    pairs, seen = scratch.measured(pairs.distinct(), F.count(F.lit(1)).alias("n"))
+    least, hot = scratch.measured(pairs.groupBy("key").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), F.max("rows").alias("most"))
+    return attach(pairs, least, "key", "rows", max(1, seen["n"]), hot["most"] or 0).where("u <> v").select("u", "v")
 
 
-def _prune(edges: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """One round over edges in both directions: the edges among what is left, and (child, parent) of what dropped out."""
-    least = edges.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("rows")).select("u", F.least("u", "v").alias("m"), "rows")
-    heard = attach(edges, least, "u", "rows", n).select(F.col("v").alias("u"), "m").unionByName(least.select("u", "m")).distinct()
+def _prune(edges: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, int, DataFrame]:
+    """One round over n edges, in both directions: the edges among what is left and their number, (child, parent) of what dropped out."""
+    most = F.max("rows").alias("most")
+    least, seen = scratch.measured(edges.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("rows")).select("u", F.least("u", "v").alias("m"), "rows"), most)
+    heard = attach(edges, least, "u", "rows", n, seen["most"]).select(F.col("v").alias("u"), "m").unionByName(least.select("u", "m")).distinct()
     heard = scratch.table(heard)
-    best = heard.groupBy("u").agg(F.min("m").alias("seed"), F.max(F.col("m") == F.col("u")).alias("stays"), F.count(F.lit(1)).alias("rows"))
-    best = scratch.table(best)
-    apart = attach(heard, best.where("rows > 1").drop("stays"), "u", "rows", n * 2).where("m <> seed").select("seed", "m")
+    best, seen = scratch.measured(heard.groupBy("u").agg(F.min("m").alias("seed"), F.max(F.col("m") == F.col("u")).alias("stays"), F.count(F.lit(1)).alias("rows")), most)
+    apart = attach(heard, best.where("rows > 1").drop("stays"), "u", "rows", n * 2, seen["most"]).where("m <> seed").select("seed", "m")
     both = apart.select(F.inline(F.array(F.struct(F.col("seed").alias("u"), F.col("m").alias("v")), F.struct(F.col("m").alias("u"), F.col("seed").alias("v")))))
-    return scratch.table(both.distinct()), best.where("NOT stays").select(F.col("u").alias("child"), F.col("seed").alias("parent"))
+    left, seen = scratch.measured(both.distinct(), F.count(F.lit(1)).alias("n"))
+    scratch.drop(least, heard)
+    return left, seen["n"], best.where("NOT stays").select(F.col("u").alias("child"), F.col("seed").alias("parent"))
 
 
-def connected_groups(links: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
+def connected_groups(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(vertex, group_id): for every vertex of ``links`` (u, v) the least vertex it is connected with.
 
     Links have no direction. Loops, repeated links and links with a null end are allowed and link nothing new; a vertex that
-    has only loops does not occur in the result. No link gives no row. Rounds grow with the logarithm of the vertices.
+    has only loops does not occur in the result. No link gives no row. In every round at least the greatest vertex of each
+    group drops out, so the rounds end; they grow with the logarithm of the vertices.
     """
     both = links.where("u <> v").select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
-    edges = scratch.table(both.distinct())
+    edges, seen = scratch.measured(both.distinct(), F.count(F.lit(1)).alias("n"))
+    n = seen["n"]
     dropped: list[DataFrame] = []
-    while n := edges.count():
-        if len(dropped) == max_rounds:
-            raise RuntimeError(f"not done after {max_rounds} rounds")
-        edges, fallen = _prune(edges, n, scratch)
+    while n:
+        before = edges
+        edges, n, fallen = _prune(edges, n, scratch)
+        scratch.drop(before)
         dropped.append(fallen)
     groups = edges.select(F.col("u").alias("vertex"), F.col("u").alias("group_id"))
     for fallen in reversed(dropped):
         # a parent that has no group yet is a seed
         parents = fallen.groupBy("parent").agg(F.count(F.lit(1)).alias("rows"))
         known = parents.join(groups.withColumnRenamed("vertex", "parent"), "parent", "left").select("parent", F.coalesce("group_id", "parent").alias("group_id"), "rows", F.col("group_id").isNull().alias("seed"))
-        known = scratch.table(known)
-        below = attach(fallen, known.drop("seed"), "parent", "rows", max(1, fallen.count())).select(F.col("child").alias("vertex"), "group_id")
+        known, seen = scratch.measured(known, F.max("rows").alias("most"), F.sum("rows").alias("n"))
+        below = attach(fallen, known.drop("seed"), "parent", "rows", max(1, seen["n"] or 0), seen["most"] or 0).select(F.col("child").alias("vertex"), "group_id")
         seeds = known.where("seed").select(F.col("parent").alias("vertex"), F.col("parent").alias("group_id"))
-        groups = scratch.table(groups.unionByName(below).unionByName(seeds))
+        before, groups = groups, scratch.table(groups.unionByName(below).unionByName(seeds))
+        scratch.drop(before)
     return groups
 
 
