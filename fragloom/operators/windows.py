@@ -14,12 +14,15 @@ from fragloom.session import Scratch
 WINDOW = 10_000
 
 
+def chunk_steps(chroms: DataFrame, size: int) -> DataFrame:
+    """(chrom, length, step): how far apart the chunks of ``split_genome`` begin."""
+    return chroms.where("length > 0").select("chrom", "length", F.ceil(F.col("length") / F.ceil(F.col("length") / size)).alias("step"))
+
+
 def split_genome(chroms: DataFrame, size: int) -> DataFrame:
     """(chrom, start, end): near-equal chunks of at most ``size``."""
-    n = F.ceil(F.col("length") / size)
-    step = F.ceil(F.col("length") / n)
-    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, step)).alias("start")
-    return chroms.where("length > 0").select("chrom", "length", step.alias("step"), starts).select("chrom", "start", F.least(F.col("start") + F.col("step"), F.col("length")).alias("end"))
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.col("step")))
+    return chunk_steps(chroms, size).withColumn("start", starts).select("chrom", "start", F.least(F.col("start") + F.col("step"), F.col("length")).alias("end"))
 
 
 def search_regions(chroms: DataFrame, window: int, skip: int, skip_at_ends: int) -> DataFrame:

@@ -208,6 +208,14 @@ _CLASSES = f"""{_PRESENT}, sets AS (SELECT DISTINCT dataset FROM genotypes), cla
 _RAW = """f AS (SELECT DISTINCT frag_id, dataset, upper(trim(bc, ' ')) AS raw FROM fragments WHERE bc IS NOT NULL AND frag_id IS NOT NULL), known AS (SELECT bc FROM spelled WHERE NOT regexp_matches(bc, '^N*$') GROUP BY bc HAVING count(*) > 1),
 samples AS (SELECT DISTINCT dataset, sample FROM fragments WHERE dataset <> 'tx0001')"""
 SQL = {
+    "chromosome_pairs": f"""{_CLASSES}, ev AS (SELECT geno_id AS event_id, coalesce(nx.name, chromx) AS cx, coalesce(ny.name, chromy) AS cy, cluster FROM genotypes LEFT JOIN names nx ON nx.spelling = chromx LEFT JOIN names ny ON ny.spelling = chromy WHERE y IS NOT NULL AND chromy IS NOT NULL),
+sizes AS (SELECT cluster, count(total) AS size FROM genotypes WHERE cluster <> -1 GROUP BY cluster), rows AS (SELECT least(cx, cy) AS chrom_a, greatest(cx, cy) AS chrom_b, length(replace(coalesce(classes, ''), '0', '')) AS k, coalesce(size > 1, false) AS many FROM ev LEFT JOIN classes USING (event_id) LEFT JOIN sizes USING (cluster))
+SELECT chrom_a, chrom_b, count(*) AS n, count(*) FILTER (k = 1) AS private, count(*) FILTER (k > 1) AS shared_by, count(*) FILTER (many) AS complex, round(count(*) FILTER (many) / count(*), 6) AS complex_frac FROM rows GROUP BY ALL""",
+    "dataset_report": f"""{_LEN}, d AS (SELECT dataset, count(*) AS n, avg(len) AS m, quantile_cont(len, [0.25, 0.5, 0.75]) AS q FROM lens GROUP BY dataset)
+SELECT dataset, format('{{:,}} fragments; 25/50/75 %: {{:,}} {{:,}} {{:,}} ; mean {{:,}}.{{}}', n, CAST(round_even(q[1], 0) AS BIGINT), CAST(round_even(q[2], 0) AS BIGINT), CAST(round_even(q[3], 0) AS BIGINT), CAST(floor(round_even(m, 1)) AS BIGINT), CAST(round(round_even(m, 1) * 10) AS BIGINT) % 10) AS line FROM d""",
+    "vcf_header": """SELECT k - 1 AS n, line FROM (SELECT unnest(range(1, 6)) AS k, unnest(['##fileformat=VCFv4.3', '##INFO=<ID=SVTYPE,Number=1,Type=String,Description="Type of structural variant">', '##INFO=<ID=MATEID,Number=1,Type=String,Description="ID of mate breakend">',
+  '##INFO=<ID=ASSEMBLED,Number=0,Type=Flag,Description="Breakpoint was assembled">', '##INFO=<ID=EVENT,Number=1,Type=String,Description="Cluster of the breakpoint">']) AS line)
+UNION ALL SELECT idx + 1000, '##contig=<ID=' || chrom || ',length=' || length || '>' FROM chroms UNION ALL SELECT 1000000000, concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', 'all')""",
     "length_bands": f"WITH {FRAGMENTS_SQL}, {_BAND} SELECT dataset, round(b20[1], 4) AS low_20, round(b20[2], 4) AS high_20, round(b50[1], 4) AS low_50, round(b50[2], 4) AS high_50, round(b80[1], 4) AS low_80, round(b80[2], 4) AS high_80 FROM bands",
     "length_genotypes": f"{_TESTED} SELECT * FROM tested",
     "length_filter": f"{_TESTED} SELECT event_id, coalesce(bool_or(passes), false) AS frag_length_passes FROM tested GROUP BY event_id",

@@ -13,7 +13,7 @@ from fragloom.plans import variants as va
 from fragloom.plans.tables import fragments, genotypes
 from fragloom.session import Scratch
 
-BIN = 2_000
+BIN, WIDE = 2_000, 100_000
 #: The test tables' events have fewer barcodes than the operator's defaults.
 EDGE = {"max_p": 1e-4, "min_total": 20, "min_ratio": 0.01, "min_shared": 5}
 
@@ -151,7 +151,8 @@ def compared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = ends.groupBy("chrom", "pos", "orientation").agg(F.min("event_id").alias("event_a"))
     pairs = ends.join(first, ["chrom", "pos", "orientation"]).where("event_id <> event_a").select("event_a", F.col("event_id").alias("event_b")).distinct()
     f = fragments(spark, sf_dir, "dataset", "chrom", "start_pos", "end_pos", "bc", "hap")
-    return gr.compare_breakpoints(pairs, va.events(spark, sf_dir), f).withColumn("log_p", F.when(F.col("p") > 0, F.round(F.log10("p"), 4))).drop("p")
+    # few events of the test tables are crossed by the same barcodes, so their surroundings are wide
+    return gr.compare_breakpoints(pairs, va.events(spark, sf_dir), f, far=WIDE).withColumn("log_p", F.when(F.col("p") > 0, F.round(F.log10("p"), 4))).drop("p")
 
 
 def event_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +176,39 @@ _GRAPH = f"""{_EVENTS}, good AS (SELECT *, printf('%s:%012d:%s', chromx, x, subs
 edges AS MATERIALIZED (SELECT least(a, b) AS u, greatest(a, b) AS v, max(geno_id) AS event_id, arg_max(shared, geno_id) AS shared, arg_max(total, geno_id) AS total, arg_max(coalesce(p, 1.0), geno_id) AS p FROM good GROUP BY ALL)"""
 _FACING = """SELECT DISTINCT l.chrom, l.pos AS left_pos, r.pos AS right_pos FROM ends l JOIN ends r ON l.chrom = r.chrom AND l.o = '-' AND r.o = '+' AND r.pos - l.pos >= 5000 AND r.pos - l.pos < 100000"""
 _RUNS = "SELECT *, sum(CASE WHEN pos - before > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {by} ORDER BY pos, a ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(pos) OVER (PARTITION BY {by} ORDER BY pos, a) AS before FROM {t})"
+_RANKS = "SELECT u, v, event_id, shared / total AS r, row_number() OVER (ORDER BY shared / total DESC, u DESC, v DESC) AS k FROM edges"
+#: One edge after the other, with the nodes that are taken.
+_WALK = """walk(k, used, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[]) UNION ALL
+  SELECT r.k, CASE WHEN list_contains(used, u) OR list_contains(used, v) THEN used ELSE list_concat(used, [u, v]) END, CASE WHEN list_contains(used, u) OR list_contains(used, v) THEN taken ELSE list_append(taken, r.k) END FROM walk w JOIN {ranked} r ON r.k = w.k + 1),
+done AS (SELECT unnest(taken) AS k FROM walk WHERE k = (SELECT count(*) FROM {ranked}))"""
+_CLUSTERED = f"""{_ENDS}, t AS (SELECT DISTINCT chrom, pos, 0 AS a FROM ends), runs AS ({_RUNS.format(gap=3000, by='chrom', t='t')}), means AS (SELECT chrom, pos, CAST(floor(avg(pos) OVER (PARTITION BY chrom, run)) AS BIGINT) AS m FROM runs),
+moved AS (SELECT ev.* REPLACE (a.m AS x, b.m AS y), ev.x AS original_x, ev.y AS original_y FROM ev LEFT JOIN means a ON a.chrom = chromx AND a.pos = ev.x LEFT JOIN means b ON b.chrom = chromy AND b.pos = ev.y)"""
+_REFINED = va._SUPPORT.format(near=-20_000, far=20_000).replace("bc, hap FROM sides", "bc, start_pos, end_pos FROM sides") + """, spans AS (SELECT event_id, side, pos, o, greatest(start_pos - pos + 20000, 0) AS lo, least(end_pos - pos + 20000, 40001) AS hi FROM near WHERE greatest(start_pos - pos + 20000, 0) < least(end_pos - pos + 20000, 40001)),
+pts AS (SELECT DISTINCT event_id, side, pos, o, unnest([0, 40000, lo, lo - 1, hi, hi - 1]) AS spot FROM spans), dens AS (SELECT p.event_id, p.side, p.pos, p.o, p.spot, count(*) FILTER (lo <= p.spot AND hi > p.spot) AS d FROM pts p JOIN spans s USING (event_id, side) WHERE p.spot BETWEEN 0 AND 40000 GROUP BY ALL),
+tops AS (SELECT *, max(d) OVER (PARTITION BY event_id, side) AS top FROM dens), peaks AS (SELECT event_id, side, pos, o, CASE o WHEN '+' THEN min(spot) ELSE max(spot) END AS peak FROM tops WHERE d > 0.9 * top GROUP BY event_id, side, pos, o), high AS (SELECT p.*, d AS height FROM peaks p JOIN dens d ON d.event_id = p.event_id AND d.side = p.side AND d.spot = p.peak),
+cands AS (SELECT h.*, d.spot, d.d FROM high h JOIN dens d USING (event_id, side) WHERE CASE h.o WHEN '+' THEN d.spot > peak ELSE d.spot < peak END UNION ALL SELECT h.*, peak + 1, height FROM high h WHERE o = '+' AND peak < 40000 AND NOT EXISTS (SELECT 1 FROM dens d WHERE d.event_id = h.event_id AND d.side = h.side AND d.spot = h.peak + 1)),
+scored AS (SELECT *, row_number() OVER (PARTITION BY event_id, side ORDER BY (height - d) / sqrt(abs(spot - peak)) DESC, spot) AS k FROM cands), sizes AS (SELECT event_id, side, count(*) AS n FROM spans GROUP BY ALL)
+SELECT h.event_id, h.side, h.pos, h.pos - 20000 + coalesce(s.spot, h.peak) AS new_pos, n FROM high h LEFT JOIN (SELECT * FROM scored WHERE k = 1) s USING (event_id, side) JOIN sizes USING (event_id, side)"""
+_COMPARED = f"""{va._SUPPORT.format(near=-500, far=WIDE)}, bx AS (SELECT event_id, dataset, bc, count(DISTINCT frag_id) AS n, min(frag_id) AS f FROM near WHERE side = 'x' GROUP BY ALL), by_ AS (SELECT event_id, dataset, bc, count(DISTINCT frag_id) AS n, min(frag_id) AS f FROM near WHERE side = 'y' GROUP BY ALL),
+crossing AS (SELECT event_id, dataset, bc FROM bx JOIN by_ USING (event_id, dataset, bc) WHERE NOT (bx.n = 1 AND by_.n = 1 AND bx.f = by_.f)), sizes AS (SELECT event_id, dataset, count(*) AS n FROM crossing GROUP BY ALL), firsts AS (SELECT chrom, pos, o, min(event_id) AS event_a FROM sides GROUP BY ALL),
+pairs AS (SELECT DISTINCT event_a, event_id AS event_b FROM sides JOIN firsts USING (chrom, pos, o) WHERE event_id <> event_a),
+common AS (SELECT event_a, event_b, dataset, count(*) AS shared FROM pairs JOIN crossing a ON a.event_id = event_a JOIN crossing b USING (dataset, bc) WHERE b.event_id = event_b GROUP BY ALL), good AS (SELECT dataset, count(DISTINCT bc) AS good FROM frags WHERE bc IS NOT NULL GROUP BY dataset),
+counts AS (SELECT event_a, event_b, c.dataset, shared, a.n AS na, b.n AS nb, a.n + b.n - shared AS total, good FROM common c JOIN sizes a ON a.event_id = event_a AND a.dataset = c.dataset JOIN sizes b ON b.event_id = event_b AND b.dataset = c.dataset JOIN good g ON g.dataset = c.dataset),
+cells AS (SELECT *, unnest(range(shared, least(na, nb) + 1)) AS i FROM counts),
+tested AS (SELECT event_a, event_b, dataset, shared, total, least(sum(exp(lgamma(nb + 1) - lgamma(i + 1) - lgamma(nb - i + 1) + lgamma(good - nb + 1) - lgamma(na - i + 1) - lgamma(good - nb - na + i + 1) - lgamma(good + 1) + lgamma(na + 1) + lgamma(good - na + 1))), 1.0) AS p FROM cells GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY event_a, event_b ORDER BY p, dataset) AS k FROM tested) SELECT event_a, event_b, dataset, shared, total, {va._LOG} FROM best WHERE k = 1"""
 SQL = {
+    "peaks": f"""{_TIPS.replace("WITH ", "WITH RECURSIVE ", 1)}, hist AS (SELECT region_id, orientation, bx, "by", count(*) AS n FROM binned GROUP BY ALL), either AS (SELECT h.region_id, h.orientation, h.bx, h."by", count(DISTINCT b.bc) AS total FROM hist h JOIN binned b ON b.region_id = h.region_id AND b.orientation = h.orientation AND (b.bx = h.bx OR b."by" = h."by") GROUP BY ALL),
+cells AS (SELECT region_id, orientation, list({{'bx': bx, 'by': "by", 'n': n, 'r': n / total}} ORDER BY n / total DESC, "by", bx) AS own FROM hist JOIN either USING (region_id, orientation, bx, "by") GROUP BY ALL),
+walk(region_id, orientation, own, top) AS (SELECT region_id, orientation, own, CAST(NULL AS STRUCT(bx BIGINT, "by" BIGINT, n BIGINT, r DOUBLE)) FROM cells UNION ALL SELECT region_id, orientation, list_filter(own, lambda c: abs(c.bx - own[1].bx) > 10 OR abs(c.by - own[1].by) > 10), own[1] FROM walk WHERE len(own) > 0 AND own[1].n > 2 AND own[1].r > 0.05)
+SELECT region_id, orientation, top.bx AS bx, top.by AS "by", top.n AS n, top.r AS ratio FROM walk WHERE top IS NOT NULL""",
+    "refined_breakends": _REFINED,
+    "compared_events": _COMPARED,
+    "best_edges": f"{_GRAPH}, ranked AS MATERIALIZED ({_RANKS}), {_WALK.format(ranked='ranked')} SELECT u, v, event_id FROM ranked JOIN done USING (k)",
+    "assembled_edges": f"""{_GRAPH}, ranked AS MATERIALIZED (SELECT u, v, event_id, row_number() OVER (ORDER BY event_id, u DESC, v DESC) AS k FROM edges JOIN genotypes ON geno_id = event_id WHERE genotypes.assembled AND edges.shared >= 5 AND edges.shared / edges.total >= 0.05), {_WALK.format(ranked='ranked')},
+first AS (SELECT u, v, event_id FROM ranked JOIN done USING (k)), nodes AS (SELECT u AS node FROM first UNION SELECT v FROM first) SELECT * FROM first UNION ALL SELECT u, v, event_id FROM edges WHERE u NOT IN (SELECT node FROM nodes) AND v NOT IN (SELECT node FROM nodes)""",
+    "clustered_events": f"{_CLUSTERED} SELECT geno_id AS event_id, chromx, x, chromy, y, original_x, original_y FROM moved",
+    "clustered_edges": f"""{_CLUSTERED}, {_GRAPH[len(_EVENTS) + 2:].replace("FROM ev WHERE", "FROM moved WHERE")} SELECT u, v, event_id, shared, total FROM edges""",
     "end_histogram": f'{_TIPS} SELECT region_id, orientation, bx, "by", count(*) AS n FROM binned GROUP BY ALL',
     "background_union": f"""{_TIPS}, hist AS (SELECT region_id, orientation, bx, "by", count(*) AS n FROM binned GROUP BY ALL), either AS (SELECT h.region_id, h.orientation, h.bx, h."by", count(DISTINCT b.bc) AS total FROM hist h JOIN binned b ON b.region_id = h.region_id AND b.orientation = h.orientation AND (b.bx = h.bx OR b."by" = h."by") GROUP BY ALL)
 SELECT * FROM hist JOIN either USING (region_id, orientation, bx, "by")""",

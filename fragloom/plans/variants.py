@@ -57,10 +57,11 @@ def sv_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def genome_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments that start in each near-equal chunk of the genome of at most 50 Mb."""
-    chunks = wi.split_genome(table(spark, sf_dir, "chroms"), 50_000_000)
-    f = _fragments(spark, sf_dir).select("chrom", "start_pos")
-    joined = chunks.join(f, "chrom", "left").groupBy("chrom", "start", "end")
-    return joined.agg(F.count_if((F.col("start_pos") >= F.col("start")) & (F.col("start_pos") < F.col("end"))).alias("n"))
+    chroms = table(spark, sf_dir, "chroms")
+    chunks, steps = wi.split_genome(chroms, 50_000_000), wi.chunk_steps(chroms, 50_000_000)
+    f = _fragments(spark, sf_dir).select("chrom", "start_pos").join(steps, "chrom").where("start_pos BETWEEN 0 AND length - 1")
+    counts = f.groupBy("chrom", F.expr("start_pos - start_pos % step").alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    return chunks.join(counts, ["chrom", "start"], "left").select("chrom", "start", "end", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def breakend_support(spark: SparkSession, sf_dir: str) -> DataFrame:
