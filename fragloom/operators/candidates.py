@@ -93,6 +93,26 @@ def steepest_drop(density: np.ndarray, plus: bool) -> int:
     return int(at[int(score.argmax())])
 
 
+def marginal_breakpoints(matrix: DataFrame, regions: DataFrame, key: Sequence[str] = ("region_id",), size: int = 10_000) -> DataFrame:
+    """(key, x, y, orientation): where the greatest counts along either side of an overlap matrix fall off most for their distance from the peak.
+
+    ``matrix`` has (key, bx, by, n); bins without a row are 0. Along a side the peak is the first bin with the greatest count;
+    the breakpoint is the bin with the greatest (peak - count) / sqrt(distance), the first of equals, at the bin's start; it is
+    ``+`` if it lies after the peak. A region without a count has no row. ``regions`` has (key, startx, endx, starty, endy).
+    """
+    sides = []
+    for s in "xy":
+        margin = matrix.where("n > 0").groupBy(*key, F.col(f"b{s}").alias("at")).agg(F.max("n").alias("m"))
+        known = margin.groupBy(*key).agg(F.max(F.struct("m", (-F.col("at")).alias("at"))).alias("top"), F.collect_list(F.struct("at", "m")).alias("own"))
+        bins = regions.select(*key, F.col(f"start{s}").alias("start"), F.ceil((F.col(f"end{s}") - F.col(f"start{s}")) / size).alias("bins"))
+        rows = known.join(bins, list(key)).select(*key, "start", "bins", F.col("top.m").alias("top"), (-F.col("top.at")).alias("peak"), F.map_from_entries("own").alias("own"))
+        each = rows.select(*key, "start", "top", "peak", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1)).alias("at"))
+        fall = F.when(F.col("at") == F.col("peak"), F.lit(0.0)).otherwise((F.col("top") - F.coalesce(F.element_at("own", F.col("at")), F.lit(0))) / F.sqrt(F.abs(F.col("at") - F.col("peak"))))
+        best = each.groupBy(*key).agg(F.max_by(F.struct("at", "peak", "start"), F.struct(fall.alias("fall"), (-F.col("at")).alias("first"))).alias("b"))
+        sides.append(best.select(*key, (F.col("b.start") + F.col("b.at") * size).alias(s), F.when(F.col("b.at") > F.col("b.peak"), "+").otherwise("-").alias(f"o{s}")))
+    return sides[0].join(sides[1], list(key)).select(*key, "x", "y", F.concat("ox", "oy").alias("orientation"))
+
+
 def refine_breakends(near: DataFrame, keys: Sequence[str], extend: int = 20_000) -> DataFrame:
     """(keys, pos, new_pos, n): breakends moved to where the coverage of their supporting fragments drops, within ``extend``.
 

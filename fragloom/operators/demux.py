@@ -36,6 +36,19 @@ def demux_counts(pairs: DataFrame, whitelist: DataFrame, samples: DataFrame) ->
     return marked.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok & named).alias("good"), F.count_if(~ok).alias("bad_gem"), F.count_if(ok & ~named).alias("bad_sample"))
 
 
+def index_shares(pairs: DataFrame, samples: DataFrame, fair: float = 0.1) -> DataFrame:
+    """(sample_bc, n, share, known, warn): pairs of every sample index, and a warning where an index that no sample has holds more than ``fair`` of what each sample would have."""
+    names = samples.select(F.col("bc").alias("sample_bc")).distinct().withColumn("known", F.lit(True))
+    rows = pairs.where(~F.contains("sample_bc", F.lit("N")))
+    counts = rows.groupBy("sample_bc").agg(F.count(F.lit(1)).alias("n")).join(names, "sample_bc", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    # one row each, held against all
+    total = counts.agg(F.sum("n").alias("_total")).withColumn("_k", F.lit(1))
+    n_samples = names.agg(F.count(F.lit(1)).alias("_samples")).withColumn("_k", F.lit(1))
+    both = counts.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").join(F.broadcast(n_samples), "_k")
+    warn = ~F.col("known") & (F.col("n") > F.try_divide("_total", F.col("_samples")) * fair)
+    return both.select("sample_bc", "n", (F.col("n") / F.col("_total")).alias("share"), "known", F.coalesce(warn, F.lit(False)).alias("warn"))
+
+
 def write_by_sample(demultiplexed: DataFrame, path: str) -> None:
     """FASTQ records of both reads under one folder for each sample and read, gzipped; unmatched ones under ``sample=unmatched``."""
     record = lambda i: F.concat_ws("\n", F.concat(F.lit("@"), "read_name"), f"seq{i}", F.lit("+"), f"qual{i}")

@@ -23,6 +23,14 @@ def background_lengths(fragments: DataFrame, chroms: DataFrame, skip: int = 1_00
     return loci.join(enough, [group, "chrom", "locus"]).select(group, "chrom", "locus", "len")
 
 
+def background_or_denser(fragments: DataFrame, chroms: DataFrame, skip: int = 1_000_000, denser: int = 50_000, least: int = 5, group: str = "dataset") -> DataFrame:
+    """``background_lengths``, taken every ``denser`` positions instead for groups with fewer than two loci."""
+    first = background_lengths(fragments, chroms, skip, least, group)
+    enough = first.select(group, "chrom", "locus").distinct().groupBy(group).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(group)
+    again = background_lengths(fragments.join(enough, group, "left_anti"), chroms, denser, least, group)
+    return first.join(enough, group, "left_semi").unionByName(again)
+
+
 def length_bands(lengths: DataFrame, group: str = "dataset") -> DataFrame:
     """(group, low_20, high_20, low_50, high_50, low_80, high_80): 2.5 to 97.5 % bands over loci of each quantile of their lengths.
 
@@ -135,6 +143,38 @@ def summary(events: DataFrame) -> DataFrame:
     return counts.select(rows).select("what", "n", percent(F.col("n"), F.col("_all")).alias("text"))
 
 
+def private_and_shared(events: DataFrame) -> DataFrame:
+    """(what, n, of, text): events in one sample and in several, those within a chromosome among each, and how far apart their sides are, in kb.
+
+    ``events`` has chromx, x, chromy, y and ``classes``, a 1 or 0 for each sample.
+    """
+    samples = F.length(F.replace("classes", F.lit("0"), F.lit("")))
+    same, kb = F.col("chromx") == F.col("chromy"), F.abs(F.col("x") - F.col("y")) / 1000
+    counts = events.agg(
+        F.count(F.lit(1)).alias("all"), F.count_if(samples == 1).alias("private"), F.count_if((samples == 1) & same).alias("private within"), F.count_if(samples > 1).alias("shared"), F.count_if((samples > 1) & same).alias("shared within"),
+        *[f(F.when(same, kb)).cast("double").alias(n) for n, f in (("median", F.median), ("least", F.min), ("greatest", F.max))],
+    )
+    part = lambda what, of: F.struct(F.lit(what).alias("what"), F.col(what).cast("double").alias("n"), F.col(of).alias("of"), percent(F.col(what), F.col(of)).alias("text"))
+    far = lambda what: F.struct(F.lit(f"{what} kb").alias("what"), F.col(what).alias("n"), F.lit(None).cast("bigint").alias("of"), F.concat(F.format_number(what, 0), F.lit(" kb")).alias("text"))
+    return counts.select(F.inline(F.array(part("private", "all"), part("private within", "private"), part("shared", "all"), part("shared within", "shared"), *map(far, ("median", "least", "greatest")))))
+
+
+def validation_rates(events: DataFrame, validation: DataFrame, min_shared: int = 10, min_ratio: float = 0.10, key: str = "event_id", group: str = "dataset") -> DataFrame:
+    """(what, n, of, text): of the events that some sample has, how many other evidence confirms in any sample, over all and by quality, length and assembly.
+
+    ``validation`` (key, group, shared, total, confirming) has for each event and sample its barcodes and what the other
+    evidence counts; ``events`` has key, quality, frag_length_passes, assembled and nearby_snvs.
+    """
+    per = validation.groupBy(key).agg(F.max(F.coalesce(F.try_divide("shared", "total") > min_ratio, F.lit(False))).alias("_there"), F.max(F.coalesce(F.col("confirming") >= min_shared, F.lit(False))).alias("_seen"))
+    rows = events.join(per.where("_there"), key)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    passing, simple, assembled = yes(F.upper("quality") == "PASS"), yes(F.col("frag_length_passes")), yes(F.col("assembled"))
+    known = {"validated": F.lit(True), "passing": passing, "simple": simple, "assembled": assembled, "assembled or passing": assembled | passing, "assembled and simple": assembled & simple, "assembled or few variants": assembled | yes(F.col("nearby_snvs") < 10)}
+    sums = [c for n, w in known.items() for c in (F.count_if(w & F.col("_seen")).alias(n), F.count_if(w).alias(f"of {n}"))]
+    counts = rows.agg(*sums)
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("what"), F.col(n).alias("n"), F.col(f"of {n}").alias("of"), percent(F.col(n), F.col(f"of {n}")).alias("text")) for n in known])))
+
+
 def breakpoints_per_event(events: DataFrame) -> DataFrame:
     """(n_breakpoints, n_events): how many clusters have how many events."""
     return events.where("cluster IS NOT NULL AND cluster <> -1").groupBy("cluster").agg(F.count(F.lit(1)).alias("n_breakpoints")).groupBy("n_breakpoints").agg(F.count(F.lit(1)).alias("n_events"))

@@ -132,6 +132,12 @@ def prefer_assembled(edges: DataFrame, assembled: DataFrame, scratch: Scratch, m
     return marked.where("_chosen").withColumn("assembled", F.lit(True)).drop("_chosen").unionByName(free.drop("_chosen"), allowMissingColumns=True)
 
 
+def on_reference(edges: DataFrame, chroms: DataFrame) -> DataFrame:
+    """``edges`` (chromx, chromy, ...) whose both sides lie on chromosomes of ``chroms``."""
+    known = lambda s: chroms.select(F.col("chrom").alias(f"chrom{s}")).distinct()
+    return edges.join(known("x"), "chromx", "left_semi").join(known("y"), "chromy", "left_semi").select(*edges.columns)
+
+
 def is_assembled(events: DataFrame, assemblies: DataFrame, key: str = "event_id") -> DataFrame:
     """(key): events that equal an assembly (chromx, x, orientationx, chromy, y, orientationy) as it is or with its sides swapped."""
     other = {"chromx": "chromy", "x": "y", "orientationx": "orientationy"}

@@ -14,6 +14,24 @@ def length_distribution(fragments: DataFrame, by: Sequence[str] = ("dataset",),
     return fragments.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.percentile(value, points).alias("q"))
 
 
+def resampled(fragments: DataFrame, n: int = 10_000, by: Sequence[str] = ("dataset",), value: str = "len", seed: int = 0) -> DataFrame:
+    """(by, draw, value): ``n`` draws with replacement from each group's values, the same in every run.
+
+    Draws fall on places in the sorted values, found from the counts of the distinct values; no value is sorted more than once.
+    """
+    counts = fragments.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*by).orderBy(value)
+    upto = counts.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = upto.groupBy(*by).agg(F.sum("c").alias("total"))
+    draws = totals.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    place = F.pmod(F.xxhash64(*by, "draw", F.lit(seed)), F.col("total")).alias("place")
+    # values and draws side by side, the greatest place first: a draw takes the last value whose running count is beyond its place
+    drawn = draws.select(*by, "draw", place.alias("place"), F.lit(None).cast(dict(fragments.dtypes)[value]).alias(value))
+    both = upto.select(*by, F.lit(None).cast("int").alias("draw"), F.col("upto").alias("place"), value).unionByName(drawn)
+    before = Window.partitionBy(*by).orderBy(F.desc("place"), F.col("draw").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(value, F.coalesce(value, F.last(value, ignorenulls=True).over(before))).where("draw IS NOT NULL").select(*by, "draw", value)
+
+
 def n50(fragments: DataFrame, by: Sequence[str] = ("dataset",), value: str = "len", shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """(by, n25, n50, n75): the value at which the running sum, smallest first, reaches a share of all. Runs over the distinct values."""
     counts = fragments.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fragloom.session import Scratch
@@ -23,6 +23,26 @@ def haplotype(ps: Column, hp: Column) -> Column:
     return F.when(ps.isNotNull(), hp)
 
 
+def sampling_reads(alignments: DataFrame) -> DataFrame:
+    """Reads from which distances are taken: mapped first reads with a barcode that are neither secondary nor supplementary, duplicates included.
+
+    ``alignments`` has flag and bc. A null flag counts as 0.
+    """
+    return alignments.where(F.coalesce(F.col("flag"), F.lit(0)).bitwiseAND(F.lit(4 | 128 | 256 | 2048)) == 0).where("bc IS NOT NULL AND chrom IS NOT NULL")
+
+
+def sampled(df: DataFrame, most: int, by: Sequence[str], *order: str) -> DataFrame:
+    """A sample of at most ``most`` rows of each group, the first by a hash of the ``order`` columns, the same in every run.
+
+    A sampling operator, for a look at the data; nothing else here works on a sample. Every task first keeps the ``most`` rows
+    of each of 64 parts of a group, so that no group is sorted in one place.
+    """
+    first = [F.xxhash64(*order), *[F.col(c) for c in order]]
+    part = df.withColumn("_part", F.pmod(F.xxhash64(*order, F.lit(1)), F.lit(64)))
+    some = part.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*first))).where(F.col("_n") <= most)
+    return some.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*first))).where(F.col("_n") <= most).drop("_n", "_part")
+
+
 def number_clouds(reads: DataFrame, by: Sequence[str], max_dist: int, order: str = "read_id", shard_bits: int = SHARD_BITS) -> DataFrame:
     """``reads`` with ``cloud`` and ``place``, both counted from 1 within ``by``: a read more than ``max_dist`` after the end of the one before it starts a cloud.
 
@@ -150,6 +170,20 @@ def combine_read_clouds(clouds: Sequence[DataFrame], share: float = 0.9) -> Data
     return both.join(good_barcodes(barcode_totals(both), share).select("bc"), "bc", "left_semi")
 
 
+def write_fragments(fragments: DataFrame, path: str, bin_size: int = 1 << 24) -> None:
+    """Fragments as files by chromosome, sorted by position in them, so that a scan of a range reads that chromosome's row groups in the range alone.
+
+    The files of a chromosome are stretches of ``bin_size`` positions, so a long or hot chromosome is written by many tasks.
+    """
+    rows = fragments.withColumn("_bin", F.expr(f"start_pos div {bin_size}"))
+    rows.repartition("chrom", "_bin").sortWithinPartitions("chrom", "start_pos", "end_pos", "bc").drop("_bin").write.mode("overwrite").partitionBy("chrom").parquet(path)
+
+
+def read_fragments(spark: SparkSession, path: str, chrom: str, start: int | None = None, end: int | None = None, min_reads_per_frag: int = 1) -> DataFrame:
+    """``scan_fragments`` over files that ``write_fragments`` wrote."""
+    return scan_fragments(spark.read.parquet(path), chrom, start, end, min_reads_per_frag)
+
+
 def scan_fragments(fragments: DataFrame, chrom: str, start: int | None = None, end: int | None = None, min_reads_per_frag: int = 1) -> DataFrame:
     """Fragments that overlap a range and have more than ``min_reads_per_frag`` reads (0: all); an unknown chromosome has none."""
     if start is not None and (start < 0 or end is not None and start >= end):

@@ -74,13 +74,22 @@ def overlap_p(overlaps: DataFrame, windows: DataFrame, group: str = "dataset", f
     return p.withColumn("p", F.when(F.col("p") > floor, 1.0).otherwise(F.col("p"))).drop("n_bcs")
 
 
+def region_distance(fragments: DataFrame, percent: float = 0.8, length: str = "len") -> DataFrame:
+    """(distance): how far apart windows must lie to be two events: a percentile of the lengths of all datasets' fragments together; null without any.
+
+    Lengths are counted first, so one row for each distinct length is sorted.
+    """
+    counts = fragments.where(F.col(length).isNotNull()).groupBy(length).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.percentile(length, F.lit(percent), F.col("n")).alias("distance"))
+
+
 def significant(overlaps: DataFrame, min_shared: int = 25, max_p: float = 1e-7, off_diagonal: int = 10) -> DataFrame:
     """Pairs with more than ``min_shared`` barcodes, p below ``max_p`` and more than ``off_diagonal`` windows apart, on whichever chromosomes."""
     return overlaps.where((F.col("shared") > min_shared) & (F.col("p") < max_p) & (F.abs(F.col("wx") - F.col("wy")) > off_diagonal))
 
 
 def sv_regions(overlaps: DataFrame, pairs: DataFrame, scratch: Scratch, group: str = "dataset", window: int = WINDOW) -> DataFrame:
-    """(group, chromx, chromy, startx, endx, starty, endy, p, count): boxes around pairs that touch, also at corners, with the least p of all ``overlaps`` inside."""
+    """(group, chromx, chromy, startx, endx, starty, endy, p, count, best_x, best_y): boxes around pairs that touch, also at corners, with the least p of all ``overlaps`` inside and the windows that have it."""
     on = [group, "chromx", "chromy"]
     cells = scratch.table(pairs.select(*on, "wx", "wy", F.concat_ws("|", *on, F.format_string("%012d|%012d", "wx", "wy")).alias("cell")))
     near = cells.select(*on, F.explode(F.array(*[F.struct((F.col("wx") + a).alias("wx"), (F.col("wy") + b).alias("wy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("at"), F.col("cell").alias("u"))
@@ -90,6 +99,7 @@ def sv_regions(overlaps: DataFrame, pairs: DataFrame, scratch: Scratch, group: s
     boxes = cells.join(of, "cell").groupBy(*on, "component").agg(F.min("wx").alias("ax"), F.max("wx").alias("bx"), F.min("wy").alias("ay"), F.max("wy").alias("by"), F.count(F.lit(1)).alias("count"))
     boxes = scratch.table(boxes)
     inside = overlaps.join(boxes, on).where(F.col("wx").between(F.col("ax"), F.col("bx")) & F.col("wy").between(F.col("ay"), F.col("by")))
-    best = inside.groupBy(*on, "component").agg(F.min("p").alias("p"))
+    # the cell with the least p, the first by rows of the matrix among equals
+    best = inside.groupBy(*on, "component").agg(F.min(F.struct("p", "wy", "wx")).alias("_b")).select(*on, "component", F.col("_b.p").alias("p"), (F.col("_b.wx") * window).alias("best_x"), (F.col("_b.wy") * window).alias("best_y"))
     span = [(F.col(a) * window).alias(n) if n.startswith("start") else ((F.col(a) + 1) * window).alias(n) for a, n in (("ax", "startx"), ("bx", "endx"), ("ay", "starty"), ("by", "endy"))]
-    return boxes.join(best, [*on, "component"]).select(*on, *span, "p", "count")
+    return boxes.join(best, [*on, "component"]).select(*on, *span, "p", "count", "best_x", "best_y")

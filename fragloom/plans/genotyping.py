@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fragloom.functions import text as tx
 from fragloom.functions.conventions import barcode, measurement, with_chromosome
 from fragloom.operators import demux as dx
+from fragloom.operators import evidence as ev
 from fragloom.operators import genotype as ge
 from fragloom.operators import qc
 from fragloom.operators import support as su
@@ -98,6 +99,71 @@ def breakpoints_per_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ge.breakpoints_per_event(_called(spark, sf_dir))
 
 
+def private_and_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in one dataset and in several, by the datasets in which they are present."""
+    e = va.events(spark, sf_dir).join(event_classes(spark, sf_dir), "event_id", "left").withColumn("classes", F.coalesce("classes", F.lit("")))
+    return ge.private_and_shared(e)
+
+
+def validation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events fragments confirm, whose barcodes are taken from a wider range for that."""
+    e, f = va.events(spark, sf_dir), _frags(spark, sf_dir)
+    wide = su.quantify(e, f, -500, 20_000).select("event_id", "dataset", F.col("shared").alias("confirming"))
+    both = su.quantify(e, f).select("event_id", "dataset", "shared", "total").join(wide, ["event_id", "dataset"], "left")
+    called = _called(spark, sf_dir).select("event_id", "quality", "frag_length_passes", "assembled", "nearby_snvs")
+    return ge.validation_rates(called, both, min_shared=5)
+
+
+def background_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments across the loci of each dataset, every 5 Mb, or every 100 kb where that gives fewer than two."""
+    loci = ge.background_or_denser(_frags(spark, sf_dir), table(spark, sf_dir, "chroms"), 5_000_000, LOCUS, 3)
+    return loci.groupBy("dataset", "chrom", "locus").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("longest"))
+
+
+def index_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, _, samples = _raw_pairs(spark, sf_dir)
+    return dx.index_shares(pairs, samples).withColumn("share", F.round("share", 6))
+
+
+def resampled_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws from every dataset's lengths: how many, and whether all are its lengths."""
+    own = _lengths(spark, sf_dir).select("dataset", "len").distinct().withColumn("known", F.lit(1))
+    drawn = qc.resampled(_lengths(spark, sf_dir))
+    return drawn.join(own, ["dataset", "len"], "left").groupBy("dataset").agg(F.count(F.lit(1)).alias("n_draws"), F.count_distinct("draw").alias("n_different"), F.count("known").alias("n_known"))
+
+
+def _on_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events on a reference: every document is a chromosome, its letters other than ACGT unknown, and the event of its number lies on it."""
+    d = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").cast("string").alias("chrom"), F.regexp_replace(F.upper("text"), "(?s)[^ACGT]", "N").alias("letters"))
+    d = d.withColumn("length", F.length("letters")).groupBy("chrom").agg(F.max(F.struct("length", "letters")).alias("_d")).select("chrom", "_d.*")
+    e = va.events(spark, sf_dir).withColumn("chrom", F.col("event_id").cast("string")).join(d.select("chrom", "length"), "chrom")
+    e = e.select("event_id", "dataset", F.col("chrom").alias("chromx"), (F.col("x") % F.col("length")).alias("x"), F.col("chrom").alias("chromy"), (F.col("y") % F.col("length")).alias("y"), "orientation")
+    bins = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(length - 1) div 1000"))).alias("bin")
+    reference = d.select("chrom", "letters", bins).select("chrom", "bin", F.substr("letters", (F.col("bin") * 1_000 + 1).cast("int"), F.lit(1_000)).alias("seq"))
+    return e, reference
+
+
+def unknown_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.nearby_unknown(*_on_documents(spark, sf_dir), size=1_000)
+
+
+def reference_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vcf.with_reference_base(*_on_documents(spark, sf_dir), size=1_000).select("event_id", "ref_x", "ref_y")
+
+
+def vcf_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with one column for each dataset: its barcodes, lengths, p and haplotypes."""
+    e, f = va.events(spark, sf_dir), _frags(spark, sf_dir)
+    q = su.quantify(e, f).withColumn("p_resampling", F.round(F.log10(F.when(F.col("p_fisher") > 0, F.col("p_fisher"))), 2).cast("decimal(10,2)"))
+    whole = [F.round(c).cast("bigint").alias(c) for c in ("lengths_50", "lengths_90")]
+    evidence = q.join(length_genotypes(spark, sf_dir).select("event_id", "dataset", *whole), ["event_id", "dataset"], "left")
+    samples = sorted(_samples(spark, sf_dir))
+    fields = vcf.sample_columns(evidence, samples)
+    none = ":".join(["0", *["."] * 9])
+    called = _called(spark, sf_dir).join(fields, "event_id", "left")
+    return vcf.records(called, [F.coalesce(f"s{i}", F.lit(none)) for i in range(len(samples))])
+
+
 def validated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events called as breakpoints in the first and in the other datasets, side by side."""
     e = va.events(spark, sf_dir)
@@ -184,7 +250,7 @@ def breakend_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        length_bands, length_genotypes, length_filter, blacklist_nearest, event_quality, cluster_sizes, event_presence, event_classes, chromosome_pairs, event_summary, breakpoints_per_event, validated_events, vcf_records, vcf_header,
+        length_bands, length_genotypes, length_filter, blacklist_nearest, event_quality, cluster_sizes, event_presence, event_classes, chromosome_pairs, event_summary, breakpoints_per_event, private_and_shared, validation_rates, background_loci, index_shares, resampled_lengths, unknown_bases, reference_bases, vcf_samples, validated_events, vcf_records, vcf_header,
         fragment_quantiles, fragment_n50, outlier_trim, length_at_share, physical_depth, coverage_track, dataset_report, modal_orientation, demux, demux_counts, breakend_labels,
     )
 }
@@ -246,3 +312,33 @@ SELECT d.dataset, CAST(median(coalesce(n, 0)) AS DOUBLE) AS depth, median(coales
     "demux_counts": f"WITH {FRAGMENTS_SQL}, {_RAW} SELECT count(*) AS total, count(*) FILTER (bc IS NOT NULL AND s.dataset IS NOT NULL) AS good, count(*) FILTER (bc IS NULL) AS bad_gem, count(*) FILTER (bc IS NOT NULL AND s.dataset IS NULL) AS bad_sample FROM f LEFT JOIN known ON bc = left(raw || 'ACGTN', 16) LEFT JOIN (SELECT DISTINCT dataset FROM samples) s ON s.dataset = f.dataset",
     "breakend_labels": f"""{_EV}, ends AS (SELECT event_id, 'x' AS side, chromx AS chrom, x AS pos, substr(orientation, 1, 1) AS o FROM e UNION ALL SELECT event_id, 'y', chromy, y, substr(orientation, 2, 1) FROM e) SELECT event_id, side, chrom || ':' || format('{{:,}}', pos) || o AS label, chrom, pos FROM ends""",
 }
+
+_WIDE = va._SUPPORT.format(near=-500, far=20_000) + va._QUANTIFY[len(va._NEAR) :].split(",\nfx AS")[0]
+_ON_DOCS = f"""{_EV}, docs AS (SELECT CAST(doc_id AS VARCHAR) AS chrom, regexp_replace(upper(text), '[^ACGT]', 'N', 'gs') AS letters FROM documents WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC) = 1),
+placed AS (SELECT event_id, letters, x % length(letters) AS x, y % length(letters) AS y FROM e JOIN docs ON chrom = CAST(event_id AS VARCHAR))"""
+_COUNT_N = "length({w}) - length(replace({w}, 'N', ''))"
+_AROUND = "substr(letters, CAST(greatest({s} - 5000, 0) + 1 AS BIGINT), CAST({s} + 5000 - greatest({s} - 5000, 0) AS BIGINT))"
+SQL |= {
+    "private_and_shared": f"""{_CLASSES}, ev AS (SELECT geno_id AS event_id, coalesce(nx.name, chromx) AS cx, x, coalesce(ny.name, chromy) AS cy, y FROM genotypes LEFT JOIN names nx ON nx.spelling = chromx LEFT JOIN names ny ON ny.spelling = chromy WHERE y IS NOT NULL AND chromy IS NOT NULL),
+rows AS (SELECT cx = cy AS same, abs(x - y) / 1000 AS kb, length(replace(coalesce(classes, ''), '0', '')) AS k FROM ev LEFT JOIN classes USING (event_id)),
+c AS (SELECT count(*) AS a, count(*) FILTER (k = 1) AS p, count(*) FILTER (k = 1 AND same) AS pw, count(*) FILTER (k > 1) AS s, count(*) FILTER (k > 1 AND same) AS sw, median(kb) FILTER (same) AS m, min(kb) FILTER (same) AS l, max(kb) FILTER (same) AS g FROM rows),
+parts AS (SELECT unnest(['private', 'private within', 'shared', 'shared within']) AS what, unnest([p, pw, s, sw]) AS n, unnest([a, p, a, s]) AS total FROM c), far AS (SELECT unnest(['median kb', 'least kb', 'greatest kb']) AS what, unnest([m, l, g]) AS n FROM c)
+SELECT what, CAST(n AS DOUBLE) AS n, total AS "of", CASE WHEN total > 0 THEN printf('%d (%.1f%%)', n, n * 100.0 / total) ELSE printf('%d', n) END AS text FROM parts UNION ALL SELECT what, n, NULL, format('{{:,}} kb', CAST(round_even(n, 0) AS BIGINT)) FROM far""",
+    "validation_rates": f"""{va._QUANTIFY}, rows AS (SELECT q.event_id, shared / total > 0.1 AS there, w.n >= 5 AS seen FROM quantified q LEFT JOIN confirming w USING (event_id, dataset)), per AS (SELECT event_id, bool_or(there) AS there, coalesce(bool_or(seen), false) AS seen FROM rows GROUP BY event_id),
+g AS (SELECT seen, coalesce(upper(quality) = 'PASS', false) AS q, coalesce(frag_length_passes, false) AS l, coalesce(assembled, false) AS a, coalesce(nearby_snvs < 10, false) AS v FROM per JOIN genotypes ON geno_id = event_id WHERE there),
+long AS (SELECT seen, unnest(['validated', 'passing', 'simple', 'assembled', 'assembled or passing', 'assembled and simple', 'assembled or few variants']) AS what, unnest([true, q, l, a, a OR q, a AND l, a OR v]) AS yes FROM g), c AS (SELECT what, count(*) FILTER (yes AND seen) AS n, count(*) FILTER (yes) AS total FROM long GROUP BY what)
+SELECT what, n, total AS "of", CASE WHEN total > 0 THEN printf('%d (%.1f%%)', n, n * 100.0 / total) ELSE printf('%d', n) END AS text FROM c""",
+    "background_loci": f"""WITH {FRAGMENTS_SQL}, steps AS (SELECT unnest([5000000, {LOCUS}]) AS step), hits AS (SELECT dataset, f.chrom, step, unnest(range(start_pos // step + 1, (end_pos - 1) // step + 1)) * step AS locus, end_pos - start_pos AS len FROM frags f, steps WHERE end_pos > start_pos),
+loci AS (SELECT dataset, h.chrom, step, locus, count(*) AS n, max(len) AS longest FROM hits h JOIN chroms USING (chrom) WHERE locus < length GROUP BY ALL HAVING count(*) >= 3), many AS (SELECT dataset FROM loci WHERE step = 5000000 GROUP BY dataset HAVING count(*) >= 2)
+SELECT dataset, chrom, locus, n, longest FROM loci WHERE CASE WHEN dataset IN (SELECT dataset FROM many) THEN step = 5000000 ELSE step = {LOCUS} END""",
+    "index_shares": f"WITH {FRAGMENTS_SQL}, {_RAW}, c AS (SELECT dataset AS sample_bc, count(*) AS n FROM f WHERE NOT contains(dataset, 'N') GROUP BY dataset) SELECT sample_bc, n, round(n / (SELECT sum(n) FROM c), 6) AS share, sample_bc IN (SELECT dataset FROM samples) AS known, sample_bc NOT IN (SELECT dataset FROM samples) AND n > (SELECT sum(n) FROM c) / (SELECT count(DISTINCT dataset) FROM samples) * 0.1 AS warn FROM c",
+    "resampled_lengths": f"{_LEN} SELECT dataset, 10000 AS n_draws, 10000 AS n_different, 10000 AS n_known FROM lens GROUP BY dataset",
+    "unknown_bases": f"{_ON_DOCS} SELECT event_id, greatest({', '.join(_COUNT_N.format(w=_AROUND.format(s=s)) for s in 'xy')}) AS nearby_n FROM placed",
+    "reference_bases": f"{_ON_DOCS} SELECT event_id, substr(letters, CAST(x + 1 AS BIGINT), 1) AS ref_x, substr(letters, CAST(y + 1 AS BIGINT), 1) AS ref_y FROM placed",
+}
+SQL["validation_rates"] = SQL["validation_rates"].replace(", rows AS (SELECT q.event_id", f", confirming AS (SELECT event_id, dataset, shared AS n FROM ({_WIDE} SELECT event_id, dataset, shared FROM counts)), rows AS (SELECT q.event_id", 1)
+_FIELDS = "concat_ws(':', CASE WHEN q.shared > 5 THEN '1' ELSE '0' END, q.shared, q.total, coalesce(CAST(CAST(round(t.lengths_50) AS BIGINT) AS VARCHAR), '.'), coalesce(CAST(CAST(round(t.lengths_90) AS BIGINT) AS VARCHAR), '.'), coalesce(CAST(CAST(round(log10(CASE WHEN q.p > 0 THEN q.p END), 2) AS DECIMAL(10, 2)) AS VARCHAR), '.'), x_hap0, x_hap1, y_hap0, y_hap1)"
+SQL["vcf_samples"] = f"""WITH lines AS ({SQL["vcf_records"]}), fields AS (SELECT event_id, dataset, {_FIELDS} AS f FROM ({va._QUANTIFY} SELECT * FROM quantified) q LEFT JOIN ({SQL["length_genotypes"]}) t USING (event_id, dataset)), sets AS (SELECT DISTINCT dataset FROM genotypes),
+every AS (SELECT l.id, string_agg(coalesce(f.f, '0:.:.:.:.:.:.:.:.:.'), chr(9) ORDER BY s.dataset) AS columns FROM lines l CROSS JOIN sets s LEFT JOIN fields f ON CAST(f.event_id AS VARCHAR) = split_part(l.id, ':', 1) AND f.dataset = s.dataset GROUP BY l.id)
+SELECT id, array_to_string(string_split(line, chr(9))[1:9], chr(9)) || chr(9) || columns AS line FROM lines JOIN every USING (id)"""
+SQL["event_characteristics"] = f"SELECT event_id, supporting, overlapping, fraction, coalesce(frag_length_passes, false) AS lengths_match FROM ({va.SQL['pair_characteristics']}) LEFT JOIN ({SQL['length_filter']}) USING (event_id)"

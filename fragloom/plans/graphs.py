@@ -10,7 +10,7 @@ from fragloom.operators import evidence as ev
 from fragloom.operators import graph as gr
 from fragloom.operators import support as su
 from fragloom.plans import variants as va
-from fragloom.plans.tables import fragments, genotypes
+from fragloom.plans.tables import fragments, genotypes, table
 from fragloom.session import Scratch
 
 BIN, WIDE = 2_000, 100_000
@@ -49,6 +49,17 @@ def overlap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ca.overlap_matrix(_pairs(spark, sf_dir, Scratch(spark, "pairs")), _regions(spark, sf_dir), size=BIN)
 
 
+def marginal_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the overlap matrix of every region falls off along both sides."""
+    regions = _regions(spark, sf_dir)
+    return ca.marginal_breakpoints(ca.overlap_matrix(_pairs(spark, sf_dir, Scratch(spark, "pairs")), regions, size=BIN), regions, size=BIN)
+
+
+def reference_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Called events on chromosomes of the reference."""
+    return gr.on_reference(_called(spark, sf_dir).select("event_id", "chromx", "chromy"), table(spark, sf_dir, "chroms"))
+
+
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ca.peaks(_cells(spark, sf_dir), min_count=2)
 
@@ -163,7 +174,7 @@ def event_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.resampling_p(crossed, totals).select("event_id", "dataset", "shared", "total", "p_resampling")
 
 
-QUERIES = {q.__name__: q for q in (event_resampling, end_histogram, background_union, overlap_matrix, peaks, refined_breakends, combined_events, precluster, merged_breakends, clustered_events, clustered_edges, graph_edges, best_edges, best_at_both_ends, assembled_edges, facing_breakends, event_components, clean_events, event_paths, compared_events)}
+QUERIES = {q.__name__: q for q in (event_resampling, end_histogram, background_union, overlap_matrix, marginal_breakpoints, reference_events, peaks, refined_breakends, combined_events, precluster, merged_breakends, clustered_events, clustered_edges, graph_edges, best_edges, best_at_both_ends, assembled_edges, facing_breakends, event_components, clean_events, event_paths, compared_events)}
 
 _PAIRS = va.SQL["fragment_pairs"].replace("SELECT geno_id AS region_id, bc, fx.frag_id AS frag_x, fy.frag_id AS frag_y FROM", ", pairs AS (SELECT geno_id AS region_id, bc, fx.frag_id AS frag_x, fy.frag_id AS frag_y FROM") + ")"
 _TIPS = f"""{_PAIRS}, placed AS (SELECT region_id, p.bc, x - {va.PAD} AS sx, y - {va.PAD} AS sy, fx.start_pos AS xs, fx.end_pos AS xe, fy.start_pos AS ys, fy.end_pos AS ye FROM pairs p JOIN frags fx ON fx.frag_id = frag_x JOIN frags fy ON fy.frag_id = frag_y JOIN e ON e.geno_id = region_id),
@@ -202,6 +213,7 @@ SQL = {
 cells AS (SELECT region_id, orientation, list({{'bx': bx, 'by': "by", 'n': n, 'r': n / total}} ORDER BY n / total DESC, "by", bx) AS own FROM hist JOIN either USING (region_id, orientation, bx, "by") GROUP BY ALL),
 walk(region_id, orientation, own, top) AS (SELECT region_id, orientation, own, CAST(NULL AS STRUCT(bx BIGINT, "by" BIGINT, n BIGINT, r DOUBLE)) FROM cells UNION ALL SELECT region_id, orientation, list_filter(own, lambda c: abs(c.bx - own[1].bx) > 10 OR abs(c.by - own[1].by) > 10), own[1] FROM walk WHERE len(own) > 0 AND own[1].n > 2 AND own[1].r > 0.05)
 SELECT region_id, orientation, top.bx AS bx, top.by AS "by", top.n AS n, top.r AS ratio FROM walk WHERE top IS NOT NULL""",
+    "reference_events": f"{_EVENTS} SELECT geno_id AS event_id, chromx, chromy FROM ev WHERE chromx IN (SELECT chrom FROM chroms) AND chromy IN (SELECT chrom FROM chroms)",
     "refined_breakends": _REFINED,
     "compared_events": _COMPARED,
     "best_edges": f"{_GRAPH}, ranked AS MATERIALIZED ({_RANKS}), {_WALK.format(ranked='ranked')} SELECT u, v, event_id FROM ranked JOIN done USING (k)",
@@ -229,3 +241,10 @@ every AS MATERIALIZED (SELECT u, v, 'breakpoint' AS kind, p FROM edges UNION ALL
 both_ways AS MATERIALIZED (SELECT u, v FROM every UNION SELECT v, u FROM every), reach(n, other) AS (SELECT u, u FROM both_ways UNION SELECT r.n, b.v FROM reach r JOIN both_ways b ON b.u = r.other), comp AS (SELECT n, min(other) AS cluster FROM reach GROUP BY n)
 SELECT u, v, kind, p, cluster FROM every JOIN comp ON n = u""",
 }
+
+_MATRIX = SQL["overlap_matrix"].replace(") SELECT region_id, bx, \"by\", count(*) AS n FROM xy GROUP BY ALL", "), cells AS (SELECT region_id, bx, \"by\", count(*) AS n FROM xy GROUP BY ALL)")
+_SIDE = """{s}m AS (SELECT region_id, {b} AS b, max(n) AS m FROM cells GROUP BY ALL), {s}p AS (SELECT region_id, max(m) AS top, arg_min(b, (-m, b)) AS peak FROM {s}m GROUP BY region_id),
+{s}f AS (SELECT q.region_id, i AS b, peak, CASE WHEN i = peak THEN 0.0 ELSE (top - coalesce(m, 0)) / sqrt(abs(i - peak)) END AS fall FROM (SELECT *, unnest(range({bins})) AS i FROM {s}p) q LEFT JOIN {s}m m ON m.region_id = q.region_id AND m.b = i),
+{s}b AS (SELECT region_id, b, peak, row_number() OVER (PARTITION BY region_id ORDER BY fall DESC, b) AS k FROM {s}f)"""
+SQL["marginal_breakpoints"] = f"""{_MATRIX}, {_SIDE.format(s="x", b="bx", bins=2 * va.PAD // BIN)}, {_SIDE.format(s="y", b='"by"', bins=2 * va.PAD // BIN)}
+SELECT region_id, e.x - {va.PAD} + xb.b * {BIN} AS x, e.y - {va.PAD} + yb.b * {BIN} AS y, CASE WHEN xb.b > xb.peak THEN '+' ELSE '-' END || CASE WHEN yb.b > yb.peak THEN '+' ELSE '-' END AS orientation FROM xb JOIN yb USING (region_id) JOIN e ON e.geno_id = region_id WHERE xb.k = 1 AND yb.k = 1"""

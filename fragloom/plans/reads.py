@@ -63,7 +63,15 @@ def cloud_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covered_bases(rc.read_clouds(r, DAY), rc.good_reads(r), ["chrom", "bc", "start_pos"])
 
 
-QUERIES = {q.__name__: q for q in (cloud_coverage, read_clouds, inter_read_distance, clustering_distance, barcode_totals, good_barcodes, barcode_ids, combined_clouds)}
+def sampling_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the reads that distances are sampled from; reads are first or second, and some secondary, by their number."""
+    n = F.col("read_id")
+    flag = F.when(n % 2 == 1, 64).otherwise(128) + F.when(n % 17 == 0, 256).otherwise(0) + F.when(n % 19 == 0, 2048).otherwise(0)
+    kept = rc.sampling_reads(reads(spark, sf_dir).withColumn("flag", flag)).withColumn("is_duplicate", F.lit(False))
+    return rc.inter_read_distances(kept).groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {q.__name__: q for q in (sampling_distances, cloud_coverage, read_clouds, inter_read_distance, clustering_distance, barcode_totals, good_barcodes, barcode_ids, combined_clouds)}
 
 _READS = """reads AS (SELECT event_id AS read_id, event_type AS chrom, CAST(user_id AS VARCHAR) AS bc, date_diff('second', timestamp '2024-01-01', ts) AS pos,
   date_diff('second', timestamp '2024-01-01', ts) + 100 + event_id % 7 * 9000 AS ref_end, CASE WHEN event_id % 10 = 0 THEN 20 WHEN event_id % 10 < 3 THEN 45 ELSE 60 END AS mapq, CASE WHEN event_id % 7 > 1 THEN event_id % 3 END AS hap
@@ -79,6 +87,7 @@ running AS (SELECT *, sum(num_reads) OVER (ORDER BY num_reads DESC, bc ROWS UNBO
 good AS (SELECT bc, num_reads FROM running WHERE upto < total * 0.9)"""
 _DISTANCES = f"WITH {_READS}, d AS (SELECT pos - lag(pos) OVER (PARTITION BY chrom, bc ORDER BY pos, read_id) AS distance FROM reads), near AS (SELECT distance FROM d WHERE distance < 60000)"
 SQL = {
+    "sampling_distances": f"""WITH {_READS.replace("event_id % 50 <> 7 AND ", "")}, d AS (SELECT pos - lag(pos) OVER (PARTITION BY chrom, bc ORDER BY pos, read_id) AS distance FROM reads WHERE read_id % 2 = 1 AND read_id % 17 <> 0 AND read_id % 19 <> 0) SELECT distance, count(*) AS n FROM d WHERE distance < 60000 GROUP BY distance""",
     "cloud_coverage": f"""{_CLOUDS}, hits AS (SELECT c.chrom, c.bc, c.start_pos, greatest(pos, c.start_pos) AS s, least(ref_end, end_pos) AS e FROM clouds c JOIN reads r ON r.chrom = c.chrom AND r.bc = c.bc AND pos < end_pos AND ref_end > c.start_pos),
 seen AS (SELECT *, max(e) OVER (PARTITION BY chrom, bc, start_pos ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM hits) SELECT chrom, bc, start_pos, CAST(sum(greatest(0, e - greatest(s, coalesce(before, s)))) AS BIGINT) AS covered FROM seen GROUP BY ALL""",
     "read_clouds": f"{_CLOUDS} SELECT * FROM clouds",

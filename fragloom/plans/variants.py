@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fragloom.functions.conventions import measurement
+from fragloom.operators import readclouds as rc
 from fragloom.operators import support as su
 from fragloom.operators import tracks as tr
 from fragloom.operators import windows as wi
@@ -55,6 +59,41 @@ def sv_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("dataset", "chromx", "chromy", "startx", "endx", "starty", "endy", F.when(F.col("p") > 0, F.round(F.log10("p"), 4)).alias("log_p"), F.col("count").alias("n_pairs"))
 
 
+def region_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows with the least p in every region."""
+    scratch = Scratch(spark, "regions")
+    tested = scratch.table(_tested(spark, sf_dir, scratch))
+    return wi.sv_regions(tested, wi.significant(tested, MIN_SHARED, MAX_P), scratch).select("dataset", "chromx", "chromy", "startx", "starty", "best_x", "best_y")
+
+
+def region_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fragments(spark, sf_dir, "obs_len").select(measurement(F.col("obs_len")).alias("len"))
+    return wi.region_distance(f)
+
+
+def fragment_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of more than one read over the first 20 Mb of every chromosome's file, read back from files by chromosome."""
+    path = f"{Scratch(spark, 'fragments').root}/by-chromosome"
+    f = _fragments(spark, sf_dir).where("end_pos > start_pos").select("frag_id", "chrom", "start_pos", "end_pos", "bc", "num_reads")
+    rc.write_fragments(f, path)
+    parts = [rc.read_fragments(spark, path, r.chrom, 0, 20_000_000) for r in table(spark, sf_dir, "chroms").select("chrom").collect()]
+    return reduce(DataFrame.unionByName, parts).select("frag_id", "chrom", "start_pos", "end_pos")
+
+
+def fragment_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many fragments a sample of 500 from each dataset holds, and how many different ones."""
+    f = rc.sampled(_fragments(spark, sf_dir), 500, ["dataset"], "frag_id")
+    return f.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("frag_id").alias("n_different"))
+
+
+def event_characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pair_characteristics`` and whether the lengths of the molecules across the event are those of its datasets."""
+    from fragloom.plans.genotyping import length_filter
+
+    out = pair_characteristics(spark, sf_dir).join(length_filter(spark, sf_dir), "event_id", "left")
+    return out.select("event_id", "supporting", "overlapping", "fraction", F.coalesce("frag_length_passes", F.lit(False)).alias("lengths_match"))
+
+
 def genome_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments that start in each near-equal chunk of the genome of at most 50 Mb."""
     chroms = table(spark, sf_dir, "chroms")
@@ -111,7 +150,7 @@ def pair_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("log_p", F.when(F.col("p") > 0, F.round(F.log10("p"), 4))).drop("p")
 
 
-QUERIES = {q.__name__: q for q in (genome_chunks, window_barcodes, window_overlaps, window_overlap_p, sv_regions, breakend_support, quantify, event_samples, fragment_pairs, fragment_tracks, pair_characteristics, pair_evidence)}
+QUERIES = {q.__name__: q for q in (region_best, region_distance, fragment_scan, fragment_sample, event_characteristics, genome_chunks, window_barcodes, window_overlaps, window_overlap_p, sv_regions, breakend_support, quantify, event_samples, fragment_pairs, fragment_tracks, pair_characteristics, pair_evidence)}
 
 _WINDOWS = f"""WITH RECURSIVE {FRAGMENTS_SQL},
 wins AS (SELECT chrom, w, w * 10000 AS a, (w + 1) * 10000 AS b FROM (SELECT chrom, unnest(range(0, CAST(ceil(length / 10000) AS BIGINT))) AS w FROM chroms)),
@@ -156,6 +195,9 @@ reach(c, other) AS (SELECT c, c FROM sig UNION SELECT r.c, t.v FROM reach r JOIN
 boxes AS (SELECT dataset, chromx, chromy, g, min(wx) AS ax, max(wx) AS bx, min(wy) AS ay, max(wy) AS by_, count(*) AS n_pairs FROM sig JOIN comp USING (c) GROUP BY ALL),
 best AS (SELECT g, min(p) AS p FROM boxes b JOIN tested t ON t.dataset = b.dataset AND t.chromx = b.chromx AND t.chromy = b.chromy AND wx BETWEEN ax AND bx AND wy BETWEEN ay AND by_ GROUP BY g)
 SELECT dataset, chromx, chromy, ax * 10000 AS startx, (bx + 1) * 10000 AS endx, ay * 10000 AS starty, (by_ + 1) * 10000 AS endy, {_LOG}, n_pairs FROM boxes JOIN best USING (g)""",
+    "region_distance": f"WITH {FRAGMENTS_SQL} SELECT quantile_cont(obs_len, 0.8) AS distance FROM (SELECT DISTINCT frag_id, obs_len FROM frags) WHERE obs_len >= 0 AND obs_len < 500000000",
+    "fragment_scan": f"WITH {FRAGMENTS_SQL} SELECT DISTINCT frag_id, chrom, start_pos, end_pos FROM frags WHERE end_pos > start_pos AND num_reads > 1 AND start_pos < 20000000 AND end_pos > 0 AND chrom IN (SELECT chrom FROM chroms)",
+    "fragment_sample": f"WITH {FRAGMENTS_SQL} SELECT dataset, least(count(*), 500) AS n, least(count(DISTINCT frag_id), 500) AS n_different FROM frags GROUP BY dataset",
     "breakend_support": f"{_NEAR} SELECT event_id, side, dataset, count(DISTINCT frag_id) AS n_fragments, count(DISTINCT bc) AS n_barcodes FROM near GROUP BY ALL",
     "quantify": f"{_QUANTIFY} SELECT * EXCLUDE (p), {_LOG} FROM quantified",
     "event_samples": f"""{_QUANTIFY}, rolled AS (SELECT event_id, CAST(coalesce(sum(shared) FILTER (p < 1e-4 AND shared > total * 0.1), 0) AS BIGINT) AS shared, CAST(coalesce(sum(total) FILTER (p < 1e-4 AND shared > total * 0.1), 0) AS BIGINT) AS total, min(p) AS p FROM quantified GROUP BY event_id)
@@ -188,3 +230,7 @@ terms AS (SELECT k.*, ny / n_bcs AS q, unnest(range(shared + 1, total + 1)) AS i
 tail AS (SELECT dataset, chromx, x, ox, chromy, y, oy, sum(exp(lgamma(total + 1) - lgamma(i + 1) - lgamma(total - i + 1) + i * ln(q) + (total - i) * ln(1 - q))) AS p FROM terms GROUP BY ALL)
 SELECT k.dataset, k.chromx, k.x, k.ox, k.chromy, k.y, k.oy, shared, total, facing, {_LOG} FROM kept k LEFT JOIN tail USING (dataset, chromx, x, ox, chromy, y, oy)""",
 }
+
+_BOXES = SQL["sv_regions"].split("best AS (")[0]
+SQL["region_best"] = f"""{_BOXES}cells AS (SELECT b.*, wx, wy, row_number() OVER (PARTITION BY g ORDER BY p, wy, wx) AS k FROM boxes b JOIN tested t ON t.dataset = b.dataset AND t.chromx = b.chromx AND t.chromy = b.chromy AND wx BETWEEN ax AND bx AND wy BETWEEN ay AND by_)
+SELECT dataset, chromx, chromy, ax * 10000 AS startx, ay * 10000 AS starty, wx * 10000 AS best_x, wy * 10000 AS best_y FROM cells WHERE k = 1"""
