@@ -27,7 +27,8 @@ from fragloom.session import Scratch
 
 LENGTH, ONE_IN = 40, 10
 BLOCK_WORDS = 200_000  # words of test items in one automaton
-SHARE = 4_000_000  # characters of text that one automaton is built for; a block with more is built in several tasks
+SHARE = 2_000_000  # characters of text that one automaton is built for; a block with more is built in several tasks
+_PARTS = 20_000  # partitions of the aligning stage at most
 _BATCH = 1024  # windows aligned side by side
 
 
@@ -180,7 +181,8 @@ def leak_spans(documents: DataFrame, items: DataFrame, length: int = LENGTH, one
     held = scratch.table(texts.mapInArrow(suspects, "doc_id bigint, text string, runs array<bigint>").withColumn("row", F.monotonically_increasing_id()))
     pairs = held.select("row", F.explode("runs").alias("run")).join(of_block, "run").select("row", "block").distinct()
     todo = scratch.table(held.drop("runs").join(pairs, "row").select("block", "row", "doc_id", "text"))
-    tasks = todo.groupBy("block").agg(F.ceil(F.sum(F.length("text")) / share).alias("tasks"))
+    tasks = scratch.table(todo.groupBy("block").agg(F.ceil(F.sum(F.length("text")) / share).alias("tasks")))
+    n = max(1, min(_PARTS, tasks.agg(F.sum("tasks")).first()[0] or 1))
     left = todo.join(tasks, "block").select("block", F.pmod(F.xxhash64("row"), F.col("tasks")).alias("task"), "doc_id", "text")
     right = parts.select(block, "item_id", "part", "text").join(tasks, "block").select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)).alias("task"), "item_id", "part", "text")
     names = ["doc_id", "item_id", "part", "first_word", "last_word"]
@@ -195,6 +197,8 @@ def leak_spans(documents: DataFrame, items: DataFrame, length: int = LENGTH, one
         cols = list(zip(*[(ids[at], *rest) for at, *rest in found])) or [()] * 5
         return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
+    # the texts are few but take long, so their groups are not put together into fewer tasks
+    left, right = (x.repartition(n, "block", "task") for x in (left, right))
     spans = left.groupBy("block", "task").cogroup(right.groupBy("block", "task")).applyInArrow(find, "doc_id bigint, item_id bigint, part string, first_word bigint, last_word bigint")
     return spans.distinct()
 

@@ -19,6 +19,7 @@ from fragloom.llm.automaton import words
 
 MOST_BITS, LEAST_BITS = 1 << 26, 1 << 16  # 8 MB and 8 kB
 _PER_RUN = 64  # bits of the filter for each run, while there are few
+_PROBES = (0, 12, 25, 38)  # where in a run's number the places of its bits are read
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd constants
 _KEPT = 500_000  # words whose numbers a task keeps
 
@@ -55,8 +56,10 @@ class RunFilter:
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, number) of the runs of a text that may be an item's."""
         runs = run_numbers(codes, self.least)
-        slot = runs & self.mask
-        at = np.flatnonzero(self.table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+        at = np.arange(len(runs))
+        for shift in _PROBES:
+            slot = (runs[at] >> shift) & self.mask
+            at = at[(self.table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)]
         return at, runs[at]
 
 
@@ -89,8 +92,8 @@ def run_filter(runs: DataFrame, least: int) -> RunFilter:
     bits = LEAST_BITS
     while bits < min(MOST_BITS, n * _PER_RUN):
         bits *= 2
-    slot = F.col("run").bitwiseAND(F.lit(bits - 1))
-    filled = runs.select(F.shiftright(slot, 5).alias("word"), F.expr("shiftleft(1L, int(run & 31))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    slots = runs.select(F.explode(F.array(*[F.shiftright("run", shift).bitwiseAND(F.lit(bits - 1)) for shift in _PROBES])).alias("slot"))
+    filled = slots.select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, int(slot & 31))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     table = np.zeros(bits // 32, dtype="<u4")
     for row in filled.toLocalIterator():
         table[row["word"]] = row["bits"]
