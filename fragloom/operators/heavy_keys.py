@@ -34,6 +34,11 @@ def _same(left: str, right: str, columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns))
 
 
+def join_states(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Compact states of two inputs, ``l`` and ``r``, joined by their keys; null keys meet each other. No row of an input is joined."""
+    return left.alias("l").join(right.alias("r"), _same("l", "r", on))
+
+
 def join_aggregate(
     left: DataFrame,
     right: DataFrame,
@@ -53,8 +58,7 @@ def join_aggregate(
     wide = "decimal(38,0)"
     exact = lambda c, df, m: F.col(c).cast(wide) if dict(df.dtypes)[m] in ("tinyint", "smallint", "int", "bigint") else F.col(c)
     known = lambda df: df.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in on)))
-    a = pre_aggregate(known(left), list(dict.fromkeys([*on, *left_by])), left_measures).alias("l")
-    b = pre_aggregate(known(right), list(dict.fromkeys([*on, *right_by])), right_measures).alias("r")
+    states = join_states(pre_aggregate(known(left), list(dict.fromkeys([*on, *left_by])), left_measures), pre_aggregate(known(right), list(dict.fromkeys([*on, *right_by])), right_measures), on)
     both = set(left_by) & set(right_by)
     groups = [F.col(f"l.{c}").alias(f"left_{c}" if c in both else c) for c in left_by]
     groups += [F.col(f"r.{c}").alias(f"right_{c}" if c in both else c) for c in right_by]
@@ -62,8 +66,7 @@ def join_aggregate(
     products = [(n * m).cast(wide).alias("pairs")]
     products += [(exact(f"l.sum_{c}", left, c) * m).cast(wide if dict(left.dtypes)[c] != "double" else "double").alias(f"left_{c}_sum") for c in left_measures]
     products += [(exact(f"r.sum_{c}", right, c) * n).cast(wide if dict(right.dtypes)[c] != "double" else "double").alias(f"right_{c}_sum") for c in right_measures]
-    keys = reduce(lambda x, y: x & y, (F.col(f"l.{k}") == F.col(f"r.{k}") for k in on))
-    joined = a.join(b, keys).select(*groups, *products)
+    joined = states.select(*groups, *products)
     names = [c for c in joined.columns if c not in {"pairs", *(f"left_{c}_sum" for c in left_measures), *(f"right_{c}_sum" for c in right_measures)}]
     return joined.groupBy(*names).agg(*[F.sum(c).cast(joined.schema[c].dataType).alias(c) for c in joined.columns if c not in names])
 
@@ -71,15 +74,22 @@ def join_aggregate(
 def key_loads(df: DataFrame, outer: Sequence[str], key: str, measure: str) -> DataFrame:
     """(outer, key, rows, sum_<measure>, outer_rows, outer_sum): each key's state beside that of all keys of its outer group.
 
-    The outer state is rolled up from the keys' states, not from the rows, and joined as a compact state. Rows without a key
-    belong to no key and not to the outer group; null measures count as 0; a null outer value is a group.
+    This is the join of ``df`` with itself on ``outer``: one input is pre-aggregated by (outer, key), the other by outer, which
+    is rolled up from the first, and the two states are joined. Rows without a key belong to no key and not to the outer group;
+    null measures count as 0; a null outer value is a group.
     """
     state = pre_aggregate(df.where(F.col(key).isNotNull()), [*outer, key], [measure])
     total = roll_up(state, outer).withColumnsRenamed({"rows": "outer_rows", f"sum_{measure}": "outer_sum"})
-    return state.alias("k").join(total.alias("o"), _same("k", "o", outer)).select("k.*", "o.outer_rows", "o.outer_sum")
+    return join_states(state, total, outer).select("l.*", "r.outer_rows", "r.outer_sum")
 
 
 def dominant_keys(df: DataFrame, outer: Sequence[str], key: str, measure: str, one_in: int = 50) -> DataFrame:
-    """The loads of the keys that hold at least ``1 / one_in`` of the rows or of the summed measure of their outer group."""
-    loads = key_loads(df, outer, key, measure)
-    return loads.where((F.col("rows") * one_in >= F.col("outer_rows")) | (F.col(f"sum_{measure}") * one_in >= F.col("outer_sum")))
+    """The loads of the keys that hold at least ``1 / one_in`` of the rows or of the summed measure of their outer group.
+
+    A key of n of its group's N rows has n * N of the rows of the join on ``outer``, and n * n of them meet the key itself: the
+    counts of the two states are multiplied, as are the sums. Products are exact.
+    """
+    wide = "decimal(38,0)"
+    n, total = F.col("rows").cast(wide), F.col("outer_rows").cast(wide)
+    r, all_r = F.col(f"sum_{measure}"), F.col("outer_sum")
+    return key_loads(df, outer, key, measure).where((n * n * one_in >= n * total) | (r * one_in >= all_r))

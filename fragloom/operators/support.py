@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fragloom.functions.stats import binom_sf, fisher_greater
 from fragloom.functions.text import facing
 from fragloom.operators.rangejoin import overlap_join
+from fragloom.session import Scratch
 
 BIN = 20_000
 
@@ -92,11 +93,12 @@ def pair_evidence(ends: DataFrame, n_barcodes: DataFrame, min_shared: int = 15,
     two breakends that share ``min_shared`` of them share one outside the ``min_shared - 1`` most frequent of either.
     ``n_barcodes`` has the number of barcodes of each dataset as ``n_bcs``.
     """
-    ends = ends.select("dataset", "chrom", "pos", "orientation", "bc").distinct()
+    scratch = Scratch(ends.sparkSession, "evidence")
+    ends = scratch.table(ends.select("dataset", "chrom", "pos", "orientation", "bc").distinct())
     node = ["dataset", "chrom", "pos", "orientation"]
-    freq = ends.groupBy("dataset", "bc").agg(F.count(F.lit(1)).alias("f"))
-    sets = ends.join(freq, ["dataset", "bc"]).groupBy(*node).agg(F.array_sort(F.collect_list(F.struct("f", "bc"))).alias("own")).where(F.size("own") >= min_shared)
-    sets = sets.select(*node, F.col("own.bc").alias("bcs"))
+    freq = scratch.table(ends.groupBy("dataset", "bc").agg(F.count(F.lit(1)).alias("f")).withColumn("id", F.monotonically_increasing_id()))
+    sets = ends.join(freq, ["dataset", "bc"]).groupBy(*node).agg(F.array_sort(F.collect_list(F.struct("f", "id"))).alias("own")).where(F.size("own") >= min_shared)
+    sets = scratch.table(sets.select(*node, F.col("own.id").alias("bcs")))
     rare = sets.select(*node, F.explode(F.slice("bcs", F.lit(1), F.size("bcs") - min_shared + 1)).alias("bc"))
     x = rare.select("dataset", "bc", *[F.col(a).alias(b) for a, b in (("chrom", "chromx"), ("pos", "x"), ("orientation", "ox"))])
     y = rare.select("dataset", "bc", *[F.col(a).alias(b) for a, b in (("chrom", "chromy"), ("pos", "y"), ("orientation", "oy"))])

@@ -52,10 +52,11 @@ def window_overlaps(windows: DataFrame, chroms: DataFrame, scratch: Scratch, gro
     the pairs share is then counted exactly. The x side is the later chromosome, or the earlier window of one chromosome.
     """
     windows = scratch.table(windows.select(group, "chrom", "w", "bc"))
-    freq = windows.groupBy(group, "bc").agg(F.count(F.lit(1)).alias("f"))
-    ordered = windows.join(freq, [group, "bc"]).groupBy(group, "chrom", "w").agg(F.array_sort(F.collect_list(F.struct("f", "bc"))).alias("own"))
+    # barcodes go by numbers from here on
+    freq = scratch.table(windows.groupBy(group, "bc").agg(F.count(F.lit(1)).alias("f")).withColumn("id", F.monotonically_increasing_id()))
+    ordered = windows.join(freq, [group, "bc"]).groupBy(group, "chrom", "w").agg(F.array_sort(F.collect_list(F.struct("f", "id"))).alias("own"))
     ordered = ordered.where(F.size("own") >= min_shared).join(chroms.select("chrom", "idx"), "chrom")
-    sets = scratch.table(ordered.select(group, "chrom", "idx", "w", F.size("own").cast("bigint").alias("n"), F.col("own.bc").alias("bcs")))
+    sets = scratch.table(ordered.select(group, "chrom", "idx", "w", F.size("own").cast("bigint").alias("n"), F.col("own.id").alias("bcs")))
     rare = sets.select(group, "chrom", "idx", "w", F.explode(F.slice("bcs", F.lit(1), (F.col("n") - min_shared + 1).cast("int"))).alias("bc"))
     x, y = rare.alias("x"), rare.alias("y")
     before = (F.col("x.idx") > F.col("y.idx")) | ((F.col("x.idx") == F.col("y.idx")) & (F.col("x.w") < F.col("y.w")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -71,6 +71,64 @@ def as_reads(sam: DataFrame) -> DataFrame:
     return sam.select("read_name", F.xxhash64("read_name", "flag").alias("read_id"), "chrom", bc.alias("bc"), "pos", reference_end(F.col("pos"), F.col("cigar")).alias("ref_end"), "mapq", bit(1024).alias("is_duplicate"), bit(256).alias("is_secondary"), bit(2048).alias("is_supplementary"), bit(16).alias("is_reverse"), F.when(F.col("ps").isNotNull(), F.col("hp")).alias("hap"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, i, line, value): the lines of text files with their numbers from 0 in each file.
+
+    Files are read in blocks by many tasks, as Spark's text reader splits them (compressed ones are one block); lines are
+    counted in their block first and the blocks' counts added up, of which there is one row for each.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), "value")
+    blocks = rows.groupBy("file", "block").agg(F.min("i").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", "_first", before.alias("_before"))
+    return rows.join(blocks, ["file", "block"]).select("file", "block", "i", (F.col("i") - F.col("_first") + F.col("_before")).alias("line"), "value")
+
+
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(n, read_name, sample_bc, seq, qual) of files of four lines a record, read in blocks; n counts the records over all files in the order of their names."""
+    lines = numbered_lines(spark, path)
+    at = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
+    records = lines.groupBy("file", F.expr("line div 4").alias("record")).agg(at(0).alias("name"), at(1).alias("seq"), at(3).alias("qual")).where("qual IS NOT NULL")
+    files = lines.groupBy("file").agg(F.expr("(max(line) + 1) div 4").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("file", before.alias("_before"))
+    name = F.regexp_replace("name", "^@", "")
+    return records.join(files, "file").select((F.col("record") + F.col("_before")).alias("n"), F.substring_index(name, " ", 1).alias("read_name"), F.when(F.contains("name", F.lit(":")), F.substring_index("name", ":", -1)).alias("sample_bc"), "seq", "qual")
+
+
+def read_fasta(spark: SparkSession, path: str, size: int = 100_000) -> DataFrame:
+    """(chrom, bin, seq): references in pieces of ``size`` bases, read in blocks; a chromosome goes on over any number of them.
+
+    Places are counted within a block first; a block hands on its last chromosome and how far it has come, one row each.
+    """
+    lines = numbered_lines(spark, path).withColumn("value", F.trim("value"))
+    head = F.startswith("value", F.lit(">"))
+    lines = lines.withColumns({"_name": F.when(head, F.coalesce(F.nullif(F.regexp_extract("value", r"^>\s*(\S+)", 1), F.lit("")), F.lit(""))), "_len": F.when(head, 0).otherwise(F.length("value")).cast("bigint")})
+    w = Window.partitionBy("file", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    local = lines.withColumns({"_part": F.count("_name").over(w), "_chrom": F.last("_name", ignorenulls=True).over(w)})
+    inside = Window.partitionBy("file", "block", "_part").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    local = local.withColumn("_at", F.coalesce(F.sum("_len").over(inside), F.lit(0)))
+    # what a block hands on: its last name, if it has one, and the bases after that
+    tails = lines.groupBy("file", "block").agg(F.max_by("_name", F.when(F.col("_name").isNotNull(), F.col("i"))).alias("name"))
+    parts = local.groupBy("file", "block", "_part").agg(F.sum("_len").alias("n")).groupBy("file", "block").agg(F.max_by("n", "_part").alias("n"))
+    tails = tails.join(parts, ["file", "block"])
+    order = Window.partitionBy("file").orderBy("block")
+    tails = tails.withColumns({"_in": F.last("name", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "_run": F.count("name").over(order.rowsBetween(Window.unboundedPreceding, -1)), "_own": F.count("name").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    # the bases of the same chromosome in the blocks before
+    done = tails.select("file", F.col("block").alias("_b"), F.col("_own").alias("_run"), "n")
+    carried = tails.select("file", "block", "_in", "_run").join(done, ["file", "_run"]).where("_b < block").groupBy("file", "block").agg(F.sum("n").alias("_before"))
+    known = tails.select("file", "block", "_in").join(carried, ["file", "block"], "left")
+    rows = local.where("_name IS NULL AND _len > 0").join(known, ["file", "block"])
+    first = F.col("_part") == 0
+    placed = rows.select(F.when(first, F.col("_in")).otherwise(F.col("_chrom")).alias("chrom"), (F.col("_at") + F.when(first, F.coalesce("_before", F.lit(0))).otherwise(F.lit(0))).alias("_start"), "value")
+    # long lines in parts first, so that none is gone through again for each piece
+    cut = placed.select("chrom", "_start", F.posexplode(F.regexp_extract_all("value", F.lit(f".{{1,{size}}}"), F.lit(0))).alias("_k", "_s")).withColumn("_start", F.col("_start") + F.col("_k") * size)
+    bins = F.explode(F.sequence(F.expr(f"_start div {size}"), F.expr(f"(_start + length(_s) - 1) div {size}"))).alias("bin")
+    low, high = F.greatest(F.col("_start"), F.col("bin") * size), F.least(F.col("_start") + F.length("_s"), (F.col("bin") + 1) * size)
+    pieces = cut.select("chrom", "_start", "_s", bins).select("chrom", "bin", low.alias("_low"), F.substr("_s", (low - F.col("_start") + 1).cast("int"), (high - low).cast("int")).alias("_s"))
+    return pieces.groupBy("chrom", "bin").agg(F.array_sort(F.collect_list(F.struct("_low", "_s"))).alias("_p")).select("chrom", "bin", F.array_join(F.col("_p._s"), "").alias("seq"))
+
+
 class _Records(DataSourceReader):
     """Files of records that only make sense in the order of their lines: one task for each file, one record at a time."""
 
@@ -100,20 +158,24 @@ class _Records(DataSourceReader):
 
     @staticmethod
     def _fasta(lines: Iterator[str], size: int = 100_000) -> Iterator[tuple]:
-        chrom, held, at = None, "", 0
+        chrom, held, n, at = None, [], 0, 0
         for line in lines:
             line = line.strip()
             if line.startswith(">"):
                 if held:
-                    yield chrom, at, held
-                chrom, held, at = line[1:].split()[0] if line[1:].split() else "", "", 0
-            else:
-                held += line
-                while len(held) >= size:
-                    yield chrom, at, held[:size]
-                    held, at = held[size:], at + 1
+                    yield chrom, at, "".join(held)
+                chrom, held, n, at = line[1:].split()[0] if line[1:].split() else "", [], 0, 0
+                continue
+            first = 0
+            while n + len(line) - first >= size:
+                held.append(line[first : first + size - n])
+                yield chrom, at, "".join(held)
+                first, held, n, at = first + size - n, [], 0, at + 1
+            if first < len(line):
+                held.append(line[first:])
+                n += len(line) - first
         if held:
-            yield chrom, at, held
+            yield chrom, at, "".join(held)
 
 
 class FastqSource(DataSource):

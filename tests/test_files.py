@@ -72,3 +72,39 @@ def test_sessions_of_a_stream(spark, tmp_path):
     query.stop()
     assert sorted(r.num_reads for r in spark.table("clouds").collect()) == [2, 2]  # the last one is still open
     assert sorted(r.num_reads for r in stream_read_clouds(df, "t", "10 minutes", "0 minutes").collect()) == [1, 2, 2]
+
+
+def test_fasta_and_fastq_in_blocks_equal_the_readers_of_whole_files(spark, tmp_path):
+    import random
+
+    from fragloom.sources import files
+
+    r = random.Random(5)
+    files.register(spark)
+    lines = []
+    for c in range(7):
+        lines.append(f">chr{c} some text")
+        left = r.choice([0, 5, 2_000, 9_000])
+        while left > 0:
+            n = min(left, r.choice([1, 60, 3_000]))
+            lines.append("".join(r.choices("ACGTN", k=n)))
+            left -= n
+    (tmp_path / "a.fa").write_text("\n".join(lines) + "\n")
+    records = [(f"r{i}", "".join(r.choices("ACGT", k=20)), "".join(r.choices("@I+#", k=20))) for i in range(500)]
+    for part in (0, 1):
+        (tmp_path / f"{part}.fq").write_text("".join(f"@{n} 1:N:0:AC{part}\n{s}\n+\n{q}\n" for n, s, q in records[part::2]))
+    want = {tuple(x) for x in spark.read.format("fasta").load(f"{tmp_path}/a.fa").collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700b", "4k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert {tuple(x) for x in files.read_fasta(spark, f"{tmp_path}/a.fa").collect()} == want
+            small = {}
+            for x in files.read_fasta(spark, f"{tmp_path}/a.fa", 100).collect():
+                assert len(x.seq) <= 100
+                small.setdefault(x.chrom, {})[x.bin] = x.seq
+            assert {c: "".join(own[b] for b in sorted(own)) for c, own in small.items()} == {c: s for c, _, s in want}
+            got = sorted(map(tuple, files.read_fastq(spark, f"{tmp_path}/*.fq").collect()))
+            assert got == [(i, n, f"AC{part}", s, q) for i, (part, n, s, q) in enumerate((p, *x) for p in (0, 1) for x in records[p::2])]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
