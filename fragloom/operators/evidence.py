@@ -15,6 +15,7 @@ from fragloom.functions.frames import plain
 from fragloom.operators.coverage import merge_intervals
 from fragloom.operators.rangejoin import overlap_join
 from fragloom.operators.support import breakends
+from fragloom.session import Scratch
 
 DECOY = "(?i)gl|hap|un|_"
 
@@ -108,7 +109,9 @@ def resampling_p(quantified: DataFrame, totals: DataFrame, resamples: int = 100,
     gets it beside ``share`` events of the group. Draws depend on the seed and their size alone, what two have in common on
     the event as well. A p is null where no draw differs from what was found, and where a group has no reads.
     """
-    counts = totals.where("num_reads > 0").groupBy(group, "num_reads").agg(F.count(F.lit(1)).alias("n"))
+    scratch = Scratch(quantified.sparkSession, "resampling")
+    counts = scratch.table(totals.where("num_reads > 0").groupBy(group, "num_reads").agg(F.count(F.lit(1)).alias("n")))
+    quantified = scratch.table(quantified)
     tasks = quantified.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / share).alias("_tasks"))
     left = quantified.join(tasks, group).withColumn("_task", F.pmod(F.xxhash64(key), F.col("_tasks"))).drop("_tasks")
     right = counts.join(tasks, group).select(group, "num_reads", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_tasks") - 1)).alias("_task"))

@@ -147,6 +147,14 @@ def unknown_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.nearby_unknown(*_on_documents(spark, sf_dir), size=1_000)
 
 
+def reference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PASS or FAIL of every event by its variants, the unknown bases around it and the blacklist."""
+    e, reference = _on_documents(spark, sf_dir)
+    rows = ev.nearby_unknown(e, reference, size=1_000).join(_called(spark, sf_dir).select("event_id", "nearby_snvs"), "event_id").join(blacklist_nearest(spark, sf_dir), "event_id", "left")
+    n = F.col("nearby_n")
+    return rows.select("event_id", "nearby_n", ge.quality(F.col("nearby_snvs"), n, F.col("blacklist"), max_unknown=2_000).alias("verdict"), ge.blacklist_with_unknown(F.col("blacklist"), n, 2_000).alias("reasons"))
+
+
 def reference_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vcf.with_reference_base(*_on_documents(spark, sf_dir), size=1_000).select("event_id", "ref_x", "ref_y")
 
@@ -167,8 +175,9 @@ def vcf_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events called as breakpoints in the first and in the other datasets, side by side."""
     e = va.events(spark, sf_dir)
+    first = table(spark, sf_dir, "genotypes").agg(F.min("dataset")).first()[0] or ""
     part = lambda rows, name: rows.groupBy("chromx", "x", "chromy", "y", "orientation").agg(F.count(F.lit(1)).alias(name))
-    return ge.validate(part(e.where("dataset = 'tx0000'"), "n_first"), part(e.where("dataset <> 'tx0000'"), "n_others"))
+    return ge.validate(part(e.where(F.col("dataset") == first), "n_first"), part(e.where(F.col("dataset") != first), "n_others"))
 
 
 def vcf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,12 +232,13 @@ def modal_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _raw_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fragments as raw pairs: the barcode leads the first read, the dataset is the sample's index; a barcode seen twice is known."""
+    """Fragments as raw pairs: the barcode leads the first read, the dataset is the sample's index; a barcode seen twice is known, and the last dataset's index is not."""
     f = table(spark, sf_dir, "fragments").where("bc IS NOT NULL AND frag_id IS NOT NULL").select("frag_id", "dataset", F.upper(F.trim("bc")).alias("raw")).distinct()
     seq = F.concat("raw", F.lit("ACGTN"))
     pairs = f.select(F.concat(F.lit("r"), "frag_id").alias("read_name"), F.col("dataset").alias("sample_bc"), seq.alias("seq1"), F.translate(seq, "ACGTN-0123456789,", "IIIIIIIIIIIIIIIII").alias("qual1"), tx.revcomp(seq).alias("seq2"), seq.alias("qual2"))
     known = table(spark, sf_dir, "fragments").select(barcode(F.col("bc")).alias("bc")).where("bc IS NOT NULL").groupBy("bc").count().where("count > 1").select("bc")
-    samples = table(spark, sf_dir, "fragments").where("dataset <> 'tx0001'").select(F.col("dataset").alias("bc"), "sample").distinct()
+    last = table(spark, sf_dir, "fragments").agg(F.max("dataset")).first()[0] or ""
+    samples = table(spark, sf_dir, "fragments").where(F.col("dataset") != last).select(F.col("dataset").alias("bc"), "sample").distinct()
     return pairs, known, samples
 
 
@@ -250,7 +260,7 @@ def breakend_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        length_bands, length_genotypes, length_filter, blacklist_nearest, event_quality, cluster_sizes, event_presence, event_classes, chromosome_pairs, event_summary, breakpoints_per_event, private_and_shared, validation_rates, background_loci, index_shares, resampled_lengths, unknown_bases, reference_bases, vcf_samples, validated_events, vcf_records, vcf_header,
+        length_bands, length_genotypes, length_filter, blacklist_nearest, event_quality, cluster_sizes, event_presence, event_classes, chromosome_pairs, event_summary, breakpoints_per_event, private_and_shared, validation_rates, background_loci, index_shares, resampled_lengths, unknown_bases, reference_quality, reference_bases, vcf_samples, validated_events, vcf_records, vcf_header,
         fragment_quantiles, fragment_n50, outlier_trim, length_at_share, physical_depth, coverage_track, dataset_report, modal_orientation, demux, demux_counts, breakend_labels,
     )
 }
@@ -272,7 +282,7 @@ _PRESENT = f"{va._QUANTIFY}, present AS (SELECT event_id, dataset, p < 1e-6 AND
 _CLASSES = f"""{_PRESENT}, sets AS (SELECT DISTINCT dataset FROM genotypes), classes AS (SELECT event_id, string_agg(CASE WHEN hit THEN '1' ELSE '0' END, '' ORDER BY dataset) AS classes FROM
   (SELECT i.event_id, s.dataset, coalesce(bool_or(p.present), false) AS hit FROM (SELECT DISTINCT event_id FROM present) i CROSS JOIN sets s LEFT JOIN present p ON p.event_id = i.event_id AND p.dataset = s.dataset GROUP BY ALL) GROUP BY event_id)"""
 _RAW = """f AS (SELECT DISTINCT frag_id, dataset, upper(trim(bc, ' ')) AS raw FROM fragments WHERE bc IS NOT NULL AND frag_id IS NOT NULL), known AS (SELECT bc FROM spelled WHERE NOT regexp_matches(bc, '^N*$') GROUP BY bc HAVING count(*) > 1),
-samples AS (SELECT DISTINCT dataset, sample FROM fragments WHERE dataset <> 'tx0001')"""
+samples AS (SELECT DISTINCT dataset, sample FROM fragments WHERE dataset <> (SELECT max(dataset) FROM fragments))"""
 SQL = {
     "chromosome_pairs": f"""{_CLASSES}, ev AS (SELECT geno_id AS event_id, coalesce(nx.name, chromx) AS cx, coalesce(ny.name, chromy) AS cy, cluster FROM genotypes LEFT JOIN names nx ON nx.spelling = chromx LEFT JOIN names ny ON ny.spelling = chromy WHERE y IS NOT NULL AND chromy IS NOT NULL),
 sizes AS (SELECT cluster, count(total) AS size FROM genotypes WHERE cluster <> -1 GROUP BY cluster), rows AS (SELECT least(cx, cy) AS chrom_a, greatest(cx, cy) AS chrom_b, length(replace(coalesce(classes, ''), '0', '')) AS k, coalesce(size > 1, false) AS many FROM ev LEFT JOIN classes USING (event_id) LEFT JOIN sizes USING (cluster))
@@ -294,7 +304,7 @@ SELECT e.event_id, coalesce(n, 0) AS n_near, CASE WHEN coalesce(nearby_snvs, 0)
     "event_summary": f"""{graphs._EVENTS}, c AS (SELECT count(*) AS total, count(*) FILTER (chromx = chromy) AS i, count(*) FILTER (chromx <> chromy) AS j, count(*) FILTER (assembled) AS a, count(*) FILTER (upper(quality) = 'PASS') AS p FROM ev), r AS (SELECT total, unnest(['events', 'intra-chromosomal', 'inter-chromosomal', 'assembled', 'passing']) AS what, unnest([total, i, j, a, p]) AS n FROM c)
 SELECT what, n, CASE WHEN total > 0 THEN printf('%d (%.1f%%)', n, n * 100.0 / total) ELSE printf('%d', n) END AS text FROM r""",
     "breakpoints_per_event": "SELECT n_breakpoints, count(*) AS n_events FROM (SELECT cluster, count(*) AS n_breakpoints FROM genotypes WHERE cluster <> -1 GROUP BY cluster) GROUP BY n_breakpoints",
-    "validated_events": f"""{_EV}, a AS (SELECT chromx, x, chromy, y, orientation, count(*) AS n_first FROM e WHERE dataset = 'tx0000' GROUP BY ALL), b AS (SELECT chromx, x, chromy, y, orientation, count(*) AS n_others FROM e WHERE dataset <> 'tx0000' GROUP BY ALL)
+    "validated_events": f"""{_EV}, a AS (SELECT chromx, x, chromy, y, orientation, count(*) AS n_first FROM e WHERE dataset = (SELECT min(dataset) FROM genotypes) GROUP BY ALL), b AS (SELECT chromx, x, chromy, y, orientation, count(*) AS n_others FROM e WHERE dataset <> (SELECT min(dataset) FROM genotypes) GROUP BY ALL)
 SELECT * FROM a FULL JOIN b USING (chromx, x, chromy, y, orientation)""",
     "vcf_records": f"""{_EV}, m AS (SELECT *, unnest([0, 1]) AS m FROM e), s AS (SELECT *, CASE m WHEN 0 THEN chromx ELSE chromy END AS c, CASE m WHEN 0 THEN x ELSE y END AS p1, CASE m WHEN 0 THEN chromy ELSE chromx END || ':' || (CASE m WHEN 0 THEN y ELSE x END + 1) AS other, CASE m WHEN 0 THEN orientation ELSE reverse(orientation) END AS o FROM m)
 SELECT event_id || ':' || m AS id, concat_ws(chr(9), c, p1 + 1, event_id || ':' || m, 'N', CASE o WHEN '+-' THEN 'N[' || other || '[' WHEN '++' THEN 'N]' || other || ']' WHEN '-+' THEN ']' || other || ']N' WHEN '--' THEN '[' || other || '[N' END, '0',
@@ -336,6 +346,8 @@ SELECT dataset, chrom, locus, n, longest FROM loci WHERE CASE WHEN dataset IN (S
     "unknown_bases": f"{_ON_DOCS} SELECT event_id, greatest({', '.join(_COUNT_N.format(w=_AROUND.format(s=s)) for s in 'xy')}) AS nearby_n FROM placed",
     "reference_bases": f"{_ON_DOCS} SELECT event_id, substr(letters, CAST(x + 1 AS BIGINT), 1) AS ref_x, substr(letters, CAST(y + 1 AS BIGINT), 1) AS ref_y FROM placed",
 }
+SQL["reference_quality"] = f"""WITH u AS ({SQL["unknown_bases"]}), h AS ({SQL["blacklist_nearest"]}) SELECT u.event_id, nearby_n, CASE WHEN coalesce(nearby_snvs, 0) >= 15 OR nearby_n > 2000 OR h.blacklist IS NOT NULL THEN 'FAIL' ELSE 'PASS' END AS verdict, CASE WHEN nearby_n > 2000 THEN coalesce(h.blacklist, '') || ',N=' || nearby_n ELSE h.blacklist END AS reasons
+FROM u JOIN genotypes ON geno_id = u.event_id LEFT JOIN h ON h.event_id = u.event_id"""
 SQL["validation_rates"] = SQL["validation_rates"].replace(", rows AS (SELECT q.event_id", f", confirming AS (SELECT event_id, dataset, shared AS n FROM ({_WIDE} SELECT event_id, dataset, shared FROM counts)), rows AS (SELECT q.event_id", 1)
 _FIELDS = "concat_ws(':', CASE WHEN q.shared > 5 THEN '1' ELSE '0' END, q.shared, q.total, coalesce(CAST(CAST(round(t.lengths_50) AS BIGINT) AS VARCHAR), '.'), coalesce(CAST(CAST(round(t.lengths_90) AS BIGINT) AS VARCHAR), '.'), coalesce(CAST(CAST(round(log10(CASE WHEN q.p > 0 THEN q.p END), 2) AS DECIMAL(10, 2)) AS VARCHAR), '.'), x_hap0, x_hap1, y_hap0, y_hap1)"
 SQL["vcf_samples"] = f"""WITH lines AS ({SQL["vcf_records"]}), fields AS (SELECT event_id, dataset, {_FIELDS} AS f FROM ({va._QUANTIFY} SELECT * FROM quantified) q LEFT JOIN ({SQL["length_genotypes"]}) t USING (event_id, dataset)), sets AS (SELECT DISTINCT dataset FROM genotypes),

@@ -174,7 +174,15 @@ def event_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.resampling_p(crossed, totals).select("event_id", "dataset", "shared", "total", "p_resampling")
 
 
-QUERIES = {q.__name__: q for q in (event_resampling, end_histogram, background_union, overlap_matrix, marginal_breakpoints, reference_events, peaks, refined_breakends, combined_events, precluster, merged_breakends, clustered_events, clustered_edges, graph_edges, best_edges, best_at_both_ends, assembled_edges, facing_breakends, event_components, clean_events, event_paths, compared_events)}
+def resampled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' support over the datasets that pass the resampling test."""
+    f = fragments(spark, sf_dir, "dataset", "chrom", "start_pos", "end_pos", "bc", "num_reads", "hap")
+    totals = f.where("bc IS NOT NULL").groupBy("dataset", "bc").agg(F.sum("num_reads").alias("num_reads"))
+    tested = ev.resampling_p(su.quantify(va.events(spark, sf_dir), f), totals)
+    return su.roll_up_samples(tested, p="p_resampling")
+
+
+QUERIES = {q.__name__: q for q in (event_resampling, resampled_samples, end_histogram, background_union, overlap_matrix, marginal_breakpoints, reference_events, peaks, refined_breakends, combined_events, precluster, merged_breakends, clustered_events, clustered_edges, graph_edges, best_edges, best_at_both_ends, assembled_edges, facing_breakends, event_components, clean_events, event_paths, compared_events)}
 
 _PAIRS = va.SQL["fragment_pairs"].replace("SELECT geno_id AS region_id, bc, fx.frag_id AS frag_x, fy.frag_id AS frag_y FROM", ", pairs AS (SELECT geno_id AS region_id, bc, fx.frag_id AS frag_x, fy.frag_id AS frag_y FROM") + ")"
 _TIPS = f"""{_PAIRS}, placed AS (SELECT region_id, p.bc, x - {va.PAD} AS sx, y - {va.PAD} AS sy, fx.start_pos AS xs, fx.end_pos AS xe, fy.start_pos AS ys, fy.end_pos AS ye FROM pairs p JOIN frags fx ON fx.frag_id = frag_x JOIN frags fy ON fy.frag_id = frag_y JOIN e ON e.geno_id = region_id),
