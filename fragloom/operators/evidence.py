@@ -228,7 +228,7 @@ def contig_walks(starts: DataFrame, contigs: DataFrame, gap: int = 4_000, reach:
     start and end on the reference, and whether more than 40 bases are unaligned there. A walk goes on along alignments until
     a gap of more than ``gap``; the furthest one must be clipped, and the walk jumps to another, non-overlapping alignment of
     that contig whose coordinate meets it within ``meet``. It stops at decoy contigs and where it has been. One task walks the
-    contigs of one cluster, which is one event.
+    contigs of one cluster, which come from one assembly: what an assembler takes in for it bounds them.
     """
     schema = "cluster string, start_id bigint, step bigint, chromx string, x bigint, orientationx string, chromy string, y bigint, orientationy string, contig string"
     names = [c.split()[0] for c in schema.split(", ")]

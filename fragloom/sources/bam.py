@@ -181,6 +181,7 @@ class BamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for path in options["path"].split(",") for p in sorted(glob.glob(path))]
         self.chrom, self.low, self.high = options.get("chrom"), int(options.get("start", 0)), int(options.get("end", END))
+        self.unmapped = options.get("unmapped", "false").lower() == "true"
         self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
         if self.low < 0 or self.low >= self.high:
             raise ValueError("a region needs 0 <= start < end")
@@ -196,6 +197,9 @@ class BamReader(DataSourceReader):
         refs = _index(path)
         if refs is None:
             return [Span(path, first, END, False)]
+        if self.unmapped:
+            # reads without a place come after all others; where they begin is where the last reference's reads end
+            return [Span(path, max([first, *[last for _, begin, last in refs if begin < last]]), END, False)]
         low, high = first, END
         places = sorted({p for linear, begin, _ in refs for p in (*linear, begin) if first < p < END})
         if self.chrom is not None:
@@ -217,10 +221,12 @@ class BamReader(DataSourceReader):
             names, _ = _header(f)
             want = names.index(self.chrom) if self.chrom is not None else None
             for raw in _raw_records(f, span.start, span.stop):
+                ref, pos = struct.unpack_from("<ii", raw)
+                if self.unmapped and ref >= 0:
+                    continue
                 if want is None:
                     yield _row(raw, names)
                     continue
-                ref, pos = struct.unpack_from("<ii", raw)
                 if span.sorted and ref == want and pos >= self.high:
                     return
                 if ref != want or pos >= self.high:
@@ -250,9 +256,9 @@ class BamReader(DataSourceReader):
 
 
 class BamSource(DataSource):
-    """``spark.read.format("bam")``, with the options ``chrom``, ``start`` and ``end`` for the reads over a half-open region, and ``split_bytes``.
+    """``spark.read.format("bam")``, with the options ``chrom``, ``start`` and ``end`` for the reads over a half-open region, ``unmapped`` for the reads without a place alone, and ``split_bytes``.
 
-    A region reads only its part of an indexed file. A chromosome that a file doesn't know has no reads in it. Unmapped reads
+    A region, and the reads without a place, read only their part of an indexed file, the latter in one task a file. A chromosome that a file doesn't know has no reads in it. Unmapped reads
     have no chrom. Index files other than ``.bai`` are not read.
     """
 

@@ -48,6 +48,35 @@ def clipped_ends(operations: Column, more_than: int = 40) -> Column:
     return F.concat(F.when(F.coalesce(clip(first), F.lit(False)), "<").otherwise(""), F.when((F.size(operations) > 1) & F.coalesce(clip(last), F.lit(False)), ">").otherwise(""))
 
 
+def query_span(operations: Column, reverse: Column) -> Column:
+    """struct(q_start, q_end, q_length): which bases of the sequence, as it was read, an alignment takes; clipped ones lie before and after."""
+    total = lambda ops: F.aggregate(ops, F.lit(0).cast("bigint"), lambda n, o: n + o["len"])
+    is_clip = lambda o: o["op"].isin("S", "H")
+    count = F.size(operations)
+    # clips at the start are those before the first operation that is none
+    first_inner = F.array_position(F.transform(operations, lambda o: ~is_clip(o)), True)
+    left = total(F.filter(operations, lambda o, i: is_clip(o) & (i + 1 < first_inner)))
+    right = total(F.filter(operations, lambda o, i: is_clip(o) & (i + 1 > first_inner)))
+    inner = total(F.filter(operations, lambda o: o["op"].isin("M", "I", "=", "X")))
+    start = F.when(reverse, right).otherwise(left)
+    return F.when((count > 0) & (first_inner > 0), F.struct(start.alias("q_start"), (start + inner).alias("q_end"), (left + inner + right).alias("q_length")))
+
+
+def contig_alignments(alignments: DataFrame, min_length: int = 45, more_than: int = 40) -> DataFrame:
+    """(contig, chrom, start, end, q_start, q_end, clip_left, clip_right): the alignments of contigs of more than ``min_length`` bases on the reference, as walks take them.
+
+    ``alignments`` are rows of ``read_sam`` whose read names are the contigs. Coordinates on the contig run from its start as it
+    was read; ``q_start`` is that of the alignment's start on the reference, so it is the greater one where it is turned.
+    """
+    span = query_span(F.col("cigar"), F.col("flag").bitwiseAND(F.lit(16)) != 0)
+    rows = alignments.where("chrom IS NOT NULL").withColumns({"_end": reference_end(F.col("pos"), F.col("cigar")), "_q": span, "_clips": clipped_ends(F.col("cigar"), more_than), "_turned": F.col("flag").bitwiseAND(F.lit(16)) != 0})
+    kept = rows.where((F.col("_end") - F.col("pos") > min_length) & F.col("_q").isNotNull())
+    return kept.select(
+        F.col("read_name").alias("contig"), "chrom", F.col("pos").alias("start"), F.col("_end").alias("end"), F.when(F.col("_turned"), F.col("_q.q_end")).otherwise(F.col("_q.q_start")).alias("q_start"),
+        F.when(F.col("_turned"), F.col("_q.q_start")).otherwise(F.col("_q.q_end")).alias("q_end"), F.contains("_clips", F.lit("<")).alias("clip_left"), F.contains("_clips", F.lit(">")).alias("clip_right"),
+    )
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments of a SAM file with 0-based positions; an unmapped read has no chrom."""
     f = F.split("value", "\t")

@@ -118,6 +118,16 @@ def test_regions(spark, pair, name, chrom, start, end):
     assert files.as_reads(got).count() == want.count()
 
 
+@pytest.mark.parametrize("name", ["a.bam", "b.bam"])
+def test_reads_without_a_place(spark, pair, name):
+    folder, sam = pair
+    got = spark.read.format("bam").option("unmapped", "true").load(str(folder / name)).collect()
+    assert sorted(got, key=repr) == [r for r in sam if r.chrom is None] and got
+    places = bam.BamReader({"path": str(folder / name), "unmapped": "true"})._spans(str(folder / name))
+    whole = bam.BamReader({"path": str(folder / name)})._spans(str(folder / name))
+    assert len(places) == 1 and (places[0].start > whole[0].start) == (name == "a.bam")
+
+
 def test_no_records_and_broken_files(spark, tmp_path):
     bam.register(spark)
     write_bam(tmp_path / "empty.bam", [], 1_000, False)

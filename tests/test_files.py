@@ -108,3 +108,13 @@ def test_fasta_and_fastq_in_blocks_equal_the_readers_of_whole_files(spark, tmp_p
             assert got == [(i, n, f"AC{part}", s, q) for i, (part, n, s, q) in enumerate((p, *x) for p in (0, 1) for x in records[p::2])]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_places_on_the_contig(spark, tmp_path):
+    from fragloom.sources import files
+
+    rows = [("t", 0, "c", 101, 60, "60S100M5I50M2D10M70S"), ("t", 16, "d", 11, 60, "5H3S120M20H"), ("short", 0, "c", 1, 60, "45M"), ("none", 4, "*", 0, 0, "*")]
+    (tmp_path / "x.sam").write_text("".join("\t".join(map(str, [*r, "*", 0, 0, "*", "*"])) + "\n" for r in rows))
+    got = sorted(map(tuple, files.contig_alignments(files.read_sam(spark, str(tmp_path / "x.sam"))).collect()))
+    # the second lies turned on the reference: what comes first there comes last on the contig
+    assert got == [("t", "c", 100, 262, 60, 225, True, True), ("t", "d", 10, 130, 140, 20, False, False)]
