@@ -147,6 +147,19 @@ def unknown_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.nearby_unknown(*_on_documents(spark, sf_dir), size=1_000)
 
 
+def nearby_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants around the events on documents, in reads of 40 letters every 200, in turn of two samples: every third differs, every fifth is a duplicate."""
+    e, reference = _on_documents(spark, sf_dir)
+    whole = reference.groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", "seq"))), lambda p: p["seq"]), "").alias("letters"))
+    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(length(letters) - 40) div 200"))).alias("k")
+    rows = whole.where("length(letters) >= 40").select("chrom", "letters", k).withColumn("seq", F.substr("letters", (F.col("k") * 200 + 1).cast("int"), F.lit(40)))
+    seq = F.when(F.col("k") % 3 == 0, F.translate("seq", "ACGT", "CGTA")).otherwise(F.col("seq"))
+    match = F.array(F.struct(F.lit(40).cast("bigint").alias("len"), F.lit("M").alias("op")))
+    reads_ = rows.select(F.when(F.col("k") % 2 == 0, "a").otherwise("b").alias("dataset"), "chrom", (F.col("k") * 200).alias("pos"), F.when(F.col("k") % 5 == 0, 1024).otherwise(0).alias("flag"), match.alias("cigar"), seq.alias("seq"))
+    variants = ev.variant_positions(ev.pileup(reads_, ["dataset"]), reference, size=1_000, by=["dataset"])
+    return ev.nearby_variants(e, variants)
+
+
 def reference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PASS or FAIL of every event by its variants, the unknown bases around it and the blacklist."""
     e, reference = _on_documents(spark, sf_dir)
@@ -260,7 +273,7 @@ def breakend_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        length_bands, length_genotypes, length_filter, blacklist_nearest, event_quality, cluster_sizes, event_presence, event_classes, chromosome_pairs, event_summary, breakpoints_per_event, private_and_shared, validation_rates, background_loci, index_shares, resampled_lengths, unknown_bases, reference_quality, reference_bases, vcf_samples, validated_events, vcf_records, vcf_header,
+        length_bands, length_genotypes, length_filter, blacklist_nearest, event_quality, cluster_sizes, event_presence, event_classes, chromosome_pairs, event_summary, breakpoints_per_event, private_and_shared, validation_rates, background_loci, index_shares, resampled_lengths, unknown_bases, nearby_variants, reference_quality, reference_bases, vcf_samples, validated_events, vcf_records, vcf_header,
         fragment_quantiles, fragment_n50, outlier_trim, length_at_share, physical_depth, coverage_track, dataset_report, modal_orientation, demux, demux_counts, breakend_labels,
     )
 }
@@ -346,6 +359,9 @@ SELECT dataset, chrom, locus, n, longest FROM loci WHERE CASE WHEN dataset IN (S
     "unknown_bases": f"{_ON_DOCS} SELECT event_id, greatest({', '.join(_COUNT_N.format(w=_AROUND.format(s=s)) for s in 'xy')}) AS nearby_n FROM placed",
     "reference_bases": f"{_ON_DOCS} SELECT event_id, substr(letters, CAST(x + 1 AS BIGINT), 1) AS ref_x, substr(letters, CAST(y + 1 AS BIGINT), 1) AS ref_y FROM placed",
 }
+SQL["nearby_variants"] = f"""{_ON_DOCS}, sides AS (SELECT event_id, letters, 'x' AS side, x AS pos FROM placed UNION ALL SELECT event_id, letters, 'y', y FROM placed),
+hits AS (SELECT event_id, side, q // 200 AS k FROM (SELECT *, unnest(range(CAST(greatest(pos - 500, 0) AS BIGINT), CAST(least(pos + 500, length(letters)) AS BIGINT))) AS q FROM sides) WHERE q % 200 < 40 AND q - q % 200 + 40 <= length(letters) AND (q // 200) % 3 = 0 AND (q // 200) % 5 <> 0 AND substr(letters, q + 1, 1) <> 'N'),
+per AS (SELECT event_id, side, k % 2 AS sample, count(*) AS n FROM hits GROUP BY ALL), most AS (SELECT event_id, side, max(n) AS n FROM per GROUP BY ALL) SELECT p.event_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS nearby_snvs FROM placed p LEFT JOIN most USING (event_id) GROUP BY p.event_id"""
 SQL["reference_quality"] = f"""WITH u AS ({SQL["unknown_bases"]}), h AS ({SQL["blacklist_nearest"]}) SELECT u.event_id, nearby_n, CASE WHEN coalesce(nearby_snvs, 0) >= 15 OR nearby_n > 2000 OR h.blacklist IS NOT NULL THEN 'FAIL' ELSE 'PASS' END AS verdict, CASE WHEN nearby_n > 2000 THEN coalesce(h.blacklist, '') || ',N=' || nearby_n ELSE h.blacklist END AS reasons
 FROM u JOIN genotypes ON geno_id = u.event_id LEFT JOIN h ON h.event_id = u.event_id"""
 SQL["validation_rates"] = SQL["validation_rates"].replace(", rows AS (SELECT q.event_id", f", confirming AS (SELECT event_id, dataset, shared AS n FROM ({_WIDE} SELECT event_id, dataset, shared FROM counts)), rows AS (SELECT q.event_id", 1)
