@@ -15,6 +15,7 @@ for, and longer ones are put together from them. Each has a run of ``least_run``
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from fragloom.session import Scratch
 
 LENGTH, ONE_IN = 40, 10
 BLOCK_WORDS = 200_000  # words of test items in one automaton
-SHARE = 2_000_000  # characters of text that one automaton is built for; a block with more is built in several tasks
+SHARE = 1_000_000  # characters of text that one automaton is built for; a block with more is built in several tasks
 _PARTS = 20_000  # partitions of the aligning stage at most
 _BATCH = 1024  # windows aligned side by side
 
@@ -166,23 +167,20 @@ def leak_spans(documents: DataFrame, items: DataFrame, length: int = LENGTH, one
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, known = WordNumbers(), sent.value
         for batch in batches:
-            keep, found = [], []
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                own = words(text)
-                if len(own) >= least:
-                    hits = known.hits(np.fromiter(map(numbers.__getitem__, own), np.uint64, len(own)))[1]
-                    if len(hits):
-                        keep.append(at)
-                        found.append(np.unique(hits))
+            own = [list(map(numbers.__getitem__, words(text))) for text in batch.column(1).to_pylist()]
+            lengths = np.fromiter(map(len, own), np.int64, len(own))
+            text, _, runs = known.hits(np.fromiter(chain.from_iterable(own), np.uint64, int(lengths.sum())), lengths)
+            keep, first = np.unique(text, return_index=True)
             kept = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text", "runs"])
+            found = pa.array([np.unique(x) for x in np.split(runs, first[1:])] if len(keep) else [], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), found], ["doc_id", "text", "runs"])
 
     texts = documents.where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     held = scratch.table(texts.mapInArrow(suspects, "doc_id bigint, text string, runs array<bigint>").withColumn("row", F.monotonically_increasing_id()))
-    pairs = held.select("row", F.explode("runs").alias("run")).join(of_block, "run").select("row", "block").distinct()
-    todo = scratch.table(held.drop("runs").join(pairs, "row").select("block", "row", "doc_id", "text"))
+    pairs = held.select("row", F.explode("runs").alias("run")).join(of_block.hint("merge"), "run").select("row", "block").distinct()
+    todo = scratch.table(held.drop("runs").join(pairs.hint("merge"), "row").select("block", "row", "doc_id", "text"))
     tasks = scratch.table(todo.groupBy("block").agg(F.ceil(F.sum(F.length("text")) / share).alias("tasks")))
-    n = max(1, min(_PARTS, tasks.agg(F.sum("tasks")).first()[0] or 1))
+    n = max(1, min(_PARTS, 4 * (tasks.agg(F.sum("tasks")).first()[0] or 1)))
     left = todo.join(tasks, "block").select("block", F.pmod(F.xxhash64("row"), F.col("tasks")).alias("task"), "doc_id", "text")
     right = parts.select(block, "item_id", "part", "text").join(tasks, "block").select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)).alias("task"), "item_id", "part", "text")
     names = ["doc_id", "item_id", "part", "first_word", "last_word"]

@@ -53,14 +53,18 @@ class RunFilter:
     def __init__(self, bits: int, least: int, table: np.ndarray):
         self.mask, self.least, self.table = np.int64(bits - 1), least, table
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, number) of the runs of a text that may be an item's."""
+    def hits(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word in it, number) of the runs that may be an item's, in texts whose words' numbers follow each other in ``codes``."""
         runs = run_numbers(codes, self.least)
         at = np.arange(len(runs))
         for shift in _PROBES:
             slot = (runs[at] >> shift) & self.mask
             at = at[(self.table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)]
-        return at, runs[at]
+        ends = np.cumsum(lengths)
+        text = np.searchsorted(ends, at, side="right")
+        inside = at + self.least <= ends[text] if len(at) else np.zeros(0, dtype=bool)
+        text, at = text[inside], at[inside]
+        return text, at - (ends - lengths)[text], runs[at]
 
 
 def item_parts(items: DataFrame) -> DataFrame:

@@ -63,7 +63,8 @@ _TAIL = re.compile(r"(?i)\b(?:this\s+notice|liability|warrant(?:y|ies)|without\s
 _CLAUSE = re.compile(rf"(?i)[\s\ufeff]*{_MADE}(?:(?<!@generated)[ \t]+[\w-]+(?:[ \t]+v?\d[\w.]*)?)?(?:[;,.][ \t]*do not (?:change|edit|modify)(?: by hand)?\b\.?)?")
 _SENTENCE = re.compile(r"\S.{0,400}?(?:[.!?](?=\s|$)|$(?!\n)|(?=\n[^\S\n]*(?:\n|$)))", re.S)
 _CODE = re.compile(r"[{}<>=\[\]\"|\\$`]|\w\(")
-_ORIGIN = re.compile(r"(?i)\b(?:this file (?:was|is) )?(?:copied|produced|generated|taken|vendored) from\s+[\w.~@-]*[/.\\]\w[^\s,;'\"<>(){}]*")
+_MOVED = ("copied", "produced", "generated", "taken", "vendored")
+_ORIGIN = re.compile(rf"(?i)\b(?:this file (?:was|is) )?(?:{'|'.join(_MOVED)}) from\s+[\w.~@-]*[/.\\]\w[^\s,;'\"<>(){{}}]*")
 _LONG = 200  # characters; a longer line holds more than a note
 
 
@@ -142,7 +143,8 @@ def body(text: str) -> str:
             break
         at, kept = end, kept + stays
     rest = kept + text[at:]
-    if not _ORIGIN.search(rest):
+    lower = rest.lower()
+    if not any(f"{verb} from" in lower for verb in _MOVED) or not _ORIGIN.search(rest):
         return rest
     return "\n".join(x for x in map(_without_origin, rest.split("\n")) if x is not None)
 
@@ -159,8 +161,18 @@ def _masked(first: list[int], n: int, least: int) -> np.ndarray:
     return mask
 
 
-def _words_of(text: str, look: Callable[[str], tuple]) -> list[tuple]:
-    return [look(w) for w in _WORD.findall(body(text))]
+class _Looked(dict):
+    """The number of each word in lower case, and its parts that are terms, made when the word is first seen."""
+
+    def __missing__(self, word: str) -> tuple[int, list[str]]:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = out = (crc32(word.lower().encode("utf-8", "surrogatepass")), [p.lower() for p in _PART.findall(word) if len(p) > 2])
+        return out
+
+
+def _words_of(text: str, looked: _Looked) -> list[tuple]:
+    return list(map(looked.__getitem__, _WORD.findall(body(text))))
 
 
 def document_terms(documents: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
@@ -174,20 +186,6 @@ def document_terms(documents: DataFrame, items: DataFrame, scratch: Scratch) ->
     runs = scratch.table(item_runs(item_parts(items), least).select(F.explode("runs").alias("run")).distinct())
     sent = spark.sparkContext.broadcast(run_filter(runs, least))
 
-    def looker() -> Callable[[str], tuple]:
-        cache: dict[str, tuple] = {}
-
-        def look(w: str) -> tuple:
-            found = cache.get(w)
-            if found is None:
-                if len(cache) > 300_000:
-                    cache.clear()
-                lower = w.lower()
-                cache[w] = found = (crc32(lower.encode("utf-8", "surrogatepass")), [p.lower() for p in _PART.findall(w) if len(p) > 2])
-            return found
-
-        return look
-
     def counted(found: list[tuple]) -> tuple[list[str], list[int]]:
         n = Counter(chain.from_iterable(f[1] for f in found))
         return list(n), list(n.values())
@@ -196,22 +194,25 @@ def document_terms(documents: DataFrame, items: DataFrame, scratch: Scratch) ->
     types = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, look = sent.value, looker()
+        known, looked = sent.value, _Looked()
         for batch in batches:
+            texts = batch.column(1).to_pylist()
+            own = [_words_of(text, looked) for text in texts]
+            lengths = np.fromiter(map(len, own), np.int64, len(own))
+            which, at, runs = known.hits(np.fromiter((f[0] for f in chain.from_iterable(own)), np.uint64, int(lengths.sum())), lengths)
+            parts = np.searchsorted(which, np.arange(len(own) + 1))
             rows = []
-            for text in batch.column(1).to_pylist():
-                found = _words_of(text, look)
-                at, own = known.hits(np.fromiter((f[0] for f in found), np.uint64, len(found)))
-                rows.append(([], [], text, at, own) if len(at) else (*counted(found), None, [], []))
+            for found, text, a, b in zip(own, texts, parts.tolist(), parts[1:].tolist()):
+                rows.append(([], [], text, at[a:b], runs[a:b]) if b > a else (*counted(found), None, [], []))
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], names)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = looker()
+        looked = _Looked()
         for batch in batches:
             rows = []
             for text, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found = _words_of(text, look)
+                found = _words_of(text, looked)
                 gone = _masked(at or [], len(found), least)
                 rows.append(counted([f for f, out in zip(found, gone) if not out]))
             cols = list(zip(*rows)) or [()] * 2
@@ -221,8 +222,8 @@ def document_terms(documents: DataFrame, items: DataFrame, scratch: Scratch) ->
     passed = rows.mapInArrow(first, "doc_id bigint, terms array<string>, counts array<int>, text string, at array<int>, runs array<bigint>")
     passed = scratch.table(passed.withColumn("row", F.monotonically_increasing_id()))
     held = passed.where("text IS NOT NULL")
-    hits = held.select("row", F.inline(F.arrays_zip("at", "runs"))).withColumnRenamed("runs", "run").join(runs, "run").groupBy("row").agg(F.collect_list("at").alias("at"))
-    masked = held.select("row", "doc_id", "text").join(hits, "row", "left").select("doc_id", "text", "at").mapInArrow(again, "doc_id bigint, terms array<string>, counts array<int>")
+    hits = held.select("row", F.inline(F.arrays_zip("at", "runs"))).withColumnRenamed("runs", "run").join(runs.hint("merge"), "run").groupBy("row").agg(F.collect_list("at").alias("at"))
+    masked = held.select("row", "doc_id", "text").join(hits.hint("merge"), "row", "left").select("doc_id", "text", "at").mapInArrow(again, "doc_id bigint, terms array<string>, counts array<int>")
     return passed.where("text IS NULL").select("doc_id", "terms", "counts").unionByName(masked)
 
 
