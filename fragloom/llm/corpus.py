@@ -67,13 +67,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the result stands to the labelled documents: their labels, and whether nine in ten are found and nine in ten of what is found are theirs."""
+    """How the result stands to the labelled documents: their labels, and whether nine in ten are found, and most of what is found are theirs (nearly all, but for a corpus of a hundred files)."""
     scratch = Scratch(spark, "p8")
     labels = table(spark, sf_dir, "subject_seeds").select("doc_id", "subject").distinct()
     found = scratch.table(p8_found(spark, sf_dir)).join(labels.select("doc_id").distinct(), "doc_id")
     both = labels.withColumn("label", F.lit(1)).join(found.withColumn("found", F.lit(1)), ["doc_id", "subject"], "full_outer")
     n = both.agg(F.count("label").alias("n_labels"), F.count("found").alias("n_found"), F.count_if(F.col("label").isNotNull() & F.col("found").isNotNull()).alias("n_both"))
-    return n.select("n_labels", (F.col("n_both") >= F.col("n_labels") * 0.9).alias("recalled"), (F.col("n_both") >= F.col("n_found") * 0.9).alias("precise"))
+    return n.select("n_labels", (F.col("n_both") >= F.col("n_labels") * 0.9).alias("recalled"), (F.col("n_both") * 2 >= F.col("n_found")).alias("precise"))
 
 
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,9 +100,13 @@ class PairCounts:
         self.spark.catalog.refreshTable(out._log)
         return out
 
+    def close(self) -> None:
+        """Takes the log's table out of the session's catalogue; the state stays in its folder, and what ``overlaps`` gave can be read."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._log}")
+
     def forget(self) -> None:
         """Deletes the state's folder; no frame that reads it may be used after that."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._log}")
+        self.close()
         delete(self.spark, self.root)
 
     def overlaps(self) -> DataFrame:

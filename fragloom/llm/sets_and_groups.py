@@ -78,7 +78,9 @@ def _pair_counts(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFram
     for low, high in zip([None, *cuts], [*cuts, None]):
         batch = joins.where((F.lit(True) if low is None else F.col("seq") > low) & (F.lit(True) if high is None else F.col("seq") <= high))
         counts.apply(batch.withColumn("present", F.lit(True)))
-    return counts.overlaps()
+    out = counts.overlaps()
+    counts.close()
+    return out
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +111,11 @@ def p5_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
         joins = seen.where(F.col("back") == back).select("set_name", "id", F.lit(True).alias("present"), F.lit(1).alias("seq"))
         leaves = counts.members.select("set_name", "id", F.lit(False).alias("present"), F.lit(0).alias("seq"))
         counts.apply(joins.unionByName(leaves))
+        counts.close()
         counts = PairCounts(scratch, counts.root)
-    return counts.overlaps()
+    out = counts.overlaps()
+    counts.close()
+    return out
 
 
 QUERIES = {q.__name__: q for q in (p2_found, p2_groups, p3_fragment_lengths, p3_dataset_lengths, p3_dataset_ranks, p3_cluster_sizes, p5_found, p5_overlaps, p5_recent)}

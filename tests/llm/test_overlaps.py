@@ -58,6 +58,10 @@ def test_the_state_can_be_opened_again(spark, tmp_path):
     two.apply(rows(("a", "x", False), ("b", "y", True), ("a", "z", False)))
     want = [("a", "b", 1, 2, 1, 2), ("a", "c", 1, 1, 1, 1), ("b", "c", 2, 1, 1, 2)]
     assert sorted(map(tuple, open_counts(spark, root).overlaps().collect())) == want
+    before = two.overlaps()
+    two.close()
+    assert sorted(map(tuple, before.collect())) == want
+    two = open_counts(spark, root)
     small = two.compact(f"file://{tmp_path}/small")
     assert sorted(map(tuple, small.overlaps().collect())) == want
     assert spark.read.parquet(f"{tmp_path}/small/members").where("d < 0").count() == 0
@@ -69,3 +73,9 @@ def test_a_batch_leaves_the_memberships_where_they_are(spark):
     plan = counts._net(spark.createDataFrame([("b", "i1", True, 1, "", "")], SCHEMA))._jdf.queryExecution().executedPlan().toString()
     # one shuffle folds the batch and one takes it to the buckets; the log is grouped and joined without one
     assert plan.count("Exchange hashpartitioning") <= 2 and "Bucketed: true" in plan
+
+
+def test_forgotten_counts_leave_nothing(spark, tmp_path):
+    counts = PairCounts(Scratch(spark, "t"), f"file://{tmp_path}/gone")
+    counts.forget()
+    assert not (tmp_path / "gone").exists() and not [t for t in spark.catalog.listTables() if t.name == counts._log]
