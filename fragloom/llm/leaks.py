@@ -141,8 +141,15 @@ class LeakFinder:
                 a, b = max(0, low), min(len(source), low + target.shape[1])
                 if b > a:
                     target[c, a - low : b - low] = source[a:b]
-        for c, first, last in stretches(items, windows, band, self.length, self.one_in):
-            at, p, _, start, diagonal = todo[c]
+        # any passage has ``length`` words in a row of which all but ``reach`` - 1 occur near their diagonals; most windows don't
+        near = np.zeros(items.shape, dtype=np.int32)
+        for b in range(band):
+            near |= windows[:, b : b + width] == items
+        upto = np.cumsum(near, axis=1)
+        most = (upto[:, self.length - 1 :] - np.pad(upto, ((0, 0), (1, 0)))[:, : width - self.length + 1]).max(axis=1)
+        kept = np.flatnonzero(most > self.length - self.reach)
+        for c, first, last in stretches(items[kept], windows[kept], band, self.length, self.one_in):
+            at, p, _, start, diagonal = todo[kept[c]]
             spans.setdefault((at, p), []).append((start + diagonal + first, start + diagonal + last))
 
 
