@@ -10,7 +10,7 @@ from fragloom.operators import evidence as ev
 from fragloom.operators import graph as gr
 from fragloom.operators import support as su
 from fragloom.plans import variants as va
-from fragloom.plans.tables import fragments, genotypes, table
+from fragloom.plans.tables import fragments, genotypes, table, tips
 from fragloom.session import Scratch
 
 BIN, WIDE = 2_000, 100_000
@@ -66,9 +66,7 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def refined_breakends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breakends moved to where the coverage of the fragments near them drops."""
-    f = fragments(spark, sf_dir, "dataset", "chrom", "start_pos", "end_pos", "bc", "hap")
-    near = su.near_breakends(su.breakends(va.events(spark, sf_dir)), f, ["event_id", "side"], -20_000, 20_000)
-    return ca.refine_breakends(near, ["event_id", "side"])
+    return tips(spark, sf_dir).refined(su.breakends(va.events(spark, sf_dir)), 20_000)
 
 
 def combined_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fragloom.functions.conventions import distinct_fragments, with_chromosome
+from fragloom.functions.conventions import barcode, distinct_fragments, with_chromosome
+from fragloom.operators.tips import Tips
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +19,12 @@ def fragments(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return with_chromosome(out, table(spark, sf_dir, "chroms"), "chrom") if "chrom" in columns else out
 
 
+def tips(spark: SparkSession, sf_dir: str) -> Tips:
+    """The tips of all fragments; those drop repeated rows themselves, so that no other shuffle has to."""
+    rows = table(spark, sf_dir, "fragments").select("frag_id", "dataset", "chrom", "start_pos", "end_pos", barcode(F.col("bc")).alias("bc"), "hap")
+    return Tips(with_chromosome(rows, table(spark, sf_dir, "chroms"), "chrom"))
+
+
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``genotypes`` with both chromosomes normalised."""
     return with_chromosome(table(spark, sf_dir, "genotypes"), table(spark, sf_dir, "chroms"), "chromx", "chromy")
