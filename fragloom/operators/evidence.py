@@ -78,7 +78,12 @@ def _draw(rng: np.random.Generator, weights: np.ndarray, counts: np.ndarray, n:
 
 
 class _Resampler:
-    """Numbers that two draws have in common, for the barcodes of one group; the draws of a size are made once."""
+    """Numbers that two draws have in common, for the barcodes of one group; the draws of a size are made once.
+
+    A smaller draw is part of a larger one, as long as barcodes are many beside it; beyond that each size has its own.
+    """
+
+    BLOCK = 1 << 12
 
     def __init__(self, reads: np.ndarray, n: np.ndarray, resamples: int, seed: int):
         self.weights, self.n = reads / float((reads * n).sum()), n
@@ -86,18 +91,40 @@ class _Resampler:
         self.made: dict[tuple[int, int], np.ndarray] = {}
         self.most = max(2, 20_000_000 // (resamples * len(n)))
 
+        # sizes that so many draws with replacement are expected to hold twice are taken from those
+        self.nested = float((n * -np.expm1(8 * self.BLOCK * np.log1p(-np.minimum(self.weights, 1 - 1e-16)))).sum()) / 2
+        self.rngs = [np.random.default_rng([seed, side]) for side in (0, 1)]
+        self.firsts: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] * resamples for _ in (0, 1)]
+
+    def first(self, side: int, size: int) -> np.ndarray:
+        """(resamples, size): the classes of the first different barcodes in draws with replacement, which is how draws without it come out."""
+        own, rng = self.firsts[side], self.rngs[side]
+        upto, before = np.cumsum(self.weights * self.n), np.cumsum(self.n) - self.n
+        while min(map(len, own)) < size:
+            at = np.minimum(np.searchsorted(upto, rng.random((self.resamples, self.BLOCK)) * upto[-1], "right"), len(upto) - 1)
+            which = before[at] + np.minimum(rng.random(at.shape) * self.n[at], self.n[at] - 1).astype(np.int64)
+            for r in range(self.resamples):
+                row = np.concatenate((own[r], which[r]))
+                own[r] = row[np.sort(np.unique(row, return_index=True)[1])]
+        return np.searchsorted(before, np.stack([v[:size] for v in own]), "right") - 1
+
     def of(self, side: int, size: int) -> np.ndarray:
         if (side, size) not in self.made:
             if len(self.made) >= self.most:
                 self.made.clear()
-            self.made[side, size] = draws(np.random.default_rng([self.seed, side, size]), self.weights, self.n, size, self.resamples)
+            if size <= self.nested:
+                cell = self.first(side, size) + np.arange(self.resamples)[:, None] * len(self.n)
+                made = np.bincount(cell.ravel(), minlength=self.resamples * len(self.n)).reshape(self.resamples, len(self.n))
+            else:
+                made = draws(np.random.default_rng([self.seed, side, size]), self.weights, self.n, size, self.resamples)
+            self.made[side, size] = made
         return self.made[side, size]
 
-    def common(self, event: int, nx: int, ny: int) -> np.ndarray:
+    def common(self, nx: int, ny: int) -> np.ndarray:
         x, y = self.of(0, nx), self.of(1, ny)
         at = np.nonzero((x > 0) & (y > 0))
         # barcodes with equal reads are alike: what two draws have in common of them is hypergeometric
-        found = np.random.default_rng([self.seed, 2, event % (1 << 62)]).hypergeometric(x[at], self.n[at[1]] - x[at], y[at])
+        found = np.random.default_rng([self.seed, 2, nx, ny]).hypergeometric(x[at], self.n[at[1]] - x[at], y[at])
         return np.bincount(at[0], weights=found, minlength=self.resamples)
 
 
@@ -106,28 +133,35 @@ def resampling_p(quantified: DataFrame, totals: DataFrame, resamples: int = 100,
 
     Barcodes with equal reads are exchangeable, so a draw only needs how many of each number of reads it holds. ``totals``
     (group, bc, num_reads) is brought down to that, of which a group has at most the root of twice its reads, and each task
-    gets it beside ``share`` events of the group. Draws depend on the seed and their size alone, what two have in common on
-    the event as well. A p is null where no draw differs from what was found, and where a group has no reads.
+    gets it beside ``share`` pairs of sizes of the group. Draws, and what two have in common, depend on the seed and their sizes
+    alone, so each pair of sizes is drawn once, however many events have it. A p is null where no draw differs from what was found, and where a group has no reads.
     """
     scratch = Scratch(quantified.sparkSession, "resampling")
     counts = scratch.table(totals.where("num_reads > 0").groupBy(group, "num_reads").agg(F.count(F.lit(1)).alias("n")))
     quantified = scratch.table(quantified)
-    tasks = quantified.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / share).alias("_tasks"))
-    left = quantified.join(tasks, group).withColumn("_task", F.pmod(F.xxhash64(key), F.col("_tasks"))).drop("_tasks")
+    sizes = scratch.table(quantified.where(F.col(group).isNotNull()).groupBy(group, "only_x", "only_y", "shared").agg(F.lit(1).alias("_one")).drop("_one"))
+    tasks = sizes.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / share).alias("_tasks"))
+    left = sizes.join(tasks, group).withColumn("_task", F.pmod(F.xxhash64(F.col("shared") + F.col("only_x")), F.col("_tasks"))).drop("_tasks")
     right = counts.join(tasks, group).select(group, "num_reads", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_tasks") - 1)).alias("_task"))
 
-    def test(events: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = plain(events).drop(columns="_task")
-        p = [None] * len(out)
+    def test(found: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = plain(found).drop(columns="_task")
+        p = np.full(len(out), np.nan)
         if len(out) and len(own):
             own = own.sort_values("num_reads")
             sampler = _Resampler(own["num_reads"].to_numpy(), own["n"].to_numpy(), resamples, seed)
-            found = [signed_rank_less(sampler.common(int(e), int(s + a), int(s + b)), float(s)) for e, s, a, b in zip(out[key], out["shared"], out["only_x"], out["only_y"])]
-            p = [None if x != x else x for x in found]
-        return out.assign(p_resampling=pd.Series(p, index=out.index, dtype=object))
+            shared = out["shared"].to_numpy()
+            nx, ny = shared + out["only_x"].to_numpy(), shared + out["only_y"].to_numpy()
+            last, drawn = None, None
+            for i in np.lexsort((ny, nx)):
+                if last != (last := (int(nx[i]), int(ny[i]))):
+                    drawn = sampler.common(*last)
+                p[i] = signed_rank_less(drawn, float(shared[i]))
+        return out.assign(p_resampling=pd.Series(p, index=out.index, dtype=object).where(~np.isnan(p), None))
 
     schema = StructType([*left.drop("_task").schema, StructField("p_resampling", DoubleType())])
-    return left.groupBy(group, "_task").cogroup(right.groupBy(group, "_task")).applyInPandas(test, schema)
+    tested = scratch.table(left.groupBy(group, "_task").cogroup(right.groupBy(group, "_task")).applyInPandas(test, schema))
+    return quantified.join(tested, [group, "only_x", "only_y", "shared"]).select(*quantified.columns, "p_resampling")
 
 
 def cap_barcodes(barcodes: DataFrame, most: int | None = None, key: Sequence[str] = ("event_id",)) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragloom.functions.stats import binom_sf, fisher_greater
+from fragloom.functions.stats import binom_sf
 from fragloom.functions.text import facing
 from fragloom.operators.rangejoin import overlap_join
+from fragloom.operators.tips import Tips
 from fragloom.session import Scratch
 
 BIN = 20_000
@@ -53,19 +54,14 @@ def support_by_barcode(events: DataFrame, fragments: DataFrame, near: int = -500
     return per.where("NOT (nx = 1 AND ny = 1 AND same = 1)")
 
 
-def quantify(events: DataFrame, fragments: DataFrame, near: int = -500, far: int = 5_000, key: str = "event_id", group: str = "dataset") -> DataFrame:
+def quantify(events: DataFrame, fragments: DataFrame | Tips, near: int = -500, far: int = 5_000, key: str = "event_id", group: str = "dataset") -> DataFrame:
     """(event, group, shared, total, only_x, only_y, p_fisher, x_hap0, x_hap1, y_hap0, y_hap1): barcodes on both sides, on either, and the exact test.
 
     The haplotypes count merged rows, that is pairs of an x and a y fragment of one barcode that are not the same fragment.
-    A group in which an event has no barcode at all has no row.
+    A group in which an event has no barcode at all has no row. Several calls on the same fragments may share their tips.
     """
-    per = support_by_barcode(events, fragments, near, far, key, group)
-    crossed = (F.col("nx") > 0) & (F.col("ny") > 0)
-    haps = [F.sum(F.when(crossed, F.col(f"h{s}{h}") * F.col("ny" if s == "x" else "nx") - F.col(f"h{s}{h}_same")).otherwise(0)).alias(f"{s}_hap{h}") for s in "xy" for h in "01"]
-    counts = per.groupBy(key, group).agg(F.count_if(crossed).alias("shared"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("ny") == 0).alias("only_x"), F.count_if(F.col("nx") == 0).alias("only_y"), *haps)
-    good = fragments.where("bc IS NOT NULL").groupBy(group).agg(F.count_distinct("bc").alias("good"))
-    tested = counts.join(good, group).withColumn("p_fisher", fisher_greater("shared", "only_x", "only_y", F.col("good") - F.col("total")))
-    return tested.drop("good")
+    tips = fragments if isinstance(fragments, Tips) else Tips(fragments, group)
+    return tips.quantify(events, breakends(events, key), near, far, key)
 
 
 def roll_up_samples(quantified: DataFrame, key: str = "event_id", p: str = "p_fisher", max_p: float = 1e-4, min_ratio: float = 0.10) -> DataFrame:

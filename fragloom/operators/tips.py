@@ -84,16 +84,21 @@ class Tips:
         spark = fragments.sparkSession
         self.scratch, self.group, self.spark = Scratch(spark, "tips"), group, spark
         root = self.root = f"{self.scratch.root}/files"
-        tile = lambda c: F.floor(F.col(c) / TILE)
+        first, last = (F.shiftright(F.col(c).cast("bigint"), TILE.bit_length() - 1) for c in ("start_pos", "end_pos"))
         hap = F.when(F.col("hap").isin(0, 2), 1).when(F.col("hap") == 1, 2).otherwise(0).cast("tinyint") if "hap" in fragments.columns else F.lit(0).cast("tinyint")
         frag = F.coalesce(F.col("frag_id").cast("bigint"), F.lit(-(1 << 63))) if fragments.schema["frag_id"].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64("frag_id")
         good = F.coalesce((F.col("end_pos") > F.col("start_pos")) & (F.col("end_pos") >= 0) & F.col("chrom").isNotNull(), F.lit(False))
-        tiles = F.when(good, F.filter(F.array_distinct(F.array(tile("start_pos"), tile("end_pos"))), lambda t: t >= 0)).otherwise(F.array(-1 - F.pmod(frag, F.lit(64))))
-        rows = fragments.where("bc IS NOT NULL").where(F.col(group).isNotNull())
+        tiles = F.when(~good, F.array(-1 - F.pmod(frag, F.lit(64)))).when((first < 0) | (first == last), F.array(last)).otherwise(F.array(first, last))
+        # a filter on the barcode would have its text made out once more for every row, so rows without one are dropped in the tasks
+        hap = F.when(F.col("bc").isNull(), -1).otherwise(hap).cast("tinyint")
+        rows = fragments.where(F.col(group).isNotNull())
         rows = rows.select(F.when(good, F.col("chrom")).otherwise("").alias("chrom"), F.explode(tiles).alias("tile"), F.col(group).alias("g"), F.xxhash64(group, "bc").alias("bc"), frag.alias("frag"), F.when(good, F.col("start_pos").cast("bigint")).alias("start_pos"), F.when(good, F.col("end_pos").cast("bigint")).alias("end_pos"), hap.alias("hap"))
 
         def write(key: tuple, table: pa.Table) -> pa.Table:
             chrom, t = key[0].as_py(), key[1].as_py()
+            table = table.filter(pc.greater_equal(table["hap"], 0))
+            if not len(table):
+                return pa.table({"g": pa.array([], pa.string()), "bc": pa.array([], pa.int64())})
             g = table["g"].combine_chunks().dictionary_encode()
             g = g.combine_chunks() if isinstance(g, pa.ChunkedArray) else g
             names, code = g.dictionary.to_pylist(), g.indices.to_numpy(zero_copy_only=False)

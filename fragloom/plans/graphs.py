@@ -172,12 +172,18 @@ def event_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.resampling_p(crossed, totals).select("event_id", "dataset", "shared", "total", "p_resampling")
 
 
+def _resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, own = fragments(spark, sf_dir, "dataset", "bc", "num_reads"), tips(spark, sf_dir)
+    totals = f.where("bc IS NOT NULL").groupBy("dataset", "bc").agg(F.sum("num_reads").alias("num_reads"))
+    crossed = su.quantify(va.events(spark, sf_dir), own).select("event_id", "dataset", "shared", "total", "only_x", "only_y")
+    tested = ev.resampling_p(crossed, totals)
+    own.forget()  # the events' counts are written
+    return tested
+
+
 def resampled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events' support over the datasets that pass the resampling test."""
-    f = fragments(spark, sf_dir, "dataset", "chrom", "start_pos", "end_pos", "bc", "num_reads", "hap")
-    totals = f.where("bc IS NOT NULL").groupBy("dataset", "bc").agg(F.sum("num_reads").alias("num_reads"))
-    tested = ev.resampling_p(su.quantify(va.events(spark, sf_dir), f), totals)
-    return su.roll_up_samples(tested, p="p_resampling")
+    return su.roll_up_samples(_resampled(spark, sf_dir), p="p_resampling")
 
 
 QUERIES = {q.__name__: q for q in (event_resampling, resampled_samples, end_histogram, background_union, overlap_matrix, marginal_breakpoints, reference_events, peaks, refined_breakends, combined_events, precluster, merged_breakends, clustered_events, clustered_edges, graph_edges, best_edges, best_at_both_ends, assembled_edges, facing_breakends, event_components, clean_events, event_paths, compared_events)}
