@@ -164,14 +164,6 @@ def compared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.compare_breakpoints(pairs, va.events(spark, sf_dir), f, far=WIDE).withColumn("log_p", F.when(F.col("p") > 0, F.round(F.log10("p"), 4))).drop("p")
 
 
-def event_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events' resampling tests."""
-    f = fragments(spark, sf_dir, "dataset", "chrom", "start_pos", "end_pos", "bc", "num_reads", "hap")
-    crossed = su.quantify(va.events(spark, sf_dir), f)
-    totals = f.where("bc IS NOT NULL").groupBy("dataset", "bc").agg(F.sum("num_reads").alias("num_reads"))
-    return ev.resampling_p(crossed, totals).select("event_id", "dataset", "shared", "total", "p_resampling")
-
-
 def _resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, own = fragments(spark, sf_dir, "dataset", "bc", "num_reads"), tips(spark, sf_dir)
     totals = f.where("bc IS NOT NULL").groupBy("dataset", "bc").agg(F.sum("num_reads").alias("num_reads"))
@@ -181,6 +173,11 @@ def _resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tested
 
 
+def event_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' resampling tests."""
+    return _resampled(spark, sf_dir).select("event_id", "dataset", "shared", "total", "p_resampling")
+
+
 def resampled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events' support over the datasets that pass the resampling test."""
     return su.roll_up_samples(_resampled(spark, sf_dir), p="p_resampling")
