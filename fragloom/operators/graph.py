@@ -13,7 +13,8 @@ from fragloom.functions.text import facing
 from fragloom.operators.components import components
 from fragloom.operators.rangejoin import overlap_join
 from fragloom.operators.readclouds import number_clouds
-from fragloom.operators.support import support_by_barcode
+from fragloom.operators.support import breakends
+from fragloom.operators.tips import Tips
 from fragloom.session import Scratch
 
 
@@ -163,17 +164,22 @@ def facing_pairs(nodes: DataFrame, near: int = 100_000, least: int = 5_000) -> D
     return overlap_join(left, right, ["chrom"], ("_a", "_b"), ("_c", "_d"), near).select("chrom", "left_pos", "right_pos")
 
 
-def compare_breakpoints(pairs: DataFrame, events: DataFrame, fragments: DataFrame, near: int = -500, far: int = 5_000) -> DataFrame:
+def compare_breakpoints(pairs: DataFrame, events: DataFrame, fragments: DataFrame | Tips, near: int = -500, far: int = 5_000) -> DataFrame:
     """(event_a, event_b, dataset, shared, total, p): common barcodes of two events' crossing barcodes, in the dataset with the least p.
 
-    ``pairs`` has (event_a, event_b). Pairs without a common barcode have no row.
+    ``pairs`` has (event_a, event_b). Pairs without a common barcode have no row. Only the surroundings of events in pairs are looked at.
     """
-    crossing = support_by_barcode(events, fragments, near, far).where("nx > 0 AND ny > 0").select("event_id", "dataset", "bc")
+    scratch = Scratch(events.sparkSession, "compared")
+    pairs = scratch.table(pairs)
+    own = events.join(pairs.select(F.explode(F.array("event_a", "event_b")).alias("event_id")).distinct(), "event_id", "left_semi")
+    tips = fragments if isinstance(fragments, Tips) else Tips(fragments)
+    crossing = scratch.table(tips.crossing(own, breakends(own), near, far))
+    tips.forget()
     sizes = crossing.groupBy("event_id", "dataset").agg(F.count(F.lit(1)).alias("n"))
     a = pairs.join(crossing.withColumnRenamed("event_id", "event_a"), "event_a")
     common = a.join(crossing.withColumnRenamed("event_id", "event_b"), ["event_b", "dataset", "bc"]).groupBy("event_a", "event_b", "dataset").agg(F.count(F.lit(1)).alias("shared"))
     na, nb = sizes.select(F.col("event_id").alias("event_a"), "dataset", F.col("n").alias("na")), sizes.select(F.col("event_id").alias("event_b"), "dataset", F.col("n").alias("nb"))
-    good = fragments.where("bc IS NOT NULL").groupBy("dataset").agg(F.count_distinct("bc").alias("good"))
+    good = events.sparkSession.createDataFrame(list(tips.good.items()), "dataset string, good bigint")
     both = common.join(na, ["event_a", "dataset"]).join(nb, ["event_b", "dataset"]).join(good, "dataset").withColumn("total", F.col("na") + F.col("nb") - F.col("shared"))
     tested = both.withColumn("p", fisher_greater("shared", F.col("na") - F.col("shared"), F.col("nb") - F.col("shared"), F.col("good") - F.col("total")))
     return tested.groupBy("event_a", "event_b").agg(F.min_by(F.struct("dataset", "shared", "total", "p"), F.struct("p", "dataset")).alias("_b")).select("event_a", "event_b", "_b.*")

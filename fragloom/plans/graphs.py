@@ -159,9 +159,8 @@ def compared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = su.breakends(va.events(spark, sf_dir)).select("event_id", "chrom", "pos", "orientation").distinct()
     first = ends.groupBy("chrom", "pos", "orientation").agg(F.min("event_id").alias("event_a"))
     pairs = ends.join(first, ["chrom", "pos", "orientation"]).where("event_id <> event_a").select("event_a", F.col("event_id").alias("event_b")).distinct()
-    f = fragments(spark, sf_dir, "dataset", "chrom", "start_pos", "end_pos", "bc", "hap")
     # few events of the test tables are crossed by the same barcodes, so their surroundings are wide
-    return gr.compare_breakpoints(pairs, va.events(spark, sf_dir), f, far=WIDE).withColumn("log_p", F.when(F.col("p") > 0, F.round(F.log10("p"), 4))).drop("p")
+    return gr.compare_breakpoints(pairs, va.events(spark, sf_dir), tips(spark, sf_dir), far=WIDE).withColumn("log_p", F.when(F.col("p") > 0, F.round(F.log10("p"), 4))).drop("p")
 
 
 def _resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
