@@ -16,7 +16,7 @@ from fragloom.plans import graphs
 from fragloom.plans import variants as va
 from fragloom.plans.problems import FRAGMENTS_SQL
 from fragloom.plans.reads import _READS, reads
-from fragloom.plans.tables import fragments, genotypes, table
+from fragloom.plans.tables import fragments, genotypes, table, tips
 from fragloom.sources import vcf
 
 LOCUS = 100_000
@@ -107,9 +107,8 @@ def private_and_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many events fragments confirm, whose barcodes are taken from a wider range for that."""
-    e, f = va.events(spark, sf_dir), _frags(spark, sf_dir)
-    wide = su.quantify(e, f, -500, 20_000).select("event_id", "dataset", F.col("shared").alias("confirming"))
-    both = su.quantify(e, f).select("event_id", "dataset", "shared", "total").join(wide, ["event_id", "dataset"], "left")
+    e = va.events(spark, sf_dir)
+    both = tips(spark, sf_dir).confirmed(e, su.breakends(e), -500, 5_000, 20_000)
     called = _called(spark, sf_dir).select("event_id", "quality", "frag_length_passes", "assembled", "nearby_snvs")
     return ge.validation_rates(called, both, min_shared=5)
 
