@@ -173,10 +173,9 @@ def reference_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vcf_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with one column for each dataset: its barcodes, lengths, p and haplotypes."""
-    e, f = va.events(spark, sf_dir), _frags(spark, sf_dir)
-    q = su.quantify(e, f).withColumn("p_resampling", F.round(F.log10(F.when(F.col("p_fisher") > 0, F.col("p_fisher"))), 2).cast("decimal(10,2)"))
-    whole = [F.round(c).cast("bigint").alias(c) for c in ("lengths_50", "lengths_90")]
-    evidence = q.join(length_genotypes(spark, sf_dir).select("event_id", "dataset", *whole), ["event_id", "dataset"], "left")
+    e, own = va.events(spark, sf_dir), tips(spark, sf_dir)
+    q = own.quantify(e, su.breakends(e), -500, 5_000, quantiles=(0.5, 0.9)).withColumn("p_resampling", F.round(F.log10(F.when(F.col("p_fisher") > 0, F.col("p_fisher"))), 2).cast("decimal(10,2)"))
+    evidence = q.withColumns({c: F.round(F.round(c, 4)).cast("bigint") for c in ("lengths_50", "lengths_90")})
     samples = sorted(_samples(spark, sf_dir))
     fields = vcf.sample_columns(evidence, samples)
     none = ":".join(["0", *["."] * 9])
